@@ -7,6 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 
 def _nfkc(name: str) -> str:
@@ -21,12 +22,12 @@ def _folded(name: str) -> str:
     return unicodedata.normalize("NFC", plain).casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _alias_key(names: pd.Series) -> pd.Series:
     return names.map(_nfkc, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _strict_key(names: pd.Series) -> pd.Series:
     return names.map(_folded, na_action="ignore")
 
