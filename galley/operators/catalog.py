@@ -39,87 +39,96 @@ def sheets(styles: DataFrame) -> DataFrame:
     return last.groupBy("pkg_id").agg(F.map_from_entries(F.collect_list(entry)).alias("sheet"))
 
 
-def _chain(sheet: Column, style_id: Column) -> Column:
-    """Style ids from a style to its root; stops at a gap or a cycle."""
+def _chain(parents: Column, style_id: Column, known: Column) -> Column:
+    """Style ids from a style to its root; stops at a gap or a cycle.
 
-    def walk(path: Column, _: Column) -> Column:
-        parent = F.element_at(sheet, F.element_at(path, -1))["based_on"]
-        goes_on = (
-            F.coalesce(parent, F.lit("")) != ""
-        ) & F.map_contains_key(sheet, parent) & ~F.array_contains(path, parent)
-        return F.when(goes_on, F.array_append(path, parent)).otherwise(path)
+    ``parents`` maps styles to the style they are based on, ``known`` lists all
+    ids. No chain has more steps than there are parents.
+    """
+    state = lambda path, ahead: F.struct(path.alias("path"), ahead.alias("ahead"))
+
+    def walk(acc: Column, _: Column) -> Column:
+        ahead, path = acc["ahead"], acc["path"]
+        goes_on = F.array_contains(known, ahead) & ~F.array_contains(path, ahead)
+        step = F.when(
+            goes_on, state(F.array_append(path, ahead), F.try_element_at(parents, ahead))
+        ).otherwise(state(path, F.lit(None).cast("string")))
+        return F.when(ahead.isNull(), acc).otherwise(step)
 
-    steps = F.map_filter(sheet, lambda _, v: v["based_on"].isNotNull())
-    return F.aggregate(F.map_keys(steps), F.array(style_id), walk)
+    start = state(F.array(style_id), F.try_element_at(parents, style_id))
+    return F.aggregate(F.map_keys(parents), start, walk, lambda acc: acc["path"])
 
 
-def _nearest(chain: Column, sheet: Column, value) -> Column:
-    """First non-NULL value along a chain."""
-    found = F.transform(chain, lambda s: value(F.element_at(sheet, s)))
+def _nearest(levels: Column, value) -> Column:
+    """First non-NULL value from the leaf to the root."""
+    found = F.transform(levels, value)
     return F.try_element_at(F.filter(found, lambda v: v.isNotNull()), F.lit(1))
 
 
-def resolve(styles: DataFrame) -> DataFrame:
-    """Every style with its chain, outline, list reference and effective bags."""
+def resolve(styles: DataFrame, bags: bool = True) -> DataFrame:
+    """Every style with its chain, outline, list reference and effective bags.
+
+    Without ``bags`` the effective bags are left out, which most callers do not
+    need and which cost the most.
+    """
     empty = F.create_map().cast(BAG)
+    own_styles = F.map_filter("sheet", lambda k, _: k != "")
+    linked = F.map_filter("sheet", lambda k, v: (k != "") & (F.coalesce(v["based_on"], F.lit("")) != ""))
     base = sheets(styles).select(
         "pkg_id",
         F.try_element_at("sheet", F.lit("")).alias("defaults"),
-        F.map_filter("sheet", lambda k, _: k != "").alias("sheet"),
+        own_styles.alias("sheet"),
+        F.transform_values(linked, lambda _, v: v["based_on"]).alias("parents"),
+        F.map_keys(own_styles).alias("known"),
     )
     sheet, defaults = F.col("sheet"), F.col("defaults")
-    default_bags = {
-        "ppr": F.coalesce(defaults["ppr"], empty),
-        "rpr": F.coalesce(defaults["rpr"], empty),
-    }
+    default_bags = {b: F.coalesce(defaults[b], empty) for b in ("ppr", "rpr")}
+    fields = ("ord", *_FIELDS)
 
-    def fold(chain: Column, bag: str) -> Column:
-        return F.aggregate(
-            F.reverse(chain),
-            default_bags[bag],
-            lambda acc, s: merge_bag(acc, F.coalesce(F.element_at(sheet, s)[bag], empty)),
+    def with_chain(entry: Column) -> Column:
+        return F.struct(
+            entry["key"].alias("style_id"),
+            entry["value"].alias("own"),
+            _chain(F.col("parents"), entry["key"], F.col("known")).alias("chain"),
         )
 
-    def entry(style_id: Column) -> Column:
-        own = F.element_at(sheet, style_id)
-        return F.struct(
-            style_id.alias("style_id"),
-            *[own[f].alias(f) for f in ("ord", *_FIELDS)],
-            _chain(sheet, style_id).alias("chain"),
+    def with_levels(row: Column) -> Column:
+        levels = F.transform(row["chain"], lambda s: F.element_at(sheet, s))
+        return F.struct(*[row[f].alias(f) for f in ("style_id", "own", "chain")], levels.alias("levels"))
+
+    def fold(levels: Column, bag: str) -> Column:
+        return F.aggregate(
+            F.reverse(levels),
+            default_bags[bag],
+            lambda acc, s: F.when(F.size(s[bag]) > 0, merge_bag(acc, s[bag])).otherwise(acc),
         )
 
     def derived(row: Column) -> Column:
-        chain = row["chain"]
-        level = _nearest(chain, sheet, lambda s: s["own_outline"])
-        reference = _nearest(
-            chain,
-            sheet,
-            lambda s: F.when(
-                has_prop(s["ppr"], "numPr"),
-                F.struct(
-                    bag_attr(s["ppr"], "numPr", "numId").alias("num_id"),
-                    lenient_int(bag_attr(s["ppr"], "numPr", "ilvl")).cast("int").alias("ilvl"),
-                ),
-            ),
+        levels = row["levels"]
+        outline = _nearest(levels, lambda s: s["own_outline"])
+        listed = F.filter(levels, lambda s: has_prop(s["ppr"], "numPr"))
+        refs = F.transform(listed, lambda s: F.element_at(s["ppr"], "numPr"))
+        first = F.try_element_at(refs, F.lit(1))
+        reference = F.struct(
+            attr(first, "numId").alias("num_id"), lenient_int(attr(first, "ilvl")).cast("int").alias("ilvl")
+        )
+        inherited = lambda name: F.coalesce(
+            _nearest(refs, lambda r: attr(r, name)), bag_attr(default_bags["ppr"], "numPr", name)
         )
-        num_id = _nearest(chain, sheet, lambda s: bag_attr(s["ppr"], "numPr", "numId"))
-        ilvl = _nearest(chain, sheet, lambda s: bag_attr(s["ppr"], "numPr", "ilvl"))
         return F.struct(
             row["style_id"].alias("style_id"),
-            *[row[f].alias(f) for f in ("ord", *_FIELDS, "chain")],
-            F.when(level <= 8, level).alias("outline"),
-            reference.alias("num_ref"),
-            F.coalesce(num_id, bag_attr(default_bags["ppr"], "numPr", "numId")).alias("list_num_id"),
-            F.coalesce(ilvl, bag_attr(default_bags["ppr"], "numPr", "ilvl")).alias("list_ilvl"),
-            reference.isNotNull().alias("list_from_style"),
-            fold(chain, "ppr").alias("eff_ppr"),
-            fold(chain, "rpr").alias("eff_rpr"),
+            *[row["own"][f].alias(f) for f in fields],
+            row["chain"].alias("chain"),
+            F.when(outline <= 8, outline).alias("outline"),
+            F.when(first.isNotNull(), reference).alias("num_ref"),
+            inherited("numId").alias("list_num_id"),
+            inherited("ilvl").alias("list_ilvl"),
+            (F.size(refs) > 0).alias("list_from_style"),
+            *([fold(levels, b).alias("eff_" + b) for b in ("ppr", "rpr")] if bags else []),
         )
 
-    walked = F.transform(F.map_keys(sheet), entry)
-    return base.select("pkg_id", "sheet", "defaults", walked.alias("walked")).select(
-        "pkg_id", F.inline(F.transform("walked", derived))
-    )
+    walked = F.transform(F.transform(F.map_entries(sheet), with_chain), with_levels)
+    return base.select("pkg_id", F.inline(F.transform(walked, derived)))
 
 
 def indents_two_chars(resolved: DataFrame) -> DataFrame:

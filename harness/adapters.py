@@ -71,10 +71,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 def par(spark: SparkSession, d: str) -> DataFrame:
     """Paragraph scalars."""
-    out = lines(spark, d)
-    for name, sql in LINE_COLUMNS.items():
-        out = out.withColumn(name, F.expr(sql))
-    return out
+    return lines(spark, d).select("*", *[F.expr(sql).alias(name) for name, sql in LINE_COLUMNS.items()])
 
 
 def _bag(entries: dict):

@@ -28,7 +28,7 @@ def styled(spark, d):
 
 
 def headed(spark, d):
-    resolved = catalog.resolve(A.styles(spark, d)).select("pkg_id", "style_id", "outline")
+    resolved = catalog.resolve(A.styles(spark, d), False).select("pkg_id", "style_id", "outline")
     return styled(spark, d).join(resolved, ["pkg_id", "style_id"], "left")
 
 
@@ -114,7 +114,7 @@ def a3(spark, d):
     rows = styled(spark, d).select(
         "pkg_id", "style_id", F.lit("paragraph").alias("style_type"), story_of(F.col("part")).alias("story")
     )
-    resolved = catalog.resolve(A.styles(spark, d)).select("pkg_id", "style_id", "outline")
+    resolved = catalog.resolve(A.styles(spark, d), False).select("pkg_id", "style_id", "outline")
     won = usage.heading_authority_by_body(usage.style_usage(rows), resolved)
     return won.withColumn("level", F.col("level").cast("bigint"))
 
@@ -218,7 +218,7 @@ def rule_text(c="rule"):
 )
 def a5(spark, d):
     sheet = A.styles(spark, d)
-    resolved = catalog.resolve(sheet)
+    resolved = catalog.resolve(sheet, False)
     levels = effective(spark, d, sheet)
     own = numbering.style_rules(resolved, levels)
     votes = usage.rule_votes(styled(spark, d), resolved, own, levels)
@@ -261,7 +261,7 @@ LEVELED = f"""SELECT *, CASE WHEN direct_outline IS NOT NULL THEN CASE WHEN dire
 
 
 def leveled(spark, d):
-    resolved = catalog.resolve(A.styles(spark, d)).select("pkg_id", "style_id", "outline")
+    resolved = catalog.resolve(A.styles(spark, d), False).select("pkg_id", "style_id", "outline")
     return usage.paragraph_levels(styled(spark, d), resolved)
 
 
