@@ -133,7 +133,7 @@ def next_pattern(pattern: Column, level: Column) -> Column:
     above = F.concat(F.lit("%"), level.cast("string"))
     last = F.length(pattern) - F.instr(F.reverse(pattern), F.reverse(own))
     before = F.substring(pattern, F.lit(1), last - 1)
-    gap = F.substring_index(before, above, -1)
+    gap = F.call_function("substring_index", before, above, F.lit(-1))
     has_above = (level >= 1) & (F.instr(before, above) > 0) & (gap != "")
     separator = F.when(has_above, gap).otherwise(F.lit("."))
     plain = F.array_join(
