@@ -374,6 +374,46 @@ CTES: dict[str, tuple[list[str], str]] = {
         "CASE WHEN style_type IN ('paragraph', 'character', 'table') THEN arg_min(style_id, ord) END) AS style_id "
         "FROM sty GROUP BY pkg_id, style_type) WHERE style_id IS NOT NULL",
     ),
+    # chain per language, with the document defaults at its far end
+    "lchain": (
+        ["tpl"],
+        "SELECT lang, style_id, style_id AS cur, 0 AS depth, [style_id] AS path FROM tpl UNION ALL "
+        "SELECT c.lang, c.style_id, p.style_id, c.depth + 1, list_append(c.path, p.style_id) FROM lchain c "
+        "JOIN tpl s ON s.lang = c.lang AND s.style_id = c.cur JOIN tpl p ON p.lang = s.lang AND p.style_id = s.based_on "
+        "WHERE NOT list_contains(c.path, p.style_id)",
+    ),
+    "lfull": (
+        ["lchain"],
+        "SELECT lang, style_id, cur, depth FROM lchain UNION ALL SELECT DISTINCT lang, style_id, '', 1000 FROM lchain",
+    ),
+    "lprop": (
+        ["lfull", "tprop"],
+        "SELECT c.lang, c.style_id, c.depth, p.bag, p.prop, p.attr, p.val FROM lfull c JOIN tprop p ON p.lang = c.lang AND p.style_id = c.cur",
+    ),
+    "lind": (
+        ["lprop"],
+        "SELECT lang, style_id, depth, attr, val FROM lprop WHERE bag = 'p' AND prop = 'ind' AND attr IS NOT NULL",
+    ),
+    "indev": (
+        ["lind"],
+        "SELECT lang, style_id, depth, attr, CASE WHEN attr LIKE '%Chars' AND val = '0' THEN 1 ELSE 0 END AS kill, val FROM lind "
+        "UNION ALL SELECT lang, style_id, depth, g.other, 1, NULL FROM lind JOIN (VALUES ('left', 'start'), ('start', 'left'), "
+        "('right', 'end'), ('end', 'right'), ('leftChars', 'startChars'), ('startChars', 'leftChars'), "
+        "('rightChars', 'endChars'), ('endChars', 'rightChars')) g(a, other) ON attr = g.a "
+        "UNION ALL SELECT lang, style_id, depth, unnest(['hanging', 'hangingChars']), 1, NULL FROM lind "
+        "WHERE attr = 'firstLine' OR (attr = 'firstLineChars' AND val <> '0') "
+        "UNION ALL SELECT lang, style_id, depth, unnest(['firstLine', 'firstLineChars']), 1, NULL FROM lind "
+        "WHERE attr = 'hanging' OR (attr = 'hangingChars' AND val <> '0')",
+    ),
+    # effective attributes of every style
+    "lattr": (
+        ["lprop", "indev"],
+        "SELECT lang, style_id, 'p' AS bag, 'ind' AS prop, attr, val FROM (SELECT * FROM indev QUALIFY row_number() OVER "
+        "(PARTITION BY lang, style_id, attr ORDER BY depth, kill) = 1) WHERE kill = 0 "
+        "UNION ALL SELECT lang, style_id, bag, prop, attr, arg_min(val, depth) FROM lprop WHERE prop IN ('spacing', 'rFonts') AND attr IS NOT NULL GROUP BY ALL "
+        "UNION ALL SELECT lang, style_id, bag, prop, attr, val FROM (SELECT *, min(depth) OVER (PARTITION BY lang, style_id, bag, prop) AS near FROM lprop "
+        "WHERE prop NOT IN ('spacing', 'rFonts', 'ind')) WHERE depth = near AND attr IS NOT NULL",
+    ),
     "abst": ([], fixed("abst", _place(T.ABSTRACTS), "abstract_id string, num_style_link string, nsid string, ord int")),
     "nums": ([], fixed("nums", _place(T.NUMS), "num_id string, abstract_id string, ord int")),
     "lvls": (

@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from harness.queries import aggregates, windows  # noqa: F401
+from harness.queries import aggregates, joins, windows  # noqa: F401
