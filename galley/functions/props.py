@@ -65,6 +65,30 @@ def override(older: Column, newer: Column) -> Column:
     return F.map_concat(rest, newer)
 
 
+def changed_attrs(attrs: Column, sets: dict, gone: dict | None = None) -> Column:
+    """Attributes with some set and some removed.
+
+    ``sets`` maps names to values, NULL leaving the attribute alone; ``gone``
+    maps names to conditions. ``attrs`` is read once, so changes of any number
+    stay one small expression.
+    """
+    entries = [F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in sets.items()]
+    new = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
+    if gone:
+        removed = F.array_compact(F.array(*[F.when(test, F.lit(n)) for n, test in gone.items()]))
+        attrs = F.map_filter(attrs, lambda k, _: ~F.array_contains(removed, k))
+    return override(attrs, new)
+
+
+def changed_props(bag: Column, new: dict) -> Column:
+    """Bag with some properties replaced: ``new`` maps names to ``(when, attrs)``."""
+    entries = [
+        F.when(test, F.struct(F.lit(k).alias("key"), attrs.cast(ATTRS).alias("value")))
+        for k, (test, attrs) in new.items()
+    ]
+    return override(bag, F.map_from_entries(F.array_compact(F.array(*entries))))
+
+
 def merge_indent(older: Column, newer: Column) -> Column:
     """Indent after a later style level.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from galley.functions.props import ATTRS, BAG, attr, override
+from galley.functions.props import ATTRS, BAG, attr, changed_attrs, changed_props
 from galley.functions.units import (
     chars_to_hundredths,
     line_to_raw,
@@ -50,118 +50,103 @@ def _field(patch: Column, name: str) -> Column:
     return F.try_element_at(patch, F.lit(name))
 
 
-def _put(attrs: Column, when: Column, values: dict, gone=()) -> Column:
-    """Set some attributes and drop others where a condition holds."""
-    new = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]).cast(ATTRS)
-    rest = F.map_filter(attrs, lambda k, _: ~k.isin(*gone)) if gone else attrs
-    return F.when(when, override(rest, new)).otherwise(attrs)
-
-
 def _prop(bag: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(bag, F.lit(name)), F.create_map().cast(ATTRS))
 
 
-def _set_prop(bag: Column, name: str, when: Column, attrs: Column) -> Column:
-    return F.when(when, override(bag, F.create_map(F.lit(name), attrs))).otherwise(bag)
-
-
 def run_bag(rpr: Column, patch: Column) -> Column:
     """Run bag after an edit; an explicit font or colour drops its theme one."""
     bag = F.coalesce(rpr, F.create_map().cast(BAG))
     latin, east = _field(patch, "font_latin"), _field(patch, "font_east_asia")
-    fonts = _put(
-        _prop(bag, "rFonts"), latin.isNotNull(), {"ascii": latin, "hAnsi": latin},
-        ("asciiTheme", "hAnsiTheme"),
+    bold, color = _field(patch, "bold"), _field(patch, "color_hex")
+    flag = F.when(bold == "true", F.lit("1")).when(bold.isNotNull(), F.lit("0"))
+    half = pt_to_half_points(_field(patch, "size_pt"))
+    fonts = changed_attrs(
+        _prop(bag, "rFonts"),
+        {"ascii": latin, "hAnsi": latin, "eastAsia": east},
+        {
+            "asciiTheme": latin.isNotNull(), "hAnsiTheme": latin.isNotNull(),
+            "eastAsiaTheme": east.isNotNull(),
+        },
     )
-    fonts = _put(fonts, east.isNotNull(), {"eastAsia": east}, ("eastAsiaTheme",))
-    bag = _set_prop(bag, "rFonts", latin.isNotNull() | east.isNotNull(), fonts)
-    bold = _field(patch, "bold")
-    flag = F.when(bold == "true", F.lit("1")).otherwise(F.lit("0"))
-    half = pt_to_half_points(_field(patch, "size_pt")).cast("string")
-    for name, given, value in (
-        ("b", bold, flag), ("bCs", bold, flag), ("sz", half, half), ("szCs", half, half),
-    ):
-        bag = _set_prop(
-            bag, name, given.isNotNull(), _put(_prop(bag, name), given.isNotNull(), {"val": value})
-        )
-    color = _field(patch, "color_hex")
-    painted = _put(
-        _prop(bag, "color"), color.isNotNull(), {"val": color},
-        ("themeColor", "themeTint", "themeShade"),
+    painted = changed_attrs(
+        _prop(bag, "color"),
+        {"val": color},
+        {n: F.lit(True) for n in ("themeColor", "themeTint", "themeShade")},
     )
-    return _set_prop(bag, "color", color.isNotNull(), painted)
+    new = {
+        "rFonts": (latin.isNotNull() | east.isNotNull(), fonts),
+        "color": (color.isNotNull(), painted),
+    }
+    for names, value in ((("b", "bCs"), flag), (("sz", "szCs"), half)):
+        for name in names:
+            new[name] = (value.isNotNull(), changed_attrs(_prop(bag, name), {"val": value}))
+    return changed_props(bag, new)
 
 
 def _indent(ind: Column, patch: Column) -> Column:
     """Indent after an edit: the other unit becomes zero, and of first line and
     hanging only the chosen one stays."""
     zero = F.lit("0")
+    sets: dict = {}
     for side, names, chars in (
         ("left", ("left", "start"), ("leftChars", "startChars")),
         ("right", ("right", "end"), ("rightChars", "endChars")),
     ):
-        pt, ch = _field(patch, f"{side}_indent_pt"), _field(patch, f"{side}_indent_chars")
-        twips = pt_to_twips(pt).cast("string")
-        units = chars_to_hundredths(ch).cast("string")
-        in_points = {n: twips for n in names} | {n: zero for n in chars}
-        in_chars = {n: units for n in chars} | {n: zero for n in names}
-        ind = F.when(pt.isNotNull(), _put(ind, F.lit(True), in_points)).otherwise(
-            _put(ind, ch.isNotNull(), in_chars)
-        )
+        twips = pt_to_twips(_field(patch, f"{side}_indent_pt")).cast("string")
+        units = chars_to_hundredths(_field(patch, f"{side}_indent_chars")).cast("string")
+        points = F.coalesce(twips, F.when(units.isNotNull(), zero))
+        letters = F.when(twips.isNotNull(), zero).otherwise(units)
+        sets |= {n: points for n in names} | {n: letters for n in chars}
     given = {
         (kind, unit): _field(patch, f"{kind}_indent_{unit}")
         for kind in ("first_line", "hanging")
         for unit in ("pt", "chars")
     }
-    one = lambda kind: F.coalesce(given[kind, "pt"], given[kind, "chars"])
-    live = lambda c: F.coalesce(F.abs(c.cast("double")) > 1e-9, F.lit(False))
-    hanging_first = live(one("hanging")) & ~live(one("first_line"))
-    names = {"first_line": ("firstLine", "firstLineChars"), "hanging": ("hanging", "hangingChars")}
-
-    def chosen(kind: str, unit: str) -> Column:
-        pt_name, ch_name = names[kind]
-        other = names["hanging" if kind == "first_line" else "first_line"]
-        if unit == "pt":
-            values = {pt_name: pt_to_twips(given[kind, "pt"]).cast("string"), ch_name: zero}
-        else:
-            values = {ch_name: chars_to_hundredths(given[kind, "chars"]).cast("string"), pt_name: zero}
-        return _put(ind, F.lit(True), values, other)
-
-    has = {k: v.isNotNull() for k, v in given.items()}
-    return (
-        F.when(hanging_first & has["hanging", "pt"], chosen("hanging", "pt"))
-        .when(hanging_first, chosen("hanging", "chars"))
-        .when(has["first_line", "pt"], chosen("first_line", "pt"))
-        .when(has["first_line", "chars"], chosen("first_line", "chars"))
-        .when(has["hanging", "pt"], chosen("hanging", "pt"))
-        .when(has["hanging", "chars"], chosen("hanging", "chars"))
-        .otherwise(ind)
+    amount = lambda kind: F.coalesce(given[kind, "pt"], given[kind, "chars"]).cast("double")
+    live = lambda kind: F.coalesce(F.abs(amount(kind)) > 1e-9, F.lit(False))
+    hanging_first = live("hanging") & ~live("first_line")
+    choice = F.when(hanging_first & given["hanging", "pt"].isNotNull(), F.lit("hanging pt")).when(
+        hanging_first, F.lit("hanging chars")
     )
+    for kind, unit in given:
+        choice = choice.when(given[kind, unit].isNotNull(), F.lit(f"{kind} {unit}"))
+    gone: dict = {}
+    for kind, (in_pt, in_chars), other in (
+        ("first_line", ("firstLine", "firstLineChars"), "hanging"),
+        ("hanging", ("hanging", "hangingChars"), "first_line"),
+    ):
+        by_pt, by_chars = choice == f"{kind} pt", choice == f"{kind} chars"
+        sets[in_pt] = F.when(by_pt, pt_to_twips(given[kind, "pt"]).cast("string")).when(by_chars, zero)
+        sets[in_chars] = F.when(by_chars, chars_to_hundredths(given[kind, "chars"]).cast("string")).when(by_pt, zero)
+        dropped = F.coalesce(choice.startswith(other), F.lit(False))
+        gone |= {in_pt: dropped, in_chars: dropped}
+    return changed_attrs(ind, sets, gone)
 
 
 def paragraph_bag(ppr: Column, patch: Column) -> Column:
     """Paragraph bag after an edit."""
     bag = F.coalesce(ppr, F.create_map().cast(BAG))
-    jc = _field(patch, "alignment")
-    bag = _set_prop(bag, "jc", jc.isNotNull(), _put(_prop(bag, "jc"), jc.isNotNull(), {"val": jc}))
-    spacing = _prop(bag, "spacing")
-    zero = F.lit("0")
-    touched = F.lit(False)
+    jc, zero = _field(patch, "alignment"), F.lit("0")
+    line, rule = _field(patch, "line_spacing"), _field(patch, "line_rule")
+    both = line.isNotNull() & rule.isNotNull()
+    sets = {"line": F.when(both, line_to_raw(line, rule).cast("string")), "lineRule": F.when(both, rule)}
+    touched = both
     for side in ("before", "after"):
         pt = _field(patch, f"space_{side}_pt")
-        values = {
-            side: pt_to_twips(pt).cast("string"), f"{side}Lines": zero, f"{side}Autospacing": zero,
-        }
-        spacing = _put(spacing, pt.isNotNull(), values)
         touched = touched | pt.isNotNull()
-    line, rule = _field(patch, "line_spacing"), _field(patch, "line_rule")
-    both = line.isNotNull() & rule.isNotNull()
-    raw = line_to_raw(line, rule).cast("string")
-    spacing = _put(spacing, both, {"line": raw, "lineRule": rule})
-    bag = _set_prop(bag, "spacing", touched | both, spacing)
-    indents = [f for f in PARAGRAPH_FIELDS if "_indent_" in f]
-    any_indent = F.coalesce(*[_field(patch, f) for f in indents]).isNotNull()
-    return _set_prop(bag, "ind", any_indent, _indent(_prop(bag, "ind"), patch))
+        sets[side] = pt_to_twips(pt).cast("string")
+        for other in (f"{side}Lines", f"{side}Autospacing"):
+            sets[other] = F.when(pt.isNotNull(), zero)
+    indents = [_field(patch, f) for f in PARAGRAPH_FIELDS if "_indent_" in f]
+    return changed_props(
+        bag,
+        {
+            "jc": (jc.isNotNull(), changed_attrs(_prop(bag, "jc"), {"val": jc})),
+            "spacing": (touched, changed_attrs(_prop(bag, "spacing"), sets)),
+            "ind": (F.coalesce(*indents).isNotNull(), _indent(_prop(bag, "ind"), patch)),
+        },
+    )
 
 
 def table_bag(tpr: Column, patch: Column) -> Column:
@@ -169,31 +154,34 @@ def table_bag(tpr: Column, patch: Column) -> Column:
     as ``top.color``; a border edit touches every border, a margin edit only
     the given side."""
     bag = F.coalesce(tpr, F.create_map().cast(BAG))
-    fill = _field(patch, "table_fill_hex")
-    theme = ("themeColor", "themeTint", "themeShade", "themeFill", "themeFillTint", "themeFillShade")
-    solid = {"val": F.lit("clear"), "color": F.lit("auto"), "fill": fill}
-    bag = _set_prop(bag, "shd", fill.isNotNull(), _put(_prop(bag, "shd"), fill.isNotNull(), solid, theme))
-    style = _field(patch, "table_border_style")
+    fill, style = _field(patch, "table_fill_hex"), _field(patch, "table_border_style")
     color = _field(patch, "table_border_color_hex")
     width = pt_to_eighths(_field(patch, "table_border_width_pt")).cast("string")
-    any_border = F.coalesce(style, color, width).isNotNull()
-    borders = _prop(bag, "tblBorders")
+    theme = ("themeColor", "themeTint", "themeShade", "themeFill", "themeFillTint", "themeFillShade")
+    shade = changed_attrs(
+        _prop(bag, "shd"),
+        {"val": F.lit("clear"), "color": F.lit("auto"), "fill": fill},
+        {t: F.lit(True) for t in theme},
+    )
+    borders, sets, gone = _prop(bag, "tblBorders"), {}, {}
     for side in ("top", "left", "bottom", "right", "insideH", "insideV"):
-        existing = attr(borders, f"{side}.val")
-        borders = _put(
-            borders, any_border, {f"{side}.val": F.coalesce(style, existing, F.lit("single"))}
-        )
-        gone = tuple(f"{side}.{t}" for t in ("themeColor", "themeTint", "themeShade"))
-        borders = _put(borders, color.isNotNull(), {f"{side}.color": color}, gone)
-        borders = _put(borders, width.isNotNull(), {f"{side}.sz": width})
-    bag = _set_prop(bag, "tblBorders", any_border, borders)
-    margins, any_margin = _prop(bag, "tblCellMar"), F.lit(False)
+        sets[f"{side}.val"] = F.coalesce(style, attr(borders, f"{side}.val"), F.lit("single"))
+        sets |= {f"{side}.color": color, f"{side}.sz": width}
+        gone |= {f"{side}.{t}": color.isNotNull() for t in theme[:3]}
+    margins, any_margin = {}, []
     for side in ("top", "left", "bottom", "right"):
         pt = _field(patch, f"table_cell_margin_{side}_pt")
-        twips = pt_to_twips(pt).cast("string")
-        margins = _put(margins, pt.isNotNull(), {f"{side}.w": twips, f"{side}.type": F.lit("dxa")})
-        any_margin = any_margin | pt.isNotNull()
-    return _set_prop(bag, "tblCellMar", any_margin, margins)
+        any_margin.append(pt)
+        margins[f"{side}.w"] = pt_to_twips(pt).cast("string")
+        margins[f"{side}.type"] = F.when(pt.isNotNull(), F.lit("dxa"))
+    return changed_props(
+        bag,
+        {
+            "shd": (fill.isNotNull(), shade),
+            "tblBorders": (F.coalesce(style, color, width).isNotNull(), changed_attrs(borders, sets, gone)),
+            "tblCellMar": (F.coalesce(*any_margin).isNotNull(), changed_attrs(_prop(bag, "tblCellMar"), margins)),
+        },
+    )
 
 
 def touches(patch: Column, fields) -> Column:

@@ -117,11 +117,7 @@ def import_packs(incoming: DataFrame, stored: DataFrame) -> DataFrame:
         "content_key", F.col("pack_id").alias("first_id"), F.col("seq").alias("first_seq")
     )
     decided = checked.join(id_owner, "pack_id", "left").join(content_owner, "content_key", "left")
-    late = (
-        F.col("stored_id").isNull()
-        & (F.col("owner_seq") < F.col("seq"))
-        & (F.col("owner_key") != F.col("content_key"))
-    )
+    late = (F.col("owner_seq") < F.col("seq")) & (F.col("owner_key") != F.col("content_key"))
     action = (
         F.when(F.col("clash") | F.coalesce(late, F.lit(False)), F.lit("conflict"))
         .when(F.col("stored_id").isNotNull(), F.lit("reuse"))

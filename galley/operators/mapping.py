@@ -6,17 +6,15 @@ mapping is a single equi-join on the pack, whatever the number of tiers.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from galley.functions.props import (
     BAG,
     bag_attr,
+    changed_props,
     clear_cell_indent,
     dropped,
     keep_only,
-    override,
     plain_table_cell,
 )
 from galley.functions.text import style_key
@@ -320,16 +318,13 @@ def heading_overrides(mapped: DataFrame, profiles: DataFrame) -> DataFrame:
     heading = F.col("mapped_outline").isNotNull()
     some = lambda c: heading & F.col(c).isNotNull() & (F.size(c) > 0)
     jc = F.create_map(F.lit("val"), F.col("jc"))
-    parts = [
-        (some("ind"), "ind", F.col("ind")),
-        (some("spacing"), "spacing", F.col("spacing")),
-        (heading & F.col("jc").isNotNull(), "jc", jc),
-    ]
-    empty = F.create_map().cast(BAG)
-    new = reduce(
-        lambda acc, p: F.when(p[0], override(acc, F.create_map(F.lit(p[1]), p[2]))).otherwise(acc),
-        parts,
-        F.coalesce("ppr", empty),
+    new = changed_props(
+        F.coalesce("ppr", F.create_map().cast(BAG)),
+        {
+            "ind": (some("ind"), F.col("ind")),
+            "spacing": (some("spacing"), F.col("spacing")),
+            "jc": (heading & F.col("jc").isNotNull(), jc),
+        },
     )
     return (
         joined.withColumn("ppr", new)

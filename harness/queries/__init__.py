@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from harness.queries import aggregates, joins, rows, windows  # noqa: F401
+from harness.queries import aggregates, joins, libraries, rows, windows  # noqa: F401
