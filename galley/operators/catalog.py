@@ -19,7 +19,7 @@ from galley.functions.props import (
 )
 from galley.functions.text import heading_key, style_key
 from galley.functions.units import lenient_int
-from galley.registries import DEFAULT_STYLE_NAMES
+from galley.registries import DEFAULT_STYLE_NAMES, WRAPPER_NAME, WRAPPER_PREFIX
 
 _FIELDS = (
     "style_type", "name", "aliases", "based_on", "own_outline", "is_default", "ppr", "rpr",
@@ -280,8 +280,6 @@ def wrapper_styles(styles: DataFrame, resolved: DataFrame) -> DataFrame:
     An id already held by such a companion is reused; one held by another style
     gets the first free suffix.
     """
-    from galley.registries import WRAPPER_NAME, WRAPPER_PREFIX
-
     preferred = F.concat(
         F.lit(WRAPPER_PREFIX + "_"), F.substring(F.sha2("style_id", 256), 1, 12)
     )

@@ -9,15 +9,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from galley.functions.props import ATTRS, BAG, attr, changed_attrs, changed_props
+from galley.functions.props import (
+    ATTRS,
+    BAG,
+    alignment_profile,
+    attr,
+    changed_attrs,
+    changed_props,
+    indent_profile,
+    spacing_profile,
+)
 from galley.functions.units import (
     chars_to_hundredths,
+    lenient_int,
     line_to_raw,
+    on_off,
     pt_to_eighths,
     pt_to_half_points,
     pt_to_twips,
 )
-from galley.registries import NUMBERING_FIELDS, PARAGRAPH_FIELDS, RUN_FIELDS, TABLE_FIELDS
+from galley.registries import (
+    ALIGNMENTS,
+    INDENT_ATTRS,
+    LINE_RULES,
+    NUMBERING_FIELDS,
+    PARAGRAPH_FIELDS,
+    RUN_FIELDS,
+    SPACING_FLAG_ATTRS,
+    SPACING_INT_ATTRS,
+    TABLE_FIELDS,
+)
 
 
 
@@ -277,8 +298,6 @@ def sync_overrides(profiles: DataFrame, edits: DataFrame, headings: DataFrame) -
     ``profiles`` has ``pack_id, style_id, ind, spacing, jc``; ``headings``
     ``pack_id, style_id`` of heading styles.
     """
-    from galley.functions.props import alignment_profile, indent_profile, spacing_profile
-
     mine = (
         patches(edits)
         .filter(touches(F.col("patch"), PARAGRAPH_FIELDS))
@@ -310,16 +329,6 @@ def saved_profiles(saved: DataFrame, styles: DataFrame) -> DataFrame:
     its property only; the older indent-only field fills in where there is no
     indent, and there unknown attributes are skipped.
     """
-    from galley.functions.props import indent_profile, spacing_profile
-    from galley.functions.units import lenient_int, on_off
-    from galley.registries import (
-        ALIGNMENTS,
-        INDENT_ATTRS,
-        LINE_RULES,
-        SPACING_FLAG_ATTRS,
-        SPACING_INT_ATTRS,
-    )
-
     integer = lambda v: lenient_int(v).isNotNull()
     ind, spacing, legacy = F.col("ind"), F.col("spacing"), F.col("legacy_ind")
     ind_ok = (F.size(ind) > 0) & F.forall(

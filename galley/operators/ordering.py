@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from galley.functions.numerals import placeholders
+from galley.functions.paths import is_content_part
 from galley.functions.text import casefold, style_key
-from galley.registries import BODY_NAMES
+from galley.registries import BODY_NAMES, FORMAT_ROLES
 
 
 def format_rank(style_type: Column, outline: Column, name: Column) -> Column:
@@ -70,8 +71,6 @@ def active_parts(parts: DataFrame, rels: DataFrame, references: DataFrame) -> Da
     ``parts`` has ``pkg_id, part``; ``rels`` ``pkg_id, rel_id, role, part`` of
     the body's internal relationships; ``references`` ``pkg_id, rel_id``.
     """
-    from galley.functions.paths import is_content_part
-
     framed = rels.filter(F.col("role").isin("header", "footer")).join(
         references.select("pkg_id", "rel_id").distinct(), ["pkg_id", "rel_id"], "left_semi"
     )
@@ -101,8 +100,6 @@ def format_only(rows: DataFrame, tags) -> DataFrame:
 
     ``rows`` has ``role, tag, rel_attrs``.
     """
-    from galley.registries import FORMAT_ROLES
-
     return rows.filter(
         F.col("role").isin(*FORMAT_ROLES, "settings")
         & ~F.col("tag").isin(*tags)

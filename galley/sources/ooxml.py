@@ -17,8 +17,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from galley import schemas as S
-from galley.functions.paths import is_content_part, rel_role, resolve_target
-from galley.registries import FORMAT_ROLES, ROLE_DEFAULT_PART
+from galley.functions.paths import is_content_part, rel_role, resolve_target, story
+from galley.functions.props import bag_attr
+from galley.functions.units import lenient_int
+from galley.registries import FORMAT_ROLES, ROLE_DEFAULT_PART, SECTION_TAGS
 
 _BATCH = 4096
 # Children of a paragraph that leave its text plain.
@@ -382,10 +384,6 @@ def settings(parts: DataFrame) -> DataFrame:
 
 def paragraphs(nodes: DataFrame) -> DataFrame:
     """Paragraph rows with their direct outline and list reference."""
-    from galley.functions.paths import story
-    from galley.functions.props import bag_attr
-    from galley.functions.units import lenient_int
-
     level = lenient_int(bag_attr(F.col("bag"), "outlineLvl", "val"))
     return nodes.filter(F.col("kind") == "paragraph").select(
         "pkg_id",
@@ -406,8 +404,6 @@ def paragraphs(nodes: DataFrame) -> DataFrame:
 
 def sections(nodes: DataFrame) -> DataFrame:
     """Layout tags of every section, in order, restricted to the allow-list."""
-    from galley.registries import SECTION_TAGS
-
     return (
         nodes.filter(F.col("kind") == "section")
         .select("pkg_id", "part", F.col("ord").cast("int").alias("idx"), F.explode_outer("bag"))

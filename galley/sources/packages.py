@@ -20,6 +20,8 @@ from pyspark.sql.types import StructType
 from galley import registries as R
 from galley.schemas import MEMBERS
 
+_BATCH_BYTES = 16 * R.MIB
+_BATCH_ROWS = 4096
 _SUFFIXES = {"source": R.SOURCE_SUFFIXES, "target": R.TARGET_SUFFIXES, "pack": (R.PACK_SUFFIX,)}
 _FILE_CAP = {
     "source": R.MAX_PACKAGE_FILE_BYTES,
@@ -105,10 +107,16 @@ def scan(files: DataFrame, role: str = "source") -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(MEMBERS))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending, held = [], 0
         for batch in batches:
             for pkg_id, data in zip(batch["path"].to_pylist(), batch["content"]):
                 for row in _members(pkg_id, data.as_py()):
-                    yield pa.RecordBatch.from_pylist([row], schema=schema)
+                    pending.append(row)
+                    held += len(row.get("content") or b"")
+                    if held > _BATCH_BYTES or len(pending) >= _BATCH_ROWS:
+                        yield pa.RecordBatch.from_pylist(pending, schema=schema)
+                        pending, held = [], 0
+        yield pa.RecordBatch.from_pylist(pending, schema=schema)
 
     cap = _FILE_CAP[role]
     opened = files.filter(F.col("length") <= cap).select("path", "content")
