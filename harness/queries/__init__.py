@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from harness.queries import aggregates, joins, libraries, rows, validation, windows  # noqa: F401
+from harness.queries import aggregates, jobs, joins, libraries, rows, validation, windows  # noqa: F401

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galley.operators import library, quality, usage
-from galley.registries import ALIGNMENTS, EDIT_RANGES, SECTION_TAGS
 from galley.sources.packs import parse_manifests
 from harness import adapters as A
 from harness.queries.aggregates import HEADED_NEEDS, LEVELED, leveled
