@@ -146,23 +146,32 @@ def inherit_parent_indent(
 ) -> DataFrame:
     """Generated heading styles nobody used take the indent of the level above.
 
-    ``inferred`` and ``authority`` have ``pkg_id, level, style_id``. Levels are
-    walked upwards, because a generated style can follow a generated one.
+    ``inferred`` and ``authority`` have ``pkg_id, level, style_id``. A generated
+    style can follow a generated one, so a package's few levels are folded in
+    one row, from the top down.
     """
-    silent = inferred.join(observed.select("pkg_id", "style_id"), ["pkg_id", "style_id"], "left_anti")
-    known = profiles.select("pkg_id", "style_id", F.col("ind"))
-    lent = None
-    for level in range(3, 9):
-        above = authority.filter(F.col("level") == level - 1).select("pkg_id", "style_id")
-        mine = (
-            silent.filter(F.col("level") == level)
-            .select("pkg_id", F.col("style_id").alias("child"))
-            .join(above.join(known, ["pkg_id", "style_id"]), "pkg_id")
-            .filter("ind IS NOT NULL")
-            .select("pkg_id", F.col("child").alias("style_id"), "ind")
-        )
-        known = known.unionByName(mine)
-        lent = mine if lent is None else lent.unionByName(mine)
+    pairs = lambda key, value: F.map_from_entries(F.collect_list(F.struct(key, value)))
+    silent = (
+        inferred.join(observed.select("pkg_id", "style_id"), ["pkg_id", "style_id"], "left_anti")
+        .groupBy("pkg_id")
+        .agg(F.array_sort(F.collect_list(F.struct("level", "style_id"))).alias("silent"))
+    )
+    known = profiles.filter("ind IS NOT NULL").groupBy("pkg_id").agg(pairs("style_id", "ind").alias("known"))
+    places = authority.groupBy("pkg_id").agg(pairs("level", "style_id").alias("places"))
+
+    def lend(acc: Column, item: Column) -> Column:
+        above = F.try_element_at(acc, F.try_element_at("places", item["level"] - 1))
+        new = above.isNotNull() & ~F.map_contains_key(acc, item["style_id"])
+        return F.when(new, F.map_concat(acc, F.create_map(item["style_id"], above))).otherwise(acc)
+
+    lent = (
+        silent.join(known, "pkg_id")
+        .join(places, "pkg_id")
+        .withColumn("known", F.aggregate("silent", F.col("known"), lend))
+        .select("pkg_id", "known", F.explode("silent").alias("s"))
+        .select("pkg_id", "s.style_id", F.try_element_at("known", F.col("s.style_id")).alias("ind"))
+        .filter("ind IS NOT NULL")
+    )
     return profiles.unionByName(lent, allowMissingColumns=True)
 
 

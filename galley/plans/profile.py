@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from galley.functions.paths import story
 from galley.operators import catalog, completion, numbering, ordering, usage
 from galley.operators.fonts import style_fonts, theme_colors, theme_fonts
+from galley.operators.graph import settled
 from galley.operators.preview import previews
 
 
@@ -46,10 +47,12 @@ def profile(c: Corpus) -> Profile:
     and counts of every package.
 
     Paragraphs are reduced to counts per style before anything is joined to
-    them, so the wide style tables meet a few rows per package.
+    them, so the wide style tables meet a few rows per package. Tables that
+    several steps read are checkpointed once: they are computed one time, and
+    the plans built on them stay short.
     """
-    resolved = catalog.resolve(c.styles)
-    defaults = catalog.default_styles(c.styles)
+    resolved = settled(catalog.resolve(c.styles))
+    defaults = settled(catalog.default_styles(c.styles))
     tables = catalog.default_table_style(c.settings, c.styles)
     nodes = c.nodes.withColumn("story", story(F.col("part")))
 
@@ -59,18 +62,20 @@ def profile(c: Corpus) -> Profile:
     runs = nodes.filter((F.col("kind") == "run") & F.col("style_id").isNotNull())
     drawn = usage.with_default_style(nodes.filter(F.col("kind") == "table"), tables, "table")
     typed = lambda df, kind: df.select("pkg_id", "story", "style_id", F.lit(kind).alias("style_type"))
-    used = usage.style_usage(
-        typed(paragraphs, "paragraph")
-        .unionByName(typed(runs, "character"))
-        .unionByName(typed(drawn, "table"))
+    used = settled(
+        usage.style_usage(
+            typed(paragraphs, "paragraph")
+            .unionByName(typed(runs, "character"))
+            .unionByName(typed(drawn, "table"))
+        )
     )
     actual = usage.heading_authority_by_body(used, resolved)
 
     lists = numbering.concrete_lists(c.nums, c.abstracts, c.styles)
-    effective = numbering.levels(lists, c.levels, c.overrides)
+    effective = settled(numbering.levels(lists, c.levels, c.overrides))
     own = numbering.style_rules(resolved, effective)
     body = paragraphs.withColumnRenamed("bag", "ppr")
-    voted = usage.rule_votes(body, resolved, own, effective).filter("rule IS NOT NULL")
+    voted = settled(usage.rule_votes(body, resolved, own, effective).filter("rule IS NOT NULL"))
 
     measured = completion.measures(resolved)
     generated = completion.complete_levels(
@@ -79,13 +84,14 @@ def profile(c: Corpus) -> Profile:
     inferred = completion.completion_ids(
         generated.select("pkg_id", "level"), resolved, catalog.headings_by_level(resolved)
     )
-    authority = actual.unionByName(inferred)
+    inferred = settled(inferred)
+    authority = settled(actual.unionByName(inferred))
 
     headings = authority.select("pkg_id", "style_id").unionByName(
         voted.select("pkg_id", "style_id")
     ).distinct()
     observed = body.join(headings, ["pkg_id", "style_id"], "left_semi")
-    winners = usage.property_consensus(observed)
+    winners = settled(usage.property_consensus(observed))
     profiles = usage.inherit_parent_indent(
         usage.consensus_profiles(winners), winners.select("pkg_id", "style_id").distinct(), inferred, authority
     )

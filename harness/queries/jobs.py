@@ -266,7 +266,12 @@ def g6(spark, d):
     return pack_plan.import_library(incoming, L.stored_packs(spark, d), none).select("seq", "action")
 
 
-EMPTY_IMPORT = L.IMPORT.replace("WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)", "WHERE false")
+# Import into an empty library: nothing stored can clash or be reused.
+EMPTY_IMPORT = (
+    L.IMPORT[: L.IMPORT.index("inc2 AS MAT")]
+    + "inc2 AS MATERIALIZED (SELECT inc.*, false AS clash, CAST(NULL AS VARCHAR) AS sid FROM inc),"
+    + L.IMPORT[L.IMPORT.index("walk AS") :]
+)
 
 
 @query("t1_import_stream", [], f"WITH RECURSIVE {EMPTY_IMPORT} SELECT seq, action, library_id FROM walk WHERE i > 0")

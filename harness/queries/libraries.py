@@ -156,8 +156,8 @@ def stored_packs(spark, d):
 
 
 IMPORT = f"""st AS (SELECT 'p' || (doc_id % 90) AS pack_id, sha256(text) || lang AS k FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
-    inc AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id AS seq, {PACK_ID} AS pack_id, sha256(text) AS fp, sha256(text) || lang AS k FROM documents),
-    inc2 AS (SELECT inc.*, coalesce(bool_or(s.k <> inc.k), false) AS clash, (SELECT min(pack_id) FROM st t WHERE t.k = inc.k) AS sid FROM inc LEFT JOIN st s ON s.pack_id = inc.pack_id GROUP BY ALL),
+    inc AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id AS seq, {PACK_ID} AS pack_id, sha256(text) AS fp, sha256(text) || lang AS k FROM documents),
+    inc2 AS MATERIALIZED (SELECT inc.*, coalesce(bool_or(s.k <> inc.k), false) AS clash, (SELECT min(pack_id) FROM st t WHERE t.k = inc.k) AS sid FROM inc LEFT JOIN st s ON s.pack_id = inc.pack_id GROUP BY ALL),
     walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS ks, CAST(NULL AS BIGINT) AS seq, '' AS action, CAST(NULL AS VARCHAR) AS library_id
       UNION ALL SELECT n.i, CASE WHEN act = 'append' THEN list_append(ids, n.pack_id) ELSE ids END, CASE WHEN act = 'append' THEN list_append(ks, n.k) ELSE ks END, n.seq, act,
         CASE WHEN act <> 'conflict' THEN coalesce(n.sid, CASE WHEN act = 'append' THEN n.pack_id ELSE ids[list_position(ks, n.k)] END) END
