@@ -473,8 +473,11 @@ def g5(spark, d):
 
 @query(
     "g8_font_coverage", [],
-    """WITH f AS (SELECT o_custkey AS pack_id, 'Brand#' || (11 + o_orderkey % 60) AS name FROM orders), n AS (SELECT DISTINCT pack_id, name FROM f)
-       SELECT pack_id, CASE WHEN lower(name) IN (SELECT lower(p_brand) FROM part) THEN 'installed' ELSE 'missing' END AS kind, count(*) AS fonts FROM n GROUP BY ALL""",
+    f"""WITH k AS (SELECT DISTINCT fam, unnest([fam, lower(p_type), fam || '-' || p_partkey]) AS s FROM (SELECT *, lower(p_brand) AS fam FROM part)),
+        sk AS (SELECT s, min(fam) AS lo, max(fam) AS hi FROM k GROUP BY ALL), ck AS (SELECT {L.COMPACT.format('s')} AS c, min(fam) AS lo, max(fam) AS hi FROM k GROUP BY ALL),
+        n AS (SELECT DISTINCT o_custkey AS pack_id, 'Brand#' || (11 + o_orderkey % 60) AS name FROM orders),
+        m AS (SELECT n.*, coalesce(s.lo, c.lo) AS lo, CASE WHEN s.lo IS NOT NULL THEN s.hi ELSE c.hi END AS hi FROM n LEFT JOIN sk s ON s.s = lower(n.name) LEFT JOIN ck c ON c.c = {L.COMPACT.format('n.name')})
+        SELECT pack_id, CASE WHEN lo IS NULL THEN 'missing' WHEN lo <> hi THEN 'ambiguous' WHEN lo = lower(name) THEN 'installed' ELSE 'alias' END AS kind, count(*) AS fonts FROM m GROUP BY ALL""",
 )
 def g8(spark, d):
     name = F.concat(F.lit("Brand#"), (F.col("o_orderkey") % 60 + 11).cast("string"))
