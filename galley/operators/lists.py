@@ -196,7 +196,8 @@ def content_identity(rows: DataFrame, content: Column, occupied: DataFrame) -> D
         tries = F.transform(
             F.sequence(F.lit(0), F.size(busy)), lambda i: (item["head"] + i) % F.lit(size)
         )
-        free = F.filter(tries, lambda c: ~F.array_contains(busy, c))[0]
+        probed = F.filter(tries, lambda c: ~F.array_contains(busy, c))[0]
+        free = F.when(F.array_contains(busy, item["head"]), probed).otherwise(item["head"])
         return F.struct(
             F.array_append(acc["taken"], free).alias("taken"),
             F.array_append(

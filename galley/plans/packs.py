@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from galley.functions.text import file_stem
 from galley.operators import catalog, edits as E, library, numbering, quality
@@ -21,9 +21,12 @@ def manifests(p: Profile, names: DataFrame) -> DataFrame:
     formats = p.formats.groupBy("pkg_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", F.to_json(F.struct(*fields)).alias("json")))).alias("sorted")
     )
-    pairs = lambda key, value: F.map_from_entries(
-        F.array_sort(F.collect_list(F.struct(key.alias("key"), value.alias("value"))))
-    )
+
+    def pairs(key: Column, value: Column) -> Column:
+        found = F.map_from_entries(F.collect_list(F.struct(key.alias("key"), value.alias("value"))))
+        keys = F.array_sort(F.map_keys(found))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(found, k)))
+
     authority = p.authority.groupBy("pkg_id").agg(
         pairs(F.col("level").cast("string"), F.col("style_id")).alias("heading_authorities")
     )
