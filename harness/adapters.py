@@ -121,11 +121,15 @@ def styles(spark: SparkSession, d: str) -> DataFrame:
 
 def numbering(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Numbering part of every document; all share one."""
-    ids = docs(spark, d).select("pkg_id").withColumn("k", F.lit(1))
+    ids = docs(spark, d).select("pkg_id")
 
     def every(rows, columns: str) -> DataFrame:
-        fixed = literal(spark, rows, columns).withColumn("k", F.lit(1))
-        return ids.join(F.broadcast(fixed), "k").drop("k")
+        fields = [c.split() for c in columns.split(",")]
+        struct = lambda row: ", ".join(
+            f"'{n}', CAST({T.literal(v, 'spark')} AS {t})" for (n, t), v in zip(fields, row)
+        )
+        fixed = ", ".join(f"named_struct({struct(row)})" for row in rows)
+        return ids.selectExpr("pkg_id", f"inline(array({fixed}))")
 
     place = lambda rows: [(*r, i) for i, r in enumerate(rows)]
     ind = F.map_from_arrays(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from galley.operators import catalog, fonts, library, numbering, ordering, quality, usage
+from galley.operators import catalog, fonts, library, numbering, quality, usage
 from harness import adapters as A
 from harness.registry import query
 

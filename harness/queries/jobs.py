@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from galley.functions import props
-from galley.operators import catalog, library, mapping, ordering, quality, usage
+from galley.operators import catalog, library, mapping
 from galley.plans import apply as apply_plan, fonts as font_plan, packs as pack_plan, preflight as preflight_plan, profile as profile_plan
 from galley.sources import ooxml, packages, requests as edit_requests, sinks
 from galley.streaming import ingest

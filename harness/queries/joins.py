@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galley.functions import props
-from galley.operators import catalog, lists, mapping, numbering, usage
+from galley.operators import catalog, lists, mapping, numbering
 from galley.registries import SETTINGS_TAGS
 from harness import adapters as A
 from harness.queries.aggregates import (
@@ -16,7 +16,6 @@ from harness.queries.aggregates import (
     RULE_TEXT,
     STYLE_RULES,
     STYLED,
-    STYLED_NEEDS,
     effective,
     pick_sql,
     rule_text,

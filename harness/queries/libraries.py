@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from galley.functions import props
 from galley.operators import catalog, edits as E, fonts, graph, library, preview
-from galley.registries import ALIGNMENTS, INDENT_ATTRS
+
 from harness import adapters as A
 from harness.queries.aggregates import STYLED, STYLED_NEEDS, faces, styled
 from harness.registry import query

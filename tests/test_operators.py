@@ -6,7 +6,6 @@ import zipfile
 
 from galley.operators import completion, graph, library
 from galley.sources import packages
-from pyspark.sql import functions as F
 
 
 def test_completion_of_missing_levels(spark):
