@@ -88,7 +88,21 @@ def plan_paragraphs(
         .withColumn("restyled", F.coalesce(F.col("mapped") != F.col("style_id"), F.col("mapped").isNotNull()))
         .withColumn("kept_table", kept_table)
     )
-    return plan.withColumn("effective", F.coalesce("mapped", F.lit("")))
+    return plan
+
+
+def plan_properties(
+    plan: DataFrame, index: DataFrame, profiles: DataFrame, two_char: DataFrame, wrappers: DataFrame
+) -> DataFrame:
+    """Paragraph plan with saved heading overrides and cleared cell indents.
+
+    Adds ``indent_applied``, ``indent_cleared`` and ``hardened``. ``profiles``,
+    ``two_char`` and ``wrappers`` hold styles of the packs.
+    """
+    usual = index.select("pack_id", F.try_element_at("defaults", F.lit("paragraph")).alias("usual"))
+    headed = mapping.heading_overrides(plan, profiles)
+    cells = headed.join(usual, "pack_id").withColumn("effective", F.coalesce("mapped", "usual")).drop("usual")
+    return mapping.cell_indents(cells, two_char, wrappers)
 
 
 def plan_runs(runs: DataFrame, mapped: DataFrame) -> DataFrame:
@@ -114,6 +128,9 @@ def statistics(
         count_if(F.col("rule").isNotNull()).alias("heading_numbers_applied"),
         count_if(F.coalesce("matched", F.lit(False))).alias("heading_prefixes_removed"),
         count_if(F.col("restyled")).alias("paragraphs_restyled"),
+        count_if(F.col("indent_applied")).alias("heading_indents_applied"),
+        count_if(F.col("indent_cleared")).alias("table_paragraph_indents_cleared"),
+        count_if(F.col("hardened")).alias("table_paragraph_styles_hardened"),
         F.sum("properties_removed").alias("paragraph_properties_removed"),
         count_if(
             F.col("rule").isNull() & F.col("new_num_id").isNotNull() & (F.col("new_num_id") != "0")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from galley.functions import props
 from galley.operators import catalog, library, mapping
+from galley.operators.graph import settled
 from galley.plans import apply as apply_plan, fonts as font_plan, packs as pack_plan, preflight as preflight_plan, profile as profile_plan
 from galley.sources import ooxml, packages, requests as edit_requests, sinks
 from galley.streaming import ingest
@@ -421,9 +422,17 @@ def k2(spark, d):
     return spark.read.parquet(f"{folder}/plan_paragraphs")
 
 
-def statistics(spark, d):
+def statistics(spark, d, properties: bool = True):
     pairs = A.requests(spark, d)
     paras = paragraph_plan(spark, d)
+    if properties:
+        sheet = A.pack_styles(spark)
+        resolved = settled(catalog.resolve(sheet))
+        two_char = catalog.indents_two_chars(resolved).select(F.col("pkg_id").alias("pack_id"), "style_id")
+        wrappers = catalog.wrapper_styles(sheet, resolved).select(F.col("pkg_id").alias("pack_id"), "base_id", "style_id")
+        paras = apply_plan.plan_properties(settled(paras), A.pack_index(spark), A.pack_profiles(spark), two_char, wrappers)
+    else:
+        paras = paras.withColumns({c: F.lit(False) for c in ("indent_applied", "indent_cleared", "hardened")})
     runs = apply_plan.plan_runs(A.runs(spark, d).join(pairs, "pkg_id"), joins.run_map(spark, d))
     stripped = mapping.strip_properties(A.nodes(spark, d).filter("kind IN ('table', 'cell')")).join(pairs, "pkg_id")
     tables = (
@@ -451,7 +460,7 @@ def statistics(spark, d):
         FROM p JOIN r USING (pkg_id, pack_id) LEFT JOIN t USING (pkg_id, pack_id) JOIN s ON s.pkg_id = p.pkg_id LEFT JOIN g ON g.pack_id = p.pack_id""",
 )
 def a16(spark, d):
-    return statistics(spark, d).select(
+    return statistics(spark, d, properties=False).select(
         "pkg_id", "pack_id", "paragraphs_seen", "heading_numbers_applied", "runs_seen", "run_properties_removed", "tables_seen", "table_formats_preserved",
         "sections_updated", "settings_items_imported",
     )
