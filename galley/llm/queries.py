@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import decontaminate, outliers, sharding
+from galley.llm import decontaminate, outliers, packing, sharding, token_counts
+from galley.llm.common import shared_folder, stored
 
 SHARDS = 16
 
@@ -21,6 +23,28 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(_table(spark, sf_dir, "documents")))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load all documents, then recount those with surrounding white space and take the textless ones away.
+
+    The last batch is committed twice, as after a failure, and the first is folded into a base and repeated.
+    """
+    version = "byte_bpe_50k"
+    rows = stored(token_counts.counted(_table(spark, sf_dir, "documents")))
+    rollup = token_counts.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    load = token_counts.inserts(rows, version)
+    rollup.commit("load", load)
+    rollup.compact()
+    changes = token_counts.revisions(rows.where("tokens <> trimmed"), version, "tokens", "trimmed")
+    changes = changes.unionByName(token_counts.deletes(rows.where("trimmed = 0"), version, "trimmed"))
+    for batch, delta in (("trim", changes), ("trim", changes), ("load", load)):
+        rollup.commit(batch, delta)
+    return rollup.totals()
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.robust_outliers(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +56,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op4_packing": op4_packing,
+    "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
 }
