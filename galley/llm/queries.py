@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import decontaminate, language_id, outliers, packing, quality_model, sharding, token_counts
+from galley.llm import decontaminate, language_id, near_dup, outliers, packing, quality_model, sharding, token_counts
 from galley.llm.common import shared_folder, stored
 
 SHARDS = 16
@@ -28,6 +28,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents")))
 
@@ -66,6 +70,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
+    "op3_near_dup": op3_near_dup,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
     "op8_token_counts": op8_token_counts,
