@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import decontaminate, fm_dedup, language_id, near_dup, outliers, packing, quality_model, sharding, token_counts
+from galley.llm import decontaminate, fm_dedup, language_id, near_dup, outliers, packing, quality_model, sharding, suffix_dedup, token_counts
 from galley.llm.common import shared_folder, stored
 
 SHARDS = 16
@@ -44,6 +44,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.digest(fm_dedup.without_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.without_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load all documents, then recount those with surrounding white space and take the textless ones away.
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,

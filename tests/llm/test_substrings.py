@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from galley.llm import fm_dedup
+from galley.llm import fm_dedup, suffix_array, suffix_dedup
 from galley.llm.fm_index import FMIndex
 
 
@@ -68,3 +68,48 @@ def test_words_equal_brute_force(frame, monkeypatch, hot, chunk, sample):
 
 def test_no_rows(frame):
     assert fm_dedup.without_repeats(frame([])).count() == 0
+
+
+@pytest.mark.parametrize("letters", [2, 26])
+def test_blockwise_order(monkeypatch, letters):
+    monkeypatch.setattr(suffix_array, "BUCKET", 300)
+    rng = np.random.default_rng(letters)
+    block = rng.integers(97, 97 + letters, 150).astype(np.uint8)
+    body = np.concatenate([block[: rng.integers(50, 150)] for _ in range(20)] + [np.full(300, 97, np.uint8), rng.integers(97, 97 + letters, 500).astype(np.uint8)])
+    depth = 40
+    wanted = np.arange(len(body) - depth + 1)
+    sorted_ = suffix_array.BlockSuffixes(body, depth)
+    raw = body.tobytes()
+    got = np.concatenate(list(sorted_.buckets(wanted)))
+    assert sorted(got.tolist()) == wanted.tolist()
+    heads = [raw[i : i + depth] for i in got.tolist()]
+    assert heads == sorted(heads)
+    assert sorted_.equal_to_next(got).tolist() == [a == b for a, b in zip(heads, heads[1:])]
+
+
+def brute_bytes(rows, size=100):
+    bodies = [(-1 if d is None else d, (t or "").encode()) for d, t in rows]
+    first = {}
+    for d, b in bodies:
+        for i in range(len(b) - size + 1):
+            k = b[i : i + size]
+            first[k] = min(first.get(k, (d, i)), (d, i))
+    out = []
+    for (d, b), (orig, _) in zip(bodies, rows):
+        gone = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - size + 1):
+            if first[b[i : i + size]] < (d, i):
+                gone[i : i + size] = True
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out.append((str(orig), len(b), int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot,chunk,sample,piece", [(20_000, 4_000_000, 1000, 4_000_000), (3, 500, 0, 150), (20_000, 2000, 1000, 700)])
+def test_bytes_equal_brute_force(frame, monkeypatch, hot, chunk, sample, piece):
+    for name, value in (("HOT", hot), ("CHUNK", chunk), ("SAMPLE", sample), ("PIECE", piece)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rows = corpus(hot + chunk)
+    got = suffix_dedup.digest(suffix_dedup.without_repeats(frame(rows).repartition(3))).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_bytes(rows)
+    assert suffix_dedup.without_repeats(frame([])).count() == 0
