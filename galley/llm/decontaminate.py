@@ -164,7 +164,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     text "None"; repeated documents each get a row; empty tables give no rows or no hits; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = pick(docs, key, *keep, text).withColumn("state", F.lit(None).cast(STATE))
+    rows = pick(docs, *dict.fromkeys((key, *keep, text))).withColumn("state", F.lit(None).cast(STATE))
     found_any = False
     for windows in _blocks(items, item, item_text, size, most_bytes):
         found_any = True

@@ -235,7 +235,7 @@ def identify(docs: DataFrame, net: Network | None, key: str = "doc_id", text: st
     Null texts and texts without a letter are ``und`` with score 0; so is everything if there was nothing to learn from.
     Repeated rows each get a row, an empty table gives none, other columns are ignored. Each task holds 200 texts at a time.
     """
-    rows = pick(docs, key, *keep, text).select(key, *[c for c in keep if c != text], F.col(text).alias("_body"), held_out(key).alias("held_out"))
+    rows = pick(docs, *dict.fromkeys((key, *keep, text))).select(key, *keep, F.col(text).alias("_body"), held_out(key).alias("held_out"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
     schema = rows.drop("_body").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
     at = rows.columns.index("_body")
