@@ -7,10 +7,28 @@ from pyspark.sql import Column, functions as F
 from galley.registries import BODY_NAMES, MAX_STEM
 
 
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Lower-case characters that case folding still changes: to one, to several."""
+    changed = {x.lower(): x.casefold() for x in map(chr, range(0x110000)) if x.casefold() != x.lower()}
+    single = {a: b for a, b in changed.items() if len(a) == len(b) == 1}
+    return single, {a: b for a, b in changed.items() if len(a) == 1 < len(b)}
+
+
+_SINGLE, _SEVERAL = _folds()
+
+
 def casefold(c: Column) -> Column:
-    """Lower case plus the letters whose case folding differs from it."""
-    folded = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
-    return F.translate(folded, "ςſ", "σs")
+    """Full case folding: lower case, then the letters whose folding differs from it.
+
+    Only names with a letter that folds to several go through the replacements.
+    """
+    folded = F.translate(F.lower(c), "".join(_SINGLE), "".join(_SINGLE.values()))
+    pairs = F.transform(
+        F.array(*[F.lit(a + b) for a, b in _SEVERAL.items()]),
+        lambda p: F.struct(F.substring(p, 1, 1).alias("a"), F.substring(p, 2, 3).alias("b")),
+    )
+    every = F.aggregate(pairs, folded, lambda text, p: F.replace(text, p["a"], p["b"]))
+    return F.when(folded.rlike("[%s]" % "".join(_SEVERAL)), every).otherwise(folded)
 
 
 def style_key(c: Column) -> Column:

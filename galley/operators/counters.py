@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from galley.functions.numerals import typed_prefix
+from galley.operators.graph import settled
 
 LEVELS = range(9)
 BLOCK = 65_536
@@ -49,10 +50,15 @@ def heading_counters(rows: DataFrame, keys=("pkg_id", "part"), block: int = BLOC
     shows its start, and neither matches nor counts on.
     """
     keys = list(keys)
+    # The input is evaluated once; only a few numbers of each row are scanned, and
+    # their results are joined back to it.
+    rows = settled(rows)
+    slim = rows.select(*keys, "ord", "level", "start", "typed")
     whole = F.when(F.col("start") > 0, F.col("start")).otherwise(F.lit(1)).cast("bigint")
     seeded = F.when(F.col("level") == 0, F.coalesce("typed", whole)).otherwise(whole)
     base = (
-        rows.withColumn("ord", F.col("ord").cast("bigint"))
+        slim.withColumn("_ord", F.col("ord"))
+        .withColumn("ord", F.col("ord").cast("bigint"))
         .withColumn("_st", whole)
         .withColumn("_seed", seeded.cast("bigint"))
         .withColumn("_blk", F.floor(F.col("ord") / block))
@@ -136,12 +142,14 @@ def heading_counters(rows: DataFrame, keys=("pkg_id", "part"), block: int = BLOC
     }
     ok = _case(level, parents)
     path = _case(level, {k: F.array(*[counter[j] for j in range(k + 1)]) for k in LEVELS})
-    return joined.select(
-        *rows.columns,
+    counted = joined.select(
+        *keys,
+        F.col("_ord").alias("ord"),
         ok.alias("ok"),
         F.when(ok, _case(level, counter)).otherwise(F.col("_st")).alias("value"),
         F.when(ok, path).alias("path"),
     )
+    return rows.join(counted, [*keys, "ord"]).select(*rows.columns, "ok", "value", "path")
 
 
 def typed_numbers(paragraphs: DataFrame, level: str = "level") -> DataFrame:

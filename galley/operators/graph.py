@@ -8,21 +8,32 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from galley.registries import MAX_FONT_ALIASES
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors share.
 
-    Without one (a local session) a temporary folder is used.
+    The session names it in ``spark.checkpoint.dir``. Only a local session, where
+    driver and executors are one process, may do without.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if sc.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="galley-checkpoint-")
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="galley-checkpoint-"))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder; Spark removes the files with the frame
+    when ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

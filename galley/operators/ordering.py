@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from galley.functions.numerals import placeholders
 from galley.functions.paths import is_content_part
 from galley.functions.text import casefold, style_key
+from galley.operators.graph import settled
 from galley.registries import BODY_NAMES, FORMAT_ROLES
 
 
@@ -105,3 +106,39 @@ def format_only(rows: DataFrame, tags) -> DataFrame:
         & ~F.col("tag").isin(*tags)
         & (F.col("rel_attrs") == 0)
     )
+
+
+def top_one(counts: DataFrame, key: str, best: Column, order: Column) -> DataFrame:
+    """The first entry of each key: a minimum, so no group is sorted or gathered."""
+    return counts.groupBy(key).agg(F.min_by(best, order).alias("w")).select(key, "w.*")
+
+
+def capped(rows: DataFrame, key: str, value: str, limit: int) -> DataFrame:
+    """The first ``limit`` distinct values of each key, in order, as a list.
+
+    Values are numbered per block of the key first, so a key of any size is cut down
+    in many tasks before its few survivors meet.
+    """
+    distinct = rows.select(key, value).distinct()
+    block = Window.partitionBy(key, F.pmod(F.xxhash64(value), F.lit(64))).orderBy(value)
+    few = distinct.withColumn("place", F.row_number().over(block)).filter(F.col("place") <= limit)
+    return few.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(value)), 1, limit).alias(value))
+
+
+def ordinals(rows: DataFrame, value: Column, name: str = "part") -> DataFrame:
+    """Entries of a list column with their 0-based position."""
+    return rows.select("*", F.posexplode(value).alias("pos", name)).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def places(rows: DataFrame, *order: Column) -> DataFrame:
+    """Add ``place``, the 1-based position in a total order over all rows.
+
+    Rows are dealt into sorted ranges; a range starts where the ones before it end.
+    """
+    dealt = settled(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    placed = dealt.withColumn("_row", inside).join(starts, "_range")
+    return placed.withColumn("place", (F.col("_start") + F.col("_row")).cast("bigint")).drop("_range", "_row", "_start")

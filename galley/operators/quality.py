@@ -3,9 +3,14 @@ never raises; an entity without rows passes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from xml.etree import ElementTree as ET
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from galley import registries as R
 from galley.functions.fonts import alias_key
@@ -505,27 +510,50 @@ def integrity_rules(packs: DataFrame, differences: DataFrame) -> DataFrame:
 
 
 def layout_rules(layouts: DataFrame) -> DataFrame:
-    """Stored section layouts: readable base64, bounded, an allowed tag.
+    """Stored section layouts: readable base64, bounded, an allowed Word tag and no
+    attribute of the relationship namespace, whatever its prefix.
 
     ``layouts`` has ``pack_id, idx, encoded``.
     """
-    raw = F.try_to_binary("encoded", F.lit("base64"))
-    text = raw.cast("string")
-    tag = F.regexp_extract(text, r"^\s*(?:<\?xml[^>]*\?>\s*)?<(?:[\w.-]+:)?([\w.-]+)", 1)
-    hooked = text.rlike(r"\s(r:)?(id|embed|link)=")
-    return layouts.select(
+    rows = layouts.select("pack_id", "idx", F.try_to_binary("encoded", F.lit("base64")).alias("raw"))
+    ddl = f"pack_id {dict(rows.dtypes)['pack_id']}, idx {dict(rows.dtypes)['idx']}, size bigint, parsed boolean, tag string, word boolean, hooks int"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for pack_id, idx, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                row = {"pack_id": pack_id, "idx": idx, "size": None if raw is None else len(raw)}
+                if raw is not None and len(raw) <= R.MAX_PACK_MEMBER_BYTES:
+                    row |= _layout(raw)
+                out.append(row)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return rows.mapInArrow(read, ddl).select(
         "pack_id",
         broken(
             [
-                rule("layout_base64", raw.isNull(), F.col("idx")),
-                rule("layout_size", F.octet_length(raw) > R.MAX_PACK_MEMBER_BYTES, F.col("idx")),
-                rule("layout_tag", raw.isNotNull() & ~tag.isin(*R.SECTION_TAGS), tag),
-                rule("layout_hook", hooked, tag),
+                rule("layout_base64", F.col("size").isNull(), F.col("idx")),
+                rule("layout_size", F.col("size") > R.MAX_PACK_MEMBER_BYTES, F.col("idx")),
+                rule("layout_xml", ~F.col("parsed"), F.col("idx")),
+                rule("layout_tag", F.col("parsed") & ~(F.col("word") & F.col("tag").isin(*R.SECTION_TAGS)), F.col("tag")),
+                rule("layout_hook", F.col("hooks") > 0, F.col("tag")),
             ]
         ),
     )
 
 
+def _layout(raw: bytes) -> dict:
+    """Tag, whether it is a Word tag, and relationship attributes in the whole element."""
+    try:
+        root = ET.fromstring(raw)
+    except ET.ParseError:
+        return {"parsed": False}
+    space, _, tag = root.tag.rpartition("}")
+    hooks = sum(name.startswith("{" + R.OFFICE_REL + "}") for node in root.iter() for name in node.attrib)
+    return {"parsed": True, "tag": tag, "word": space == "{" + R.WORD, "hooks": hooks}
+
+
 def infeasible_demotions(used: DataFrame, authority: DataFrame) -> DataFrame:
     """Targets whose headings cannot move down one level under a pack.
 

@@ -16,6 +16,7 @@ ROLE_ROOT_TAG = {
     "fontTable": "fonts",
     "numbering": "numbering",
 }
+WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 OFFICE_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 ROLE_REL_TYPE = {
     "styles": OFFICE_REL + "/styles",
@@ -228,3 +229,14 @@ IDENTITY_FIELDS = (
     "heading_numbering_user_edits", "heading_paragraph_indents",
     "heading_paragraph_properties", "used_table_styles", "preferred_table_style",
 )
+
+# What a member is for, by name; the first pattern that fits.
+MEMBER_KINDS = (
+    ("rels", r"(^|/)_rels/[^/]+\.rels$"),
+    ("styles", r"^word/styles[^/]*\.xml$"),
+    ("numbering", r"^word/numbering[^/]*\.xml$"),
+    ("theme", r"^word/theme/[^/]+\.xml$"),
+    ("fonts", r"^word/fontTable[^/]*\.xml$"),
+    ("settings", r"^word/settings[^/]*\.xml$"),
+    ("content", r"^word/[^/]+\.xml$"),
+)

@@ -257,7 +257,10 @@ def _settings_rows(root: ET.Element) -> Iterator[dict]:
 
 
 def _parse(parts: DataFrame, rows: Callable, ddl: str, extra: Callable | None = None) -> DataFrame:
-    """Run a row generator over member contents; unreadable XML gives no rows."""
+    """Run a row generator over member contents.
+
+    Files with unreadable XML are rejected by the scan; here such a part gives no rows.
+    """
     key_type = dict(parts.dtypes)["pkg_id"]
     out_ddl = f"pkg_id {key_type}, {ddl}"
     schema = to_arrow_schema(StructType.fromDDL(out_ddl))
@@ -283,27 +286,6 @@ def _parse(parts: DataFrame, rows: Callable, ddl: str, extra: Callable | None =
     return parts.select("pkg_id", "name", "content").mapInArrow(run, out_ddl)
 
 
-def malformed(parts: DataFrame) -> DataFrame:
-    """Members named as XML that cannot be parsed."""
-    ddl = f"pkg_id {dict(parts.dtypes)['pkg_id']}, name string"
-    schema = to_arrow_schema(StructType.fromDDL(ddl))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bad = []
-            for pkg_id, name, data in zip(
-                batch["pkg_id"].to_pylist(), batch["name"].to_pylist(), batch["content"]
-            ):
-                try:
-                    ET.fromstring(data.as_py())
-                except ET.ParseError:
-                    bad.append({"pkg_id": pkg_id, "name": name})
-            yield pa.RecordBatch.from_pylist(bad, schema=schema)
-
-    xml = parts.filter(F.lower("name").rlike(r"\.(xml|rels)$"))
-    return xml.select("pkg_id", "name", "content").mapInArrow(run, ddl)
-
-
 def content(parts: DataFrame) -> DataFrame:
     """Paragraphs, runs, tables, rows, cells and sections of content parts."""
     chosen = parts.filter(is_content_part(F.col("name")))

@@ -10,7 +10,8 @@ from __future__ import annotations
 import io
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -57,60 +58,77 @@ def _too_large(infos: list[zipfile.ZipInfo]) -> bool:
     return False
 
 
-def _members(pkg_id: str, data: bytes) -> Iterator[dict]:
-    reject = {"pkg_id": pkg_id}
+def _opened(pkg_id: str, data: bytes) -> tuple[list[zipfile.ZipInfo], zipfile.ZipFile | None, str | None]:
+    """ZIP directory of a file, its archive, and the fault that keeps it closed."""
     if not zipfile.is_zipfile(io.BytesIO(data)):
-        yield reject | {"fault": "not_a_zip"}
-        return
+        return [], None, "not_a_zip"
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
     except (zipfile.BadZipFile, NotImplementedError, ValueError):
-        yield reject | {"fault": "corrupt"}
-        return
+        return [], None, "corrupt"
     infos = archive.infolist()
-    closed = _too_large(infos)
-    if closed:
-        yield reject | {"fault": "over_limits"}
-    rows, broken = [], None
+    if all(i.is_dir() for i in infos):
+        return infos, None, "empty_archive"
+    return infos, archive, "over_limits" if _too_large(infos) else None
+
+
+def _entry(pkg_id: str, ord_: int, info: zipfile.ZipInfo) -> dict:
+    return {
+        "pkg_id": pkg_id,
+        "name": info.filename,
+        "ord": ord_,
+        "file_size": info.file_size,
+        "compress_size": info.compress_size,
+        "compress_type": info.compress_type,
+        "flag_bits": info.flag_bits,
+        "is_dir": info.is_dir(),
+    }
+
+
+def _readable_xml(data: bytes) -> bool:
+    try:
+        expat.ParserCreate().Parse(data, True)
+    except expat.ExpatError:
+        return False
+    return True
+
+
+def _members(pkg_id: str, data: bytes) -> Iterator[dict]:
+    """Members one by one; a fault may come after members of the same file, so
+    readers leave out every file that has one."""
+    infos, archive, fault = _opened(pkg_id, data)
+    if fault:
+        yield {"pkg_id": pkg_id, "fault": fault}
+        return
     for ord_, info in enumerate(infos):
         content = None
-        if not closed and not info.is_dir() and broken is None:
+        if not info.is_dir():
             try:
                 content = archive.read(info)
             except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
-                broken = info.filename
-        rows.append(
-            reject
-            | {
-                "name": info.filename,
-                "ord": ord_,
-                "file_size": info.file_size,
-                "compress_size": info.compress_size,
-                "compress_type": info.compress_type,
-                "flag_bits": info.flag_bits,
-                "is_dir": info.is_dir(),
-                "content": content,
-            }
-        )
-    if broken is not None:
-        yield reject | {"fault": "corrupt", "name": broken}
-    for row in rows:
-        yield row | ({"content": None} if broken is not None else {})
+                yield {"pkg_id": pkg_id, "fault": "corrupt", "name": info.filename}
+                return
+            if info.filename.lower().endswith((".xml", ".rels")) and not _readable_xml(content):
+                yield {"pkg_id": pkg_id, "fault": "malformed_xml", "name": info.filename}
+        yield _entry(pkg_id, ord_, info) | {"content": content}
 
 
-def scan(files: DataFrame, role: str = "source") -> DataFrame:
-    """Member rows of every file, plus one row per file fault.
+def _directory(pkg_id: str, data: bytes) -> Iterator[dict]:
+    infos, _, fault = _opened(pkg_id, data)
+    if fault and fault != "over_limits":
+        yield {"pkg_id": pkg_id, "fault": fault}
+    for ord_, info in enumerate(infos):
+        yield _entry(pkg_id, ord_, info)
 
-    ``files`` has ``path``, ``length`` and ``content`` as the binaryFile source
-    gives them. Files over the byte cap are never opened.
-    """
+
+def _unpacked(files: DataFrame, role: str, rows: Callable[[str, bytes], Iterator[dict]]) -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(MEMBERS))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, held = [], 0
         for batch in batches:
             for pkg_id, data in zip(batch["path"].to_pylist(), batch["content"]):
-                for row in _members(pkg_id, data.as_py()):
+                for row in rows(pkg_id, data.as_py()):
                     pending.append(row)
                     held += len(row.get("content") or b"")
                     if held > _BATCH_BYTES or len(pending) >= _BATCH_ROWS:
@@ -126,14 +144,39 @@ def scan(files: DataFrame, role: str = "source") -> DataFrame:
     return opened.mapInArrow(unpack, MEMBERS).unionByName(skipped, allowMissingColumns=True)
 
 
-def inventory(scanned: DataFrame) -> DataFrame:
-    """ZIP directory as rows, without the contents."""
-    return scanned.filter(F.col("fault").isNull()).drop("content", "fault")
+def scan(files: DataFrame, role: str = "source") -> DataFrame:
+    """Member rows of every file, plus one row per file fault.
+
+    ``files`` has ``path``, ``length`` and ``content`` as the binaryFile source
+    gives them. Files over the byte cap are never opened.
+    """
+    return _unpacked(files, role, _members)
+
+
+def inventory(files: DataFrame, role: str = "source") -> DataFrame:
+    """ZIP directories as rows; nothing is decompressed."""
+    return _unpacked(files, role, _directory).filter(F.col("fault").isNull()).drop("content", "fault")
+
+
+def store_scan(files: DataFrame, folder: str, role: str = "source") -> DataFrame:
+    """Scan files once into a table that every reader starts from.
+
+    The table is partitioned by what a member is for, so a reader of styles opens
+    the style parts alone. A repeated run replaces it.
+    """
+    kind = F.when(F.col("fault").isNotNull(), F.lit("fault"))
+    for name, pattern in R.MEMBER_KINDS:
+        kind = kind.when(F.col("name").rlike(pattern), F.lit(name))
+    scanned = scan(files, role).withColumn("kind", kind.otherwise(F.lit("other")))
+    scanned.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/scan")
+    return files.sparkSession.read.schema(f"{MEMBERS}, kind string").parquet(f"{folder}/scan")
 
 
 def members(scanned: DataFrame) -> DataFrame:
-    """Readable members."""
-    return scanned.filter(F.col("fault").isNull() & F.col("content").isNotNull()).drop("fault")
+    """Readable members of files without a fault."""
+    faulty = scanned.filter(F.col("fault").isNotNull()).select("pkg_id").distinct()
+    rows = scanned.filter(F.col("fault").isNull() & F.col("content").isNotNull()).drop("fault")
+    return rows.join(faulty, "pkg_id", "left_anti")
 
 
 def missing_parts(parts: DataFrame, required=R.REQUIRED_PARTS) -> DataFrame:
@@ -152,13 +195,31 @@ def rejects(scanned: DataFrame, required=R.REQUIRED_PARTS) -> DataFrame:
     faults = scanned.filter(F.col("fault").isNotNull()).select(
         "pkg_id", F.col("fault").alias("rule"), F.col("name").alias("detail")
     )
-    readable = scanned.filter(F.col("content").isNotNull())
+    names = scanned.filter(F.col("content").isNotNull()).select("pkg_id", "name")
+    readable = names.join(faults.select("pkg_id").distinct(), "pkg_id", "left_anti")
     missing = missing_parts(readable, required).select(
         "pkg_id", F.lit("missing_part").alias("rule"), F.col("part").alias("detail")
     )
     return faults.unionByName(missing)
 
 
+def accepted(scanned: DataFrame, required=R.REQUIRED_PARTS) -> DataFrame:
+    """Files that are packages; with the rejects these are all files."""
+    seen = scanned.select("pkg_id").distinct()
+    return seen.join(rejects(scanned, required).select("pkg_id"), "pkg_id", "left_anti")
+
+
+def tree_digest(manifest: DataFrame) -> DataFrame:
+    """One digest over a whole tree, independent of how it was read: the hash of
+    the sorted entries of each of 256 name ranges, hashed in order."""
+    entry = F.concat_ws(" ", "sha256", "name")
+    shard = F.substring(F.sha2(F.col("name"), 256), 1, 2)
+    inside = manifest.filter(~F.col("outside")).select(shard.alias("shard"), F.sha2(entry, 256).alias("entry"))
+    shards = inside.groupBy("shard").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), ""), 256).alias("digest"))
+    listed = F.array_sort(F.collect_list(F.struct("shard", "digest")))
+    return shards.agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["digest"]), ""), 256).alias("digest"))
+
+
 def tree_manifest(files: DataFrame, root: str) -> DataFrame:
     """SHA-256 of every file below a root; files outside the root are marked."""
     inside = F.col("path").startswith(root)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,11 +18,14 @@ from galley.operators.library import import_packs, stale_pairs
 
 def _stored(spark: SparkSession, table: str, ddl: str) -> DataFrame:
     """Stored rows; an absent table is empty."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    try:
+        rows = spark.read.schema(ddl).parquet(table)
+        rows.schema  # resolved here on any kind of session
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], ddl)
-    return spark.read.schema(ddl).parquet(table)
+    return rows
 
 
 _PACK = "pack_id string, fingerprint string, identity string"

@@ -140,7 +140,11 @@ def archives(spark: SparkSession, d: str) -> DataFrame:
                 with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as out:
                     for part in parts:
                         if not (pkg_id % 13 == 5 and part["name"] == "word/styles.xml"):
-                            out.writestr(part["name"], part["content"])
+                            cut = pkg_id % 19 == 4 and part["name"] == "word/document.xml"
+                            out.writestr(part["name"], part["content"][:-9] if cut else part["content"])
+                if pkg_id % 17 == 2:
+                    buffer = io.BytesIO()
+                    zipfile.ZipFile(buffer, "w").close()
                 data = buffer.getvalue()
                 data = data[: len(data) // 2] if pkg_id % 10 == 3 else data
                 rows.append({"path": f"{pkg_id}.docx", "length": len(data), "content": data})

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from galley.functions import props
 from galley.operators import catalog, library, mapping
-from galley.operators.graph import settled
+from galley.operators.graph import settled, shared_folder
 from galley.plans import apply as apply_plan, fonts as font_plan, packs as pack_plan, preflight as preflight_plan, profile as profile_plan
 from galley.sources import ooxml, packages, requests as edit_requests, sinks
 from galley.streaming import ingest
@@ -21,12 +20,14 @@ from harness.registry import query
 # --- readers ------------------------------------------------------------------
 
 FILES = ["[Content_Types].xml", "word/_rels/document.xml.rels", "word/document.xml", "word/numbering.xml", "word/styles.xml"]
-FILE_SQL = f"SELECT pkg_id || '.docx' AS pkg_id, unnest({FILES}) AS name, pkg_id AS id FROM doc WHERE pkg_id % 10 <> 3"
+# Some files are cut short, some have no entries, some have a cut-off body, some lack the styles.
+CUT, EMPTY, BROKEN = "pkg_id % 10 = 3", "pkg_id % 17 = 2", "pkg_id % 19 = 4"
+FILE_SQL = f"SELECT pkg_id || '.docx' AS pkg_id, unnest({FILES}) AS name, pkg_id AS id FROM doc WHERE NOT ({CUT} OR {EMPTY})"
 
 
 @query(
     "s1_corpus_scan", ["doc"],
-    f"""SELECT pkg_id, name FROM ({FILE_SQL}) WHERE NOT (id % 13 = 5 AND name = 'word/styles.xml')""",
+    f"""SELECT pkg_id, name FROM ({FILE_SQL}) WHERE NOT (id % 13 = 5 AND name = 'word/styles.xml') AND id % 19 <> 4""",
 )
 def s1(spark, d):
     return packages.members(packages.scan(D.archives(spark, d))).select("pkg_id", "name")
@@ -34,11 +35,23 @@ def s1(spark, d):
 
 @query(
     "s1_rejects", ["doc"],
-    """SELECT pkg_id || '.docx' AS pkg_id, 'not_a_zip' AS rule, CAST(NULL AS VARCHAR) AS detail FROM doc WHERE pkg_id % 10 = 3
-       UNION ALL SELECT pkg_id || '.docx', 'missing_part', 'word/styles.xml' FROM doc WHERE pkg_id % 10 <> 3 AND pkg_id % 13 = 5""",
+    f"""SELECT pkg_id || '.docx' AS pkg_id, 'not_a_zip' AS rule, CAST(NULL AS VARCHAR) AS detail FROM doc WHERE {CUT}
+       UNION ALL SELECT pkg_id || '.docx', 'empty_archive', NULL FROM doc WHERE {EMPTY} AND NOT ({CUT})
+       UNION ALL SELECT pkg_id || '.docx', 'malformed_xml', 'word/document.xml' FROM doc WHERE {BROKEN} AND NOT ({CUT} OR {EMPTY})
+       UNION ALL SELECT pkg_id || '.docx', 'missing_part', 'word/styles.xml' FROM doc WHERE pkg_id % 13 = 5 AND NOT ({CUT} OR {EMPTY} OR {BROKEN})""",
 )
 def s1_rejects(spark, d):
-    return packages.rejects(packages.scan(D.archives(spark, d)))
+    return packages.rejects(packages.store_scan(D.archives(spark, d), scratch(spark)))
+
+
+@query(
+    "s1_every_file", ["doc"],
+    f"""SELECT pkg_id || '.docx' AS pkg_id, NOT ({CUT} OR {EMPTY} OR {BROKEN} OR pkg_id % 13 = 5) AS accepted FROM doc""",
+)
+def s1_every_file(spark, d):
+    scanned = packages.store_scan(D.archives(spark, d), scratch(spark))
+    good = packages.accepted(scanned).withColumn("accepted", F.lit(True))
+    return good.unionByName(packages.rejects(scanned).select("pkg_id", F.lit(False).alias("accepted")).distinct())
 
 
 @query(
@@ -46,7 +59,7 @@ def s1_rejects(spark, d):
     f"""SELECT pkg_id, name, false AS is_dir, CAST(8 AS BIGINT) AS compress_type FROM ({FILE_SQL}) WHERE NOT (id % 13 = 5 AND name = 'word/styles.xml')""",
 )
 def s2(spark, d):
-    inv = packages.inventory(packages.scan(D.archives(spark, d)))
+    inv = packages.inventory(D.archives(spark, d))
     return inv.select("pkg_id", "name", "is_dir", F.col("compress_type").cast("bigint").alias("compress_type"))
 
 
@@ -164,6 +177,18 @@ def s12(spark, d):
     return packages.tree_manifest(files, "/tree/").select("name", "sha256", "outside")
 
 
+@query(
+    "s12_tree_digest", [],
+    """WITH f AS (SELECT lang || '/' || doc_id AS name, sha256(text) AS h FROM documents WHERE lang <> 'es'), e AS (SELECT substr(sha256(name), 1, 2) AS shard, sha256(h || ' ' || name) AS entry FROM f),
+       s AS (SELECT shard, sha256(string_agg(entry, '' ORDER BY entry)) AS digest FROM e GROUP BY ALL) SELECT sha256(string_agg(digest, '' ORDER BY shard)) AS digest FROM s""",
+)
+def s12_digest(spark, d):
+    files = A.docs(spark, d).filter("lang <> 'es'").select(
+        F.concat(F.lit("/tree/"), "lang", F.lit("/"), F.col("pkg_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content")
+    )
+    return packages.tree_digest(packages.tree_manifest(files, "/tree/"))
+
+
 # --- library jobs and sinks ------------------------------------------------------
 
 def pack_rows(spark, d):
@@ -174,9 +199,8 @@ def pack_rows(spark, d):
 
 
 def scratch(spark) -> str:
-    """Folder for job output: shared on a cluster, temporary in a local test."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{shared}/galley-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="galley-")
+    """Folder for job output, below the folder that all executors share."""
+    return f"{shared_folder(spark)}/galley-{uuid.uuid4().hex}"
 
 
 @query(
@@ -186,7 +210,8 @@ def scratch(spark) -> str:
 def k1(spark, d):
     folder = scratch(spark)
     parts = pack_rows(spark, d)
-    sinks.write_packs(library.fingerprint(parts), parts, folder, buckets=8)
+    for _ in range(2):  # a repeated run replaces its rows
+        sinks.write_packs(library.fingerprint(parts), parts, folder, "first", buckets=8)
     stored = spark.read.parquet(f"{folder}/pack_parts")
     return stored.groupBy("pack_id").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.octet_length("content")).cast("bigint").alias("bytes"))
 
@@ -418,8 +443,8 @@ def k2(spark, d):
     folder = scratch(spark)
     plan = paragraph_plan(spark, d)
     keep = plan.select("pkg_id", "pack_id", "ord", "mapped", "new_num_id", F.col("rule").isNotNull().alias("numbered"), "restyled")
-    sinks.write_plan({"paragraphs": keep}, folder)
-    return spark.read.parquet(f"{folder}/plan_paragraphs")
+    sinks.write_plan({"paragraphs": keep}, folder, "first")
+    return spark.read.parquet(f"{folder}/plan_paragraphs").drop("run")
 
 
 def statistics(spark, d, properties: bool = True):

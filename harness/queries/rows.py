@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from galley.functions import fonts as FF, numerals, paths, props, text as X, units as U
 from galley.operators import catalog, completion, mapping, ordering, usage
-from galley.registries import CELL_KEEP, RUN_KEEP, TABLE_KEEP
+from galley.operators.lists import number_order
+from galley.registries import CELL_KEEP, MAX_FONT_ALIASES, RUN_KEEP, TABLE_KEEP
 from harness import adapters as A
 from harness.queries.aggregates import HEADED, HEADED_NEEDS, LEVELED, STYLED, STYLED_NEEDS, headed, leveled, styled
 from harness.registry import query
@@ -232,24 +233,19 @@ def o3(spark, d):
 )
 def o4(spark, d):
     counts = styled(spark, d).groupBy("pkg_id", "style_id").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("seen"))
-    best = F.min_by(F.struct("style_id", "n"), F.struct(-F.col("n"), "seen"))
-    return counts.groupBy("pkg_id").agg(best.alias("w")).select("pkg_id", "w.style_id", "w.n")
+    return ordering.top_one(counts, "pkg_id", F.struct("style_id", "n"), F.struct(-F.col("n"), "seen"))
 
 
 @query(
     "o5_capped_names", [],
-    """SELECT o_custkey AS pkg_id, list_reduce(list_prepend('', list_sort(list(DISTINCT o_orderkey))[:5]), lambda a, b: a || CASE WHEN a = '' THEN '' ELSE ',' END || b) AS names
-       FROM (SELECT o_custkey, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS o_orderkey FROM orders) GROUP BY ALL""",
+    """SELECT o_custkey AS pkg_id, list_reduce(list_prepend('', list_sort(list(DISTINCT o_orderkey))[:64]), lambda a, b: a || CASE WHEN a = '' THEN '' ELSE ',' END || b) AS names
+       FROM (SELECT o_custkey % 40 AS o_custkey, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS o_orderkey FROM orders) GROUP BY ALL""",
 )
 def o5(spark, d):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("pkg_id").orderBy("name")
     named = A.table(spark, d, "orders").select(
-        F.col("o_custkey").alias("pkg_id"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("name")
-    ).distinct()
-    head = named.withColumn("place", F.row_number().over(order)).filter("place <= 5")
-    return head.groupBy("pkg_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+        (F.col("o_custkey") % 40).alias("pkg_id"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("name")
+    )
+    return ordering.capped(named, "pkg_id", "name", MAX_FONT_ALIASES).select("pkg_id", F.array_join("name", ",").alias("names"))
 
 
 @query(
@@ -257,13 +253,8 @@ def o5(spark, d):
     """SELECT num_id, row_number() OVER (ORDER BY TRY_CAST(num_id AS BIGINT) NULLS LAST, num_id) AS place FROM (SELECT DISTINCT num_id FROM par WHERE num_id IS NOT NULL)""",
 )
 def o6(spark, d):
-    from galley.operators.lists import number_order
-
-    ids = A.par(spark, d).filter("num_id IS NOT NULL").groupBy("num_id").agg(F.count(F.lit(1)).alias("n"))
-    one = ids.groupBy().agg(F.collect_list("num_id").alias("ids"))
-    key = lambda c: F.struct(c.try_cast("bigint").isNull().alias("none"), c.try_cast("bigint").alias("v"), c.alias("id"))
-    ranked = F.transform(F.array_sort(F.transform("ids", key)), lambda s, i: F.struct(s["id"].alias("num_id"), (i + 1).cast("bigint").alias("place")))
-    return one.select(F.inline(ranked)).orderBy(*number_order(F.col("num_id")))
+    ids = A.par(spark, d).filter("num_id IS NOT NULL").select("num_id").distinct()
+    return ordering.places(ids, *number_order(F.col("num_id")))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galley.operators import library, quality, usage
+from galley.registries import OFFICE_REL, WORD
 from galley.sources.packs import parse_manifests
 from harness import adapters as A
 from harness.queries.aggregates import HEADED_NEEDS, LEVELED, leveled
@@ -222,12 +223,18 @@ def v7(spark, d):
 
 @query(
     "v8_layout_rows", ["line"],
-    """WITH r AS (SELECT pkg_id AS pack_id, CASE length(text) % 4 WHEN 0 THEN 'layout_base64' WHEN 1 THEN 'layout_tag' WHEN 2 THEN 'layout_hook' END AS rule FROM line)
+    """WITH r AS (SELECT pkg_id AS pack_id, ['layout_base64', 'layout_tag', 'layout_hook', NULL, 'layout_hook', 'layout_tag', 'layout_xml', 'layout_hook'][length(text) % 8 + 1] AS rule FROM line)
        SELECT pack_id, rule, count(*) AS n FROM r WHERE rule IS NOT NULL GROUP BY ALL""",
 )
 def v8(spark, d):
-    n = F.length("text") % 4
-    xml = F.when(n == 1, F.lit('<w:body w:a="1"/>')).when(n == 2, F.lit('<w:pgSz r:id="x"/>')).otherwise(F.lit('<?xml version="1.0"?>\n<w:pgMar w:top="1"/>'))
+    # No base64, a foreign tag, a hook, a good one, a hook under another prefix, a tag of another namespace, a cut-off tag, a hook below.
+    word, rel = f'xmlns:w="{WORD}"', f'="{OFFICE_REL}"'
+    samples = [
+        "", f'<w:body {word} w:a="1"/>', f'<w:pgSz {word} xmlns:r{rel} r:id="x"/>', f'<?xml version="1.0"?>\n<w:pgMar {word} w:top="1"/>', f'<w:pgSz {word} xmlns:q{rel} q:embed="x"/>',
+        '<w:pgSz xmlns:w="urn:other" w:a="1"/>', f'<w:pgSz {word} w:a="1"', f'<w:pgBorders {word} xmlns:z{rel}><w:top z:id="x"/></w:pgBorders>',
+    ]
+    n = F.length("text") % 8
+    xml = F.element_at(F.array(*[F.lit(x) for x in samples]), n + 1)
     encoded = F.when(n == 0, F.lit("*no*")).otherwise(F.base64(F.encode(xml, "UTF-8")))
     rows = A.lines(spark, d).select(F.col("pkg_id").alias("pack_id"), F.col("ord").alias("idx"), encoded.alias("encoded"))
     return per_rule(quality.layout_rules(rows), "pack_id")

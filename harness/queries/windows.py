@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galley.functions import numerals
-from galley.operators import catalog, completion, counters, lists, usage
+from galley.operators import catalog, completion, counters, lists, ordering, usage
 from harness import adapters as A
 from harness.queries.aggregates import (
     HEADED,
@@ -282,8 +282,8 @@ def w9(spark, d):
        CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS p FROM conversations)""",
 )
 def w10(spark, d):
-    cut = A.turns(spark, d).select(F.col("pkg_id").alias("conv_id"), "turn", F.posexplode(F.split("text", "\n")).alias("pos", "part"))
-    return cut.withColumn("pos", F.col("pos").cast("bigint"))
+    rows = A.turns(spark, d)
+    return ordering.ordinals(rows, F.split("text", "\n")).select(F.col("pkg_id").alias("conv_id"), "turn", "part", "pos")
 
 
 @query(

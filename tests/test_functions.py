@@ -20,6 +20,14 @@ def test_style_key(spark):
     assert [g[0] for g in got] == ["heading1", "strasse", ""]
 
 
+def test_casefold_of_every_letter_that_needs_it(spark):
+    letters = [x for x in map(chr, range(0x110000)) if x.casefold() != x.lower()]
+    assert len(letters) > 250
+    rows = [(f"a{x}b", f"a{x}b".casefold()) for x in letters] + [("Straße ﬁnal ΑΣ", "strasse final ας".casefold())]
+    got = values(spark, rows, "s string, want string", text.casefold(F.col("s")), F.col("want"))
+    assert [g for g in got if g[0] != g[1]] == []
+
+
 def test_font_keys(spark):
     got = values(spark, [("Ａrial",), ("Café-1",)], "s string", fonts.alias_key(F.col("s")), fonts.strict_key(F.col("s")), fonts.compact_key(F.col("s")))
     assert got == [("arial", "arial", "arial"), ("café-1", "cafe-1", "cafe1")]

@@ -4,8 +4,10 @@ import io
 import random
 import zipfile
 
-from galley.operators import completion, graph, library
-from galley.sources import packages
+from pyspark.sql import functions as F
+
+from galley.operators import completion, graph, library, lists, ordering
+from galley.sources import packages, sinks
 
 
 def test_completion_of_missing_levels(spark):
@@ -55,7 +57,7 @@ def test_import_is_the_same_as_one_by_one(spark):
     assert [r.action for r in got] == want
 
 
-def test_scan_rejects_without_failing(spark):
+def test_scan_rejects_without_failing(spark, tmp_path):
     def archive(names):
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
@@ -64,12 +66,41 @@ def test_scan_rejects_without_failing(spark):
         return out.getvalue()
 
     good = archive(["[Content_Types].xml", "word/document.xml", "word/styles.xml"])
-    files = [("good", good), ("text", b"not a zip"), ("thin", archive(["word/document.xml"])), ("bomb", None)]
+    late = bytearray(archive(["a.xml", "b.xml"]))
+    late[late.rindex(b"b.xml", 0, late.index(b"PK\x01\x02")) + 5] ^= 255  # the second member's data
+    cut = io.BytesIO()
+    with zipfile.ZipFile(cut, "w") as z:
+        z.writestr("word/document.xml", "<w:p")
+    files = [("good", good), ("text", b"not a zip"), ("thin", archive(["word/document.xml"])), ("empty", archive([])), ("late", bytes(late)), ("cut", cut.getvalue()), ("bomb", None)]
     bomb = io.BytesIO()
     with zipfile.ZipFile(bomb, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("word/document.xml", b"0" * (4 << 20))
     files[-1] = ("bomb", bomb.getvalue())
     df = spark.createDataFrame([(p, len(c), bytearray(c)) for p, c in files], "path string, length bigint, content binary")
-    scanned = packages.scan(df).cache()
+    scanned = packages.store_scan(df, str(tmp_path))
     assert {r.pkg_id for r in packages.members(scanned).collect()} == {"good", "thin"}
-    assert {(r.pkg_id, r.rule) for r in packages.rejects(scanned).collect()} >= {("text", "not_a_zip"), ("bomb", "over_limits"), ("thin", "missing_part")}
+    faults = {(r.pkg_id, r.rule) for r in packages.rejects(scanned).collect()}
+    assert faults >= {("text", "not_a_zip"), ("bomb", "over_limits"), ("thin", "missing_part"), ("empty", "empty_archive"), ("late", "corrupt"), ("cut", "malformed_xml")}
+    assert {p for p, _ in faults} | {r.pkg_id for r in packages.accepted(scanned).collect()} == {p for p, _ in files}
+    assert {r.pkg_id for r in packages.inventory(df).collect()} == {"good", "thin", "late", "cut", "bomb"}
+
+
+def test_a_repeated_run_replaces_its_rows(spark, tmp_path):
+    packs = spark.createDataFrame([(f"p{i}", "f") for i in range(20)], "pack_id string, fingerprint string")
+    parts = packs.selectExpr("pack_id", "'n' AS name")
+    for run in ("a", "a", "b"):
+        sinks.write_packs(packs, parts, str(tmp_path), run)
+        sinks.write_plan({"x": packs}, str(tmp_path), run)
+    for table in ("packs", "pack_parts", "plan_x"):
+        assert spark.read.parquet(f"{tmp_path}/{table}").groupBy("run").count().orderBy("run").collect() == [("a", 20), ("b", 20)]
+
+
+def test_places_and_caps(spark):
+    rng = random.Random(2)
+    ids = [(str(rng.randint(-5, 5000)),) for _ in range(300)] + [("x",), ("a1",), ("07",)]
+    order = lists.number_order(F.col("id"))
+    got = ordering.places(spark.createDataFrame(ids, "id string").distinct().repartition(5), *order).collect()
+    want = sorted(set(i for i, in ids), key=lambda i: (not i.lstrip("-").isdigit(), int(i) if i.lstrip("-").isdigit() else 0, i))
+    assert [r.id for r in sorted(got, key=lambda r: r.place)] == want and sorted(r.place for r in got) == list(range(1, len(want) + 1))
+    many = spark.createDataFrame([("k", i % 400) for i in range(1000)] + [("m", 3)], "k string, v int")
+    assert {r.k: r.v for r in ordering.capped(many, "k", "v", 64).collect()} == {"k": list(range(64)), "m": [3]}
