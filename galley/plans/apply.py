@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from galley.functions.props import dropped, has_prop, keep_only, override
 from galley.operators import counters, lists, mapping
+from galley.operators.graph import settled
 from galley.operators.usage import count_if
-from galley.registries import PARAGRAPH_KEEP, RUN_KEEP
+from galley.registries import BODY_PART, PARAGRAPH_KEEP, RUN_KEEP
 
 
 def plan_paragraphs(
@@ -27,7 +28,23 @@ def plan_paragraphs(
     style_id``; ``tables_used`` ``pack_id, used_styles``; ``list_map``
     ``pkg_id, num_id, new_num_id``.
     """
-    mapped = mapping.map_paragraphs(paragraphs, resolved, defaults, index, shift)
+    # Everything that depends on the pack is worked out once per case of a package: style,
+    # direct level, own properties, and whether the body holds it. Paragraphs meet the
+    # answers in one join by package, so a pack that serves all targets is no hot key.
+    body = F.coalesce(F.col("part") == BODY_PART, F.lit(False))
+    case = {
+        "_style": F.coalesce("style_id", F.lit("\x00")),
+        "_direct": F.coalesce("direct_outline", F.lit(-1)).cast("int"),
+        "_ppr": F.coalesce("has_ppr", F.lit(False)),
+        "_in_body": body,
+    }
+    keyed = paragraphs.withColumns(case)
+    cases = (
+        keyed.select("pkg_id", "pack_id", "style_id", "direct_outline", "has_ppr", *case)
+        .distinct()
+        .withColumn("part", F.when(F.col("_in_body"), F.lit(BODY_PART)).otherwise(F.lit("")))
+    )
+    mapped = mapping.map_paragraphs(settled(cases), resolved, defaults, index, shift)
     peers = (
         rules.filter("outline IS NOT NULL")
         .groupBy("pack_id", "outline")
@@ -36,11 +53,14 @@ def plan_paragraphs(
         .agg(F.map_from_entries(F.collect_list(F.struct("outline", "peer"))).alias("peers"))
     )
     moved = mapping.prefer_numbered(mapped, rules, used, peers)
-    ruled = moved.join(
+    answers = moved.join(
         rules.select("pack_id", F.col("style_id").alias("mapped"), "rule"), ["pack_id", "mapped"], "left"
     ).join(tables_used.select("pack_id", F.size("used_styles").alias("table_styles")), "pack_id", "left")
+    found = ("target_outline", "desired", "mapped", "mapped_outline", "fault", "rule", "table_styles")
+    ruled = keyed.join(answers.select("pkg_id", "pack_id", *case, *found), ["pkg_id", "pack_id", *case]).drop(*case)
+    ruled = ruled.withColumn("shifted", F.lit(shift > 0) & body)
 
-    demoted = F.lit(shift > 0) & (F.col("part") == "word/document.xml") & F.col("target_outline").isNotNull()
+    demoted = F.col("shifted") & F.col("target_outline").isNotNull()
     numbered = ruled.filter("rule IS NOT NULL").select(
         "pkg_id",
         "pack_id",
@@ -118,13 +138,25 @@ def plan_runs(runs: DataFrame, mapped: DataFrame) -> DataFrame:
 
 
 def statistics(
-    paragraphs: DataFrame, runs: DataFrame, tables: DataFrame, sections: DataFrame, settings: DataFrame
+    pairs: DataFrame,
+    parts: DataFrame,
+    paragraphs: DataFrame,
+    runs: DataFrame,
+    tables: DataFrame,
+    sections: DataFrame,
+    settings: DataFrame,
 ) -> DataFrame:
-    """Transfer statistics per target and pack from the plan rows."""
+    """Transfer statistics per target and pack from the plan rows.
+
+    ``pairs`` has every requested ``pkg_id, pack_id``, so a target without
+    paragraphs has its row too; ``parts`` has the content parts (``pkg_id,
+    part``); ``sections`` the rows of ``mapping.section_layouts``, none where the
+    pack has no layouts or the target keeps its own.
+    """
     keys = ["pkg_id", "pack_id"]
+    cleaned = parts.groupBy("pkg_id").agg(F.count_distinct("part").alias("content_parts_cleaned"))
     p = paragraphs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("paragraphs_seen"),
-        F.count_distinct("part").alias("content_parts_cleaned"),
         count_if(F.col("rule").isNotNull()).alias("heading_numbers_applied"),
         count_if(F.coalesce("matched", F.lit(False))).alias("heading_prefixes_removed"),
         count_if(F.col("restyled")).alias("paragraphs_restyled"),
@@ -136,7 +168,7 @@ def statistics(
             F.col("rule").isNull() & F.col("new_num_id").isNotNull() & (F.col("new_num_id") != "0")
         ).alias("body_list_paragraphs_preserved"),
         count_if((F.col("target_outline") < 8) & (F.col("mapped_outline") == F.col("desired")) & (F.col("desired") != F.col("target_outline"))).alias("heading_levels_demoted"),
-        count_if((F.col("target_outline") >= 8) & F.col("mapped").isNotNull()).alias("heading_level9_unchanged"),
+        count_if(F.col("shifted") & (F.col("target_outline") >= 8) & F.col("mapped").isNotNull()).alias("heading_level9_unchanged"),
     )
     r = runs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("runs_seen"),
@@ -153,8 +185,8 @@ def statistics(
     g = settings.filter(F.col("origin") == "source").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("settings_items_imported")
     )
-    whole = p
-    for other in (r, t, s, g):
+    whole = pairs.select(*keys).distinct().join(cleaned, "pkg_id", "left")
+    for other in (p, r, t, s, g):
         whole = whole.join(other, keys, "left")
     counts = [c for c in whole.columns if c not in keys]
     filled = whole.fillna(0, counts)

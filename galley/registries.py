@@ -16,6 +16,7 @@ ROLE_ROOT_TAG = {
     "fontTable": "fonts",
     "numbering": "numbering",
 }
+BODY_PART = "word/document.xml"
 WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 OFFICE_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 ROLE_REL_TYPE = {

@@ -284,12 +284,13 @@ def s4(spark, d):
 
 @query(
     "g6_library_import", [],
-    f"WITH RECURSIVE {L.IMPORT} SELECT seq, action FROM walk WHERE i > 0",
+    f"""WITH RECURSIVE {L.IMPORT.replace("lang AS k FROM documents)", "lang AS k FROM documents WHERE NOT (" + L.BROKEN_PACK + "))")}
+        SELECT seq, action FROM walk WHERE i > 0 UNION ALL SELECT doc_id, 'reject' FROM documents WHERE {L.BROKEN_PACK}""",
 )
 def g6(spark, d):
     incoming = L.arrivals(spark, d)
-    none = incoming.limit(0).select("pack_id", F.lit("x").alias("rule"))
-    return pack_plan.import_library(incoming, L.stored_packs(spark, d), none).select("seq", "action")
+    broken = incoming.select("pack_id", F.lit("layout_tag").alias("rule")).filter("pack_id LIKE '%7'")
+    return pack_plan.import_library(incoming, L.stored_packs(spark, d), broken).select("seq", "action")
 
 
 # Import into an empty library: nothing stored can clash or be reused.
@@ -469,10 +470,12 @@ def statistics(spark, d, properties: bool = True):
     tables = tables.filter("kind = 'table'").unionByName(cells).withColumn(
         "restyled", (F.col("kind") == "table") & ~F.col("preserved") & ~F.col("mapped").eqNullSafe(F.col("style_id"))
     )
-    sections = A.sections(spark, d).join(pairs, "pkg_id").withColumn("part", F.lit("word/document.xml"))
+    layouts = A.literal(spark, T.PACK_LAYOUTS, "pack_id string, idx int, width int, height int").filter("pack_id <> 'delta'")
+    sections = mapping.section_layouts(A.sections(spark, d).join(pairs, "pkg_id").withColumn("part", F.lit("word/document.xml")), layouts)
+    parts = A.nodes(spark, d).select("pkg_id", "part").distinct()
     source = A.literal(spark, T.PACK_SETTINGS, "pack_id string, tag string, value string")
     target = A.docs(spark, d).select("pkg_id", F.lit("zoom").alias("tag"), F.lit("1").alias("value")).join(pairs, "pkg_id")
-    return apply_plan.statistics(paras, runs, tables, sections, mapping.merge_settings(target, source))
+    return apply_plan.statistics(pairs, parts, paras, runs, tables, sections, mapping.merge_settings(target, source))
 
 
 @query(
@@ -480,14 +483,14 @@ def statistics(spark, d, properties: bool = True):
     f"""WITH x AS ({PLAN}), p AS (SELECT pkg_id, pack_id, count(*) AS paragraphs_seen, count(*) FILTER (peered IN (SELECT style_id FROM prule r WHERE r.pack_id = x.pack_id)) AS heading_numbers_applied FROM x GROUP BY ALL),
         r AS (SELECT q.pkg_id, q.pack_id, count(*) AS runs_seen, CAST(sum({" + ".join(f"CASE WHEN {A.RUN_FLAGS[f]} THEN 1 ELSE 0 END" for f in ("b", "u"))}) AS BIGINT) AS run_properties_removed FROM run x JOIN req q ON q.pkg_id = x.pkg_id GROUP BY ALL),
         t AS (SELECT q.pkg_id, q.pack_id, count(*) AS tables_seen, count(*) FILTER (len(u.used_styles) = 0) AS table_formats_preserved FROM tbl x JOIN req q ON q.pkg_id = x.pkg_id JOIN ptab u ON u.pack_id = q.pack_id GROUP BY ALL),
-        s AS (SELECT pkg_id, count(*) AS n FROM sect GROUP BY ALL), g AS (SELECT pack_id, count(*) AS n FROM pset WHERE tag NOT IN ('zoom', 'rsids') GROUP BY ALL)
-        SELECT p.*, r.runs_seen, r.run_properties_removed, coalesce(t.tables_seen, 0) AS tables_seen, coalesce(t.table_formats_preserved, 0) AS table_formats_preserved, s.n AS sections_updated, coalesce(g.n, 0) AS settings_items_imported
-        FROM p JOIN r USING (pkg_id, pack_id) LEFT JOIN t USING (pkg_id, pack_id) JOIN s ON s.pkg_id = p.pkg_id LEFT JOIN g ON g.pack_id = p.pack_id""",
+        s AS (SELECT s.pkg_id, q.pack_id, count(*) AS n FROM sect s JOIN req q ON q.pkg_id = s.pkg_id WHERE q.pack_id <> 'delta' GROUP BY ALL), g AS (SELECT pack_id, count(*) AS n FROM pset WHERE tag NOT IN ('zoom', 'rsids') GROUP BY ALL)
+        SELECT p.*, r.runs_seen, r.run_properties_removed, coalesce(t.tables_seen, 0) AS tables_seen, coalesce(t.table_formats_preserved, 0) AS table_formats_preserved, coalesce(s.n, 0) AS sections_updated, coalesce(g.n, 0) AS settings_items_imported, CAST(0 AS BIGINT) AS heading_level9_unchanged
+        FROM p JOIN r USING (pkg_id, pack_id) LEFT JOIN t USING (pkg_id, pack_id) LEFT JOIN s USING (pkg_id, pack_id) LEFT JOIN g ON g.pack_id = p.pack_id""",
 )
 def a16(spark, d):
     return statistics(spark, d, properties=False).select(
         "pkg_id", "pack_id", "paragraphs_seen", "heading_numbers_applied", "runs_seen", "run_properties_removed", "tables_seen", "table_formats_preserved",
-        "sections_updated", "settings_items_imported",
+        "sections_updated", "settings_items_imported", "heading_level9_unchanged",
     )
 
 

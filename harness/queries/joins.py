@@ -557,8 +557,7 @@ CELL_STEP = f"""SELECT x.*, coalesce(x.mapped, f.style_id) AS effective,
 def p8(spark, d):
     usual = A.pack_index(spark).select("pack_id", F.try_element_at("defaults", F.lit("paragraph")).alias("usual"))
     cells = mapped_paragraphs(spark, d).join(usual, "pack_id").withColumn("effective", F.coalesce("mapped", "usual"))
-    wrappers = A.pack_authority(spark).limit(0).select(
-        F.col("pkg_id").alias("pack_id"), F.col("style_id").alias("base_id"), "style_id"
-    )
+    sheet = A.pack_styles(spark)
+    wrappers = catalog.wrapper_styles(sheet, catalog.resolve(sheet)).select(F.col("pkg_id").alias("pack_id"), "base_id", "style_id")
     out = mapping.cell_indents(cells, two_char_pack_styles(spark), wrappers)
     return out.select("pkg_id", "pack_id", "ord", "indent_cleared")
