@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from galley.operators.graph import settled
+from galley.operators.graph import components, settled
 from galley.registries import IDENTITY_FIELDS
 
 
@@ -134,32 +135,70 @@ def import_packs(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def _admit(arrivals: DataFrame) -> DataFrame:
+def _admit(arrivals: DataFrame, rounds: int = 4, most: int = 100_000) -> DataFrame:
     """Arrivals that enter the library: the first to bring both a free id and
     free content.
 
-    An arrival that is the earliest for its id and for its content is certain.
-    It takes both; the rest is looked at again, in a few rounds for any order.
+    An arrival that is the earliest for its id and for its content is certain and
+    takes both. A few such rounds settle all but chains of ids and contents that
+    hand each other on. Chains are independent of each other: each one of at most
+    ``most`` arrivals is then walked in order by one task, and only longer ones go
+    on in rounds.
     """
     left = settled(arrivals)
     admitted = left.limit(0)
+    done = 0
     while not left.isEmpty():
         first_of = lambda col: left.groupBy(col).agg(F.min("seq").alias("first"))
-        sure = settled(
+        sure = (
             left.join(first_of("pack_id").withColumnRenamed("first", "f1"), "pack_id")
             .join(first_of("content_key").withColumnRenamed("first", "f2"), "content_key")
             .filter("seq = f1 AND seq = f2")
             .select("pack_id", "content_key", "seq")
         )
+        done += 1
+        walked = None
+        if done == rounds:
+            walked = settled(_walked(left, most))
+            sure = walked.filter("enters").select("pack_id", "content_key", "seq").unionByName(
+                sure.join(walked.select("seq"), "seq", "left_anti")
+            )
+        sure = settled(sure)
         admitted = admitted.unionByName(sure)
+        open_ = left if walked is None else left.join(walked.select("seq"), "seq", "left_anti")
         left = settled(
-            left.join(sure.select("pack_id"), "pack_id", "left_anti").join(
+            open_.join(sure.select("pack_id"), "pack_id", "left_anti").join(
                 sure.select("content_key"), "content_key", "left_anti"
             )
         )
     return admitted
 
 
+def _walked(left: DataFrame, most: int) -> DataFrame:
+    """Arrivals of chains of at most ``most``, with whether each enters."""
+    ends = left.withColumns(
+        {"a": F.concat(F.lit("i"), "pack_id"), "b": F.concat(F.lit("c"), "content_key"), "pkg_id": F.lit(0)}
+    )
+    chain = components(ends.select("pkg_id", "a", "b")).select(F.col("node").alias("a"), F.col("root").alias("chain"))
+    named = ends.join(chain, "a").select("pack_id", "content_key", "seq", "chain")
+    short = named.groupBy("chain").count().filter(F.col("count") <= most).select("chain")
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, contents, enters = set(), set(), []
+        rows = rows.sort_values("seq")
+        for pack, content in zip(rows["pack_id"], rows["content_key"]):
+            free = pack not in ids and content not in contents
+            enters.append(free)
+            if free:
+                ids.add(pack)
+                contents.add(content)
+        return rows[["pack_id", "content_key", "seq"]].assign(enters=enters)
+
+    types = dict(left.dtypes)
+    ddl = ", ".join(f"{c} {types[c]}" for c in ("pack_id", "content_key", "seq"))
+    return named.join(short, "chain").groupBy("chain").applyInPandas(walk, f"{ddl}, enters boolean")
+
+
 def stale_pairs(pairs: DataFrame, reports: DataFrame) -> DataFrame:
     """Requested pairs whose report is missing or bound to other inputs."""
     bound = ["pack_id", "pkg_id", "pack_sha256", "target_sha256", "options"]

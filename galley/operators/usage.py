@@ -19,7 +19,8 @@ from galley.functions.props import (
     signature,
     spacing_profile,
 )
-from galley.functions.text import casefold
+from galley.functions.text import casefold, orientation
+from galley.functions.units import lenient_int, twips_to_cm
 from galley.operators.numbering import pick_rules
 from galley.registries import PARAGRAPH_KEEP, RUN_KEEP
 
@@ -267,6 +268,20 @@ def summary(nodes: DataFrame) -> DataFrame:
     )
 
 
+def page_layouts(nodes: DataFrame) -> DataFrame:
+    """Page size, orientation and margins of the body's first section, in cm."""
+    size = lambda name: bag_attr(F.col("bag"), "pgSz", name)
+    cm = lambda raw: twips_to_cm(raw)
+    margin = lambda name: cm(bag_attr(F.col("bag"), "pgMar", name)).alias(f"margin_{name}_cm")
+    turned = orientation(size("orient"), lenient_int(size("w")), lenient_int(size("h")))
+    layout = F.struct(
+        cm(size("w")).alias("width_cm"), cm(size("h")).alias("height_cm"), turned.alias("orientation"),
+        *[margin(side) for side in ("top", "bottom", "left", "right")],
+    )
+    body = nodes.filter((F.col("kind") == "section") & (F.col("part") == "word/document.xml"))
+    return body.groupBy("pkg_id").agg(F.min_by(layout, "ord").alias("page_layout"))
+
+
 def manual_formatting(nodes: DataFrame) -> DataFrame:
     """Directly formatted paragraphs and runs.
 

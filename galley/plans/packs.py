@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from galley.functions.text import file_stem
 from galley.operators import catalog, edits as E, library, numbering, quality
 from galley.operators.preview import refresh
 from galley.plans.profile import Profile
 from galley.registries import PACK_SCHEMA_VERSION, REQUIRED_PACK_PARTS
+from galley.schemas import MANIFEST
 
 
 def manifests(p: Profile, names: DataFrame) -> DataFrame:
@@ -17,9 +19,17 @@ def manifests(p: Profile, names: DataFrame) -> DataFrame:
     ``names`` has ``pkg_id, pack_id, name, created_at``. Formats, authorities
     and rules of one package are bounded by its style sheet.
     """
-    fields = [c for c in p.formats.columns if c not in ("pkg_id", "rank")]
+    # A preview has exactly the fields, types and order of the stored schema.
+    stored = StructType.fromDDL(MANIFEST)["used_formats"].dataType.elementType
+    have = set(p.formats.columns)
+    fields = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in stored]
     formats = p.formats.groupBy("pkg_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", F.to_json(F.struct(*fields)).alias("json")))).alias("sorted")
+        F.array_sort(
+            F.collect_list(F.struct("rank", F.struct(*fields).alias("format"))),
+            lambda a, b: F.when(a["rank"] < b["rank"], -1).when(a["rank"] > b["rank"], 1).otherwise(0),
+        ).alias("sorted"),
+        F.array_sort(F.collect_set(F.when(F.col("type") == "table", F.col("style_id")))).alias("used_table_styles"),
+        F.array_sort(F.collect_set(F.when(F.col("inferred"), F.col("style_id")))).alias("inferred_heading_styles"),
     )
 
     def pairs(key: Column, value: Column) -> Column:
@@ -37,7 +47,7 @@ def manifests(p: Profile, names: DataFrame) -> DataFrame:
         pairs(F.col("style_id"), F.struct("ind", "spacing", "jc")).alias("heading_paragraph_properties")
     )
     joined = names
-    for part in (formats, authority, rules, profiles, p.counters, p.manual.drop("runs_any")):
+    for part in (formats, authority, rules, profiles, p.counters, p.manual.drop("runs_any"), p.layouts):
         clash = {c: f"manual_{c}" for c in ("paragraphs", "runs") if c in part.columns}
         joined = joined.join(part.withColumnsRenamed(clash), "pkg_id", "left")
     joined = joined.join(p.summary, "pkg_id", "left")
@@ -46,7 +56,10 @@ def manifests(p: Profile, names: DataFrame) -> DataFrame:
         F.col("pack_id").alias("id"),
         "name",
         "created_at",
-        F.transform("sorted", lambda x: x["json"]).alias("used_formats"),
+        F.transform("sorted", lambda x: x["format"]).alias("used_formats"),
+        "used_table_styles",
+        "inferred_heading_styles",
+        F.coalesce("page_layout", F.lit(None)).alias("page_layout"),
         F.col("used").alias("used_style_count"),
         F.col("inferred").alias("inferred_style_count"),
         F.col("custom").alias("custom_style_count"),
@@ -76,10 +89,18 @@ def create_packs(described: DataFrame, format_parts: DataFrame) -> tuple[DataFra
     """
     owned = format_parts.join(described.select("pkg_id", "pack_id"), "pkg_id").drop("pkg_id")
     parts = library.part_hashes(owned)
-    packs = described.join(library.fingerprint(parts), "pack_id", "left").withColumn(
-        "stem", file_stem(F.col("name"))
+    declared = parts.groupBy("pack_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "sha256")))).alias("part_sha256")
     )
-    return packs, parts
+    packs = (
+        described.join(library.fingerprint(parts), "pack_id", "left")
+        .join(declared, "pack_id", "left")
+        .withColumn("stem", file_stem(F.col("name")))
+    )
+    # What the stored parts are goes into the manifest, so that a reader can check them.
+    sealed = F.col("manifest").withField("format_part_count", F.coalesce("part_count", F.lit(0)).cast("bigint"))
+    sealed = sealed.withField("part_sha256", F.col("part_sha256")).withField("format_fingerprint", F.col("fingerprint"))
+    return packs.withColumn("manifest", sealed).drop("part_sha256"), parts
 
 
 def derive(

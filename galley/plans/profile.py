@@ -15,7 +15,11 @@ from galley.operators.preview import previews
 
 @dataclass(frozen=True)
 class Corpus:
-    """Tables of one set of packages, as the readers give them."""
+    """Tables of one set of packages, as the readers give them.
+
+    ``active`` names the stories in use (``pkg_id, part``); without it all content
+    parts count.
+    """
 
     nodes: DataFrame
     styles: DataFrame
@@ -26,6 +30,7 @@ class Corpus:
     theme: DataFrame
     languages: DataFrame
     settings: DataFrame
+    active: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -40,6 +45,7 @@ class Profile:
     manual: DataFrame
     counters: DataFrame
     completed: DataFrame
+    layouts: DataFrame
 
 
 def profile(c: Corpus) -> Profile:
@@ -54,7 +60,8 @@ def profile(c: Corpus) -> Profile:
     resolved = settled(catalog.resolve(c.styles))
     defaults = settled(catalog.default_styles(c.styles))
     tables = catalog.default_table_style(c.settings, c.styles)
-    nodes = c.nodes.withColumn("story", story(F.col("part")))
+    nodes = c.nodes if c.active is None else c.nodes.join(c.active, ["pkg_id", "part"], "left_semi")
+    nodes = nodes.withColumn("story", story(F.col("part")))
 
     paragraphs = usage.with_default_style(
         nodes.filter(F.col("kind") == "paragraph"), defaults, "paragraph"
@@ -130,10 +137,11 @@ def profile(c: Corpus) -> Profile:
         authority=authority,
         rules=voted,
         profiles=profiles,
-        summary=usage.summary(c.nodes),
-        manual=usage.manual_formatting(c.nodes),
+        summary=usage.summary(nodes),
+        manual=usage.manual_formatting(nodes),
         counters=usage.pack_counters(
             marks.withColumn("configured", F.lit(False)), c.styles.filter(F.col("ord") >= 0)
         ),
         completed=generated.join(inferred, ["pkg_id", "level"]),
+        layouts=usage.page_layouts(nodes),
     )

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from galley.functions import props
-from galley.operators import catalog, library, mapping
+from galley.operators import catalog, library, mapping, quality
 from galley.operators.graph import settled, shared_folder
 from galley.plans import apply as apply_plan, fonts as font_plan, packs as pack_plan, preflight as preflight_plan, profile as profile_plan
 from galley.sources import ooxml, packages, requests as edit_requests, sinks
+from galley.sources.packs import declared_parts, parse_manifests
 from galley.streaming import ingest
 from harness import adapters as A, documents as D, templates as T
 from harness.queries import joins, libraries as L
@@ -364,13 +365,43 @@ def g1(spark, d):
 
 @query("g2_create_packs")
 def g2(spark, d):
+    packs, _ = created_packs(spark, d)
+    return packs.select("pack_id", "stem", "fingerprint", "part_count", F.to_json("manifest").alias("manifest"))
+
+
+@query(
+    "g2_round_trip", STYLED_NEEDS + ["run", "tbl", "tpl", "lattr", "doc"],
+    f"""WITH used AS (SELECT pkg_id, 'p' || sid AS style_id FROM ({STYLED}) WHERE sid IS NOT NULL UNION SELECT pkg_id, 'c' || style_id FROM run WHERE style_id IS NOT NULL
+          UNION SELECT t.pkg_id, 't' || coalesce(t.style_id, f.style_id) FROM tbl t LEFT JOIN dflt f ON f.pkg_id = t.pkg_id AND f.style_type = 'table')
+        SELECT 'pack-' || d.pkg_id AS pack_id, count(DISTINCT u.style_id) AS used_formats, CAST(4 AS BIGINT) AS parts, CAST(4 AS BIGINT) AS declared, CAST(0 AS BIGINT) AS violations
+        FROM doc d LEFT JOIN used u ON u.pkg_id = d.pkg_id GROUP BY ALL""",
+)
+def g2_round_trip(spark, d):
+    """Store packs, read the manifests back by the fixed schema and run the rules on them."""
+    folder = scratch(spark)
+    packs, parts = created_packs(spark, d)
+    sinks.write_packs(packs.select("pack_id", "fingerprint", "part_count", F.to_json("manifest").alias("json")), parts, folder, "first")
+    read = settled(parse_manifests(spark.read.parquet(f"{folder}/packs")))
+    hashes = spark.read.parquet(f"{folder}/pack_parts").select("pack_id", "name", "sha256")
+    m = F.col("manifest")
+    values = read.select(
+        "pack_id", "part_count", m["schema_version"].alias("schema_version"), m["format_fingerprint"].alias("declared_fingerprint"), "fingerprint", m["format_part_count"].alias("declared_parts")
+    )
+    declared = declared_parts(read)
+    found = quality.manifest_rules(read).select("pack_id").unionByName(quality.integrity_rules(values, library.reconcile(declared, hashes)).select("pack_id"))
+    bad = found.groupBy("pack_id").agg(F.count(F.lit(1)).alias("violations"))
+    listed = read.select("pack_id", F.size(F.filter(m["used_formats"], lambda f: ~f["inferred"])).cast("bigint").alias("used_formats"), F.col("part_count").cast("bigint").alias("parts"))
+    counted = declared.groupBy("pack_id").agg(F.count(F.lit(1)).alias("declared"))
+    return listed.join(counted, "pack_id").join(bad, "pack_id", "left").fillna(0, ["violations"])
+
+
+def created_packs(spark, d):
     names = A.docs(spark, d).select(
         "pkg_id", F.concat(F.lit("pack-"), F.col("pkg_id").cast("string")).alias("pack_id"), F.concat("source", F.lit(" "), "lang").alias("name"), F.lit("2024-01-01T00:00:00+00:00").alias("created_at")
     )
     described = pack_plan.manifests(profile_plan.profile(corpus(spark, d)), names)
     parts = D.members(spark, d).filter("name IN ('word/styles.xml', 'word/numbering.xml', '[Content_Types].xml', 'word/_rels/document.xml.rels')")
-    packs, _ = pack_plan.create_packs(described, parts)
-    return packs.select("pack_id", "stem", "fingerprint", "part_count", F.to_json("manifest").alias("manifest"))
+    return pack_plan.create_packs(described, parts)
 
 
 def pack_summaries(spark):

@@ -57,6 +57,29 @@ def test_import_is_the_same_as_one_by_one(spark):
     assert [r.action for r in got] == want
 
 
+def test_import_of_a_long_chain(spark):
+    rows = []
+    for i in range(300):
+        rows += [(2 * i, f"p{i}", f"c{i}", "x"), (2 * i + 1, f"p{i}", f"c{i + 1}", "x")]
+    rng = random.Random(1)
+    order = sorted(range(len(rows)), key=lambda i: i + rng.random() * 3)
+    rows = [(n, *rows[i][1:]) for n, i in enumerate(order)]
+    ids, contents, want = {}, {}, []
+    for _, pack, content, _ in rows:
+        if ids.get(pack, content) != content:
+            want.append("conflict")
+        elif content in contents:
+            want.append("reuse")
+        else:
+            ids[pack] = content
+            contents[content] = pack
+            want.append("append")
+    incoming = spark.createDataFrame(rows, "seq int, pack_id string, fingerprint string, identity string")
+    none = spark.createDataFrame([], "pack_id string, fingerprint string, identity string")
+    got = library.import_packs(incoming, none).orderBy("seq").collect()
+    assert [r.action for r in got] == want
+
+
 def test_scan_rejects_without_failing(spark, tmp_path):
     def archive(names):
         out = io.BytesIO()
