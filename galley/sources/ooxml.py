@@ -20,7 +20,7 @@ from galley import schemas as S
 from galley.functions.paths import is_content_part, rel_role, resolve_target, story
 from galley.functions.props import bag_attr
 from galley.functions.units import lenient_int
-from galley.registries import FORMAT_ROLES, ROLE_DEFAULT_PART, SECTION_TAGS
+from galley.registries import FORMAT_ROLES, OFFICE_REL, ROLE_DEFAULT_PART, SECTION_TAGS
 
 _BATCH = 4096
 # Children of a paragraph that leave its text plain.
@@ -392,3 +392,15 @@ def sections(nodes: DataFrame) -> DataFrame:
         .filter(F.col("key").isin(*SECTION_TAGS))
         .select("pkg_id", "part", "idx", F.col("key").alias("tag"), F.col("value").alias("attrs"))
     )
+
+
+def frame_references(parts: DataFrame) -> DataFrame:
+    """Relationship ids of the headers and footers that sections of the body refer to."""
+    link = "{" + OFFICE_REL + "}id"
+
+    def rows(root: ET.Element) -> Iterator[dict]:
+        for node in root.iter():
+            if _local(node) in ("headerReference", "footerReference") and node.get(link):
+                yield {"rel_id": node.get(link)}
+
+    return _parse(parts.filter(F.col("name") == "word/document.xml"), rows, "rel_id string").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from galley.functions import props
 from galley.operators import catalog, library, mapping, quality
 from galley.operators.graph import settled, shared_folder
+from galley.plans.corpus import corpus_of
 from galley.plans import apply as apply_plan, fonts as font_plan, packs as pack_plan, preflight as preflight_plan, profile as profile_plan
 from galley.sources import ooxml, packages, requests as edit_requests, sinks
 from galley.sources.packs import declared_parts, parse_manifests
@@ -363,6 +364,18 @@ def g1(spark, d):
     return formats.select("pkg_id", "type", "style_id", "usage_count", "name", F.round(F.col("size_pt") * 100).cast("bigint").alias("size"))
 
 
+@query(
+    "g1_from_files", STYLED_NEEDS + ["doc"],
+    f"""SELECT pkg_id || '.docx' AS pkg_id, sid AS style_id, count(*) AS usage_count FROM ({STYLED}) WHERE sid IS NOT NULL
+        AND NOT ({CUT} OR {EMPTY} OR {BROKEN} OR pkg_id % 13 = 5) GROUP BY ALL""",
+)
+def g1_from_files(spark, d):
+    """Files to scan to profile: paragraph styles with their counts."""
+    scanned = packages.store_scan(D.archives(spark, d), scratch(spark))
+    formats = profile_plan.profile(corpus_of(scanned)).formats
+    return formats.filter("NOT inferred AND type = 'paragraph'").select("pkg_id", "style_id", "usage_count")
+
+
 @query("g2_create_packs")
 def g2(spark, d):
     packs, _ = created_packs(spark, d)
