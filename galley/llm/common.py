@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator, rows: int) -> Iterator:
+    """Arrow batches of at most ``rows`` rows, so that a task holds few texts at a time; at least one, if there was any."""
+    for batch in batches:
+        for lo in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(lo, rows)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, matched by exact case; others, clashing or not, are left out. A missing one is null text."""
     at = {}

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from galley.llm import wordhash
 from galley.llm.anchors import ordered, runs, sliding_min
-from galley.llm.common import checkpointed, pick, stored
+from galley.llm.common import checkpointed, pick, slices, stored
 from galley.llm.fm_index import FMIndex
 
 SIZE, GRAM, MOST = 35, 8, 28
@@ -66,9 +66,8 @@ def _anchors(rows: DataFrame, hot, size: int) -> DataFrame:
     """``did, anchor``: one row per run of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 300):
-                part = batch.slice(lo, 300)
+        for part in slices(batches, 300):
+            if part.num_rows:
                 _, _, _, first, low = _low([t.encode() for t in part.column(1).to_pylist()], hot.value, size)
                 found = [runs(low, a, max(a, b - size + 1), MOST)[0] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
                 offsets = np.cumsum([0, *map(len, found)])
@@ -85,7 +84,7 @@ def _segments(wanted: DataFrame, hot, size: int) -> DataFrame:
     """The runs with a repeated anchor as words; runs of anchors that are very frequent window by window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 200):
             out: list[tuple] = []
             for text, did, rid, known, often in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode()
@@ -178,7 +177,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text
     at, marks_at = joined.columns.index("_text"), joined.columns.index("marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 500):
             n_words, spans, kept = [], [], []
             for body, marks in zip(batch.column(at).to_pylist(), batch.column(marks_at).to_pylist()):
                 raw = body.encode()
