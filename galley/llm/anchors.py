@@ -13,12 +13,26 @@ import numpy as np
 TOP = np.uint64(1 << 63)
 
 
+_MASK = (1 << 20) - 1
+_FILTERS: dict[tuple[int, int], np.ndarray] = {}
+
+
 def ordered(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Place of each gram in the order; ``hot`` (sorted gram hashes without the last bit) come last."""
+    """Place of each gram in the order; ``hot`` (sorted gram hashes without the last bit) come last.
+
+    A table of low bits rules nearly all grams out before any is looked up.
+    """
     value = grams >> np.uint64(1)
     if len(hot):
-        at = np.minimum(np.searchsorted(hot, value), len(hot) - 1)
-        value = np.where(hot[at] == value, value | TOP, value)
+        name = (len(hot), int(hot[-1]))
+        if name not in _FILTERS:
+            _FILTERS.clear()
+            _FILTERS[name] = np.zeros(_MASK + 1, bool)
+            _FILTERS[name][hot.view(np.int64) & _MASK] = True
+        maybe = np.flatnonzero(_FILTERS[name][value.view(np.int64) & _MASK])
+        near = value[maybe]
+        at = np.minimum(np.searchsorted(hot, near), len(hot) - 1)
+        value[maybe[hot[at] == near]] |= TOP
     return value
 
 

@@ -38,7 +38,7 @@ def stored(df: DataFrame) -> DataFrame:
     """The same rows as a Parquet table of its own in the shared folder: for wide intermediate rows."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/galley-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

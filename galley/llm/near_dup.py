@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galley.llm import wordhash
-from galley.llm.common import checkpointed, pick, stored
+from galley.llm.common import checkpointed, pick
 from galley.llm.graph import components
 
 SIZE = 5
@@ -214,9 +214,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
     texts, each returned. A null id is linked with nothing, has no component and is kept. An empty table gives no rows, other
     columns are ignored. Sets are compared by 64-bit hashes of shingles.
     """
-    sig = stored(_signatures(docs, key, text))
+    sig = checkpointed(_signatures(docs, key, text))
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
-    reps = stored(classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    reps = checkpointed(classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     rows = reps.select("rep", "n", F.explode("bands").alias("k"))
     crowded = rows.groupBy("k").agg(F.count("*").alias("members")).where("members > 1")
     shared = checkpointed(rows.join(crowded, "k").select("k", "rep", "n", "members"))
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
     edges = shared.select("k", "rep", "n").join(buckets, "k").where(F.col("rep") != F.col("leader")).where(fits)
     edges = edges.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     wanted = reps.select("rep", "digest").join(shared.select("rep").distinct(), "rep", "left_semi")
-    sets = stored(_sets(docs, wanted, key, text))
+    sets = checkpointed(_sets(docs, wanted, key, text))
     links = checkpointed(_confirmed(edges, sets, percent))
     # A document with several texts links the classes of all of them.
     own = sig.where("n_shingles > 0 and doc_id is not null").join(reps.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

@@ -134,6 +134,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 1024, quantum:
         .withColumn("queue", F.coalesce("queue", F.lit(len(names) - 1)))
         .select("part", "source", "queue", F.coalesce(F.sum("n").over(by_queue), F.lit(0)).alias("first"))
     )
+    # Written, so that its size is known before the join is planned: where it is small, the ids are not shuffled.
+    starts = stored(starts)
     service = Service(sizes, quantum, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
