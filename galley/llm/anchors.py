@@ -14,7 +14,8 @@ TOP = np.uint64(1 << 63)
 
 
 _MASK = (1 << 20) - 1
-_FILTERS: dict[tuple[int, int], np.ndarray] = {}
+#: The last array of common grams that was asked for, and its table.
+_FILTER: list[np.ndarray] = []
 
 
 def ordered(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -24,12 +25,11 @@ def ordered(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """
     value = grams >> np.uint64(1)
     if len(hot):
-        name = (len(hot), int(hot[-1]))
-        if name not in _FILTERS:
-            _FILTERS.clear()
-            _FILTERS[name] = np.zeros(_MASK + 1, bool)
-            _FILTERS[name][hot.view(np.int64) & _MASK] = True
-        maybe = np.flatnonzero(_FILTERS[name][value.view(np.int64) & _MASK])
+        if not _FILTER or _FILTER[0] is not hot:
+            table = np.zeros(_MASK + 1, bool)
+            table[hot.view(np.int64) & _MASK] = True
+            _FILTER[:] = [hot, table]
+        maybe = np.flatnonzero(_FILTER[1][value.view(np.int64) & _MASK])
         near = value[maybe]
         at = np.minimum(np.searchsorted(hot, near), len(hot) - 1)
         value[maybe[hot[at] == near]] |= TOP

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from struct import unpack
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 
 from galley.llm import wordhash
 from galley.llm.anchors import ordered, runs, sliding_min
-from galley.llm.common import checkpointed, pick, slices, stored
+from galley.llm.common import pick, slices
 from galley.llm.fm_index import FMIndex
 
 SIZE, GRAM, MOST = 35, 8, 28
 HOT = 20_000
 CHUNK = 1_000_000
+#: Bytes of runs that a task holds to add up copies before it sends them.
+HELD = 16_000_000
 #: Documents looked at for common grams, and the share of them that makes a gram common. Only balance depends on these.
 SAMPLE, COMMON = 4000, 0.005
 
@@ -49,17 +52,23 @@ def _common(rows: DataFrame, size: int) -> np.ndarray:
                 grams = np.unique(wordhash.grams(wordhash.hashes(body, start, end), GRAM) >> np.uint64(1))
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], names=["g"])
 
-    sampled = rows.where(unit <= SAMPLE / max(1, total)).select("_text").mapInArrow(run, "g long")
+    sampled = rows.where(unit <= SAMPLE / max(1, total)).select("row._text").mapInArrow(run, "g long")
     least = max(20, int(min(total, SAMPLE) * COMMON))
     found = sampled.groupBy("g").count().where(F.col("count") >= least).select("g").collect()
     return np.sort(np.array([r["g"] for r in found], np.int64).view(np.uint64))
 
 
 def _rows(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Documents under (did, rid): the id, null as the least number, and a hash of the text; equal pairs are treated alike."""
+    """``did, row``: the id, null as the least number, and all columns that are needed, with the text's hash ``rid``.
+
+    Both joins with the texts take this very table, by id, so Spark deals the texts out once. Rows with equal id and text are
+    treated alike.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     did = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    return pick(docs, *dict.fromkeys((key, *keep, text))).select(key, *[c for c in keep if c not in (key, text)], body.alias("_text"), did.alias("did"), F.xxhash64(body).alias("rid"))
+    named = [F.col(c) for c in dict.fromkeys((key, *keep)) if c != text]
+    rows = pick(docs, *dict.fromkeys((key, *keep, text)))
+    return rows.select(did.alias("did"), F.struct(*named, body.alias("_text"), F.xxhash64(body).alias("rid")).alias("row"))
 
 
 def _anchors(rows: DataFrame, hot, size: int) -> DataFrame:
@@ -74,37 +83,64 @@ def _anchors(rows: DataFrame, hot, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["did", "anchors"])
 
-    return rows.select("did", "_text").mapInArrow(run, "did long, anchors array<long>")
+    return rows.select("did", "row._text").mapInArrow(run, "did long, anchors array<long>")
+
+
+def _cut(batch: pa.RecordBatch, hot: np.ndarray, size: int) -> Iterator[tuple[int, int, bytes, int, int, int, int]]:
+    """(shard, seg, words, did, rid, start, windows) of the runs with a repeated anchor in a batch of ``row, did, known, often``.
+
+    The shard is the anchor and ``seg`` a hash of the words; runs of very frequent anchors are cut into windows, whose shard is
+    another hash of the words.
+    """
+    row = batch.column(0)
+    for text, rid, did, known, often in zip(row.field("_text").to_pylist(), row.field("rid").to_pylist(), *(batch.column(i).to_pylist() for i in (1, 2, 3))):
+        raw = text.encode()
+        words = raw.split()
+        low = _low([raw], hot, size)[4]
+        anchor, start, count = runs(low, 0, max(0, len(words) - size + 1), MOST)
+        many = set(often)
+        for at in np.flatnonzero(np.isin(anchor, np.array(known, np.int64))).tolist():
+            a, s, n = int(anchor[at]), int(start[at]), int(count[at])
+            for lo, k in ((s, n),) if a not in many else ((s + i, 1) for i in range(n)):
+                body = b" ".join(words[lo : lo + k + size - 1])
+                one, two = unpack("<qq", hashlib.blake2b(body, digest_size=16).digest())
+                yield (one if a in many else a), two, body, did, rid, lo, k
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds.values())], names=list(kinds))
+
+
+def _distinct(wanted: DataFrame, hot, size: int) -> DataFrame:
+    """``shard, seg, words, copies``: runs, copies added up in the task that finds them."""
+    kinds = {"shard": pa.int64(), "seg": pa.int64(), "words": pa.binary(), "copies": pa.int64()}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+        total = 0
+        for batch in slices(batches, 200):
+            for shard, seg, body, *_ in _cut(batch, hot.value, size):
+                found = held.setdefault((shard, seg), [body, 0])
+                found[1] += 1
+                total += len(body) + 200 if found[1] == 1 else 0
+            if total > HELD:
+                yield _batch([(*k, *v) for k, v in held.items()], kinds)
+                held, total = {}, 0
+        yield _batch([(*k, *v) for k, v in held.items()], kinds)
 
-SEGMENT = "shard long, seg binary, words string, did long, rid long, start long, windows int"
+    return wanted.mapInArrow(run, "shard long, seg long, words binary, copies long")
 
 
-def _segments(wanted: DataFrame, hot, size: int) -> DataFrame:
-    """The runs with a repeated anchor as words; runs of anchors that are very frequent window by window."""
+def _places(wanted: DataFrame, hot, size: int) -> DataFrame:
+    """``shard, seg, did, rid, start`` of every run with a repeated anchor."""
+    kinds = {"shard": pa.int64(), "seg": pa.int64(), "did": pa.int64(), "rid": pa.int64(), "start": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
-            out: list[tuple] = []
-            for text, did, rid, known, often in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = text.encode()
-                words = raw.split()
-                _, _, _, first, low = _low([raw], hot.value, size)
-                anchor, start, count = runs(low, 0, max(0, len(words) - size + 1), MOST)
-                many = set(often)
-                for at in np.flatnonzero(np.isin(anchor, np.array(known, np.int64))).tolist():
-                    a, s, n = int(anchor[at]), int(start[at]), int(count[at])
-                    for lo, k in ((s, n),) if a not in many else ((s + i, 1) for i in range(n)):
-                        body = b" ".join(words[lo : lo + k + size - 1])
-                        seg = hashlib.blake2b(body, digest_size=16).digest()
-                        out.append((a if a not in many else int.from_bytes(seg[:8], "little", signed=True), seg, body, did, rid, lo, k))
-            columns = list(zip(*out)) if out else [()] * 7
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-            arrays = [pa.array(list(c), t) for c, t in zip(columns, kinds)]
-            arrays[2] = arrays[2].cast(pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, names=["shard", "seg", "words", "did", "rid", "start", "windows"])
-
-    return wanted.select("_text", "did", "rid", "known", "often").mapInArrow(run, SEGMENT)
+            yield _batch([(x[0], x[1], *x[3:6]) for x in _cut(batch, hot.value, size)], kinds)
+
+    return wanted.mapInArrow(run, "shard long, seg long, did long, rid long, start long")
 
 
 def shard_repeats(segments: list[bytes], copies: list[int], size: int = SIZE) -> list[int]:
@@ -123,30 +159,31 @@ def shard_repeats(segments: list[bytes], copies: list[int], size: int = SIZE) ->
     return masks
 
 
-def _found(segments: DataFrame, size: int) -> DataFrame:
-    """``seg, mask`` of distinct runs with a repeated window."""
+def _found(distinct: DataFrame, size: int) -> DataFrame:
+    """``shard, seg, mask`` of distinct runs with a repeated window."""
+    kinds = {"shard": pa.int64(), "seg": pa.int64(), "mask": pa.int64()}
+
+    def flush(rows: list[list]) -> pa.RecordBatch:
+        masks = shard_repeats([r[2] for r in rows], [r[3] for r in rows], size) if rows else []
+        return _batch([(r[0], r[1], m) for r, m in zip(rows, masks) if m], kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, bytes, int]] = []
+        held: list[list] = []
         words = 0
-
-        def flush(rows: list[tuple[int, bytes, bytes, int]]) -> pa.RecordBatch:
-            masks = shard_repeats([r[2] for r in rows], [r[3] for r in rows], size) if rows else []
-            keep = [(r[1], m) for r, m in zip(rows, masks) if m]
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.binary()), pa.array([k[1] for k in keep], pa.int64())], names=["seg", "mask"])
-
         for batch in batches:
-            for shard, seg, body, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
-                if words > CHUNK and shard != held[-1][0]:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[-1][:2] == [row[0], row[1]]:
+                    held[-1][3] += row[3]
+                    continue
+                if words > CHUNK and row[0] != held[-1][0]:
                     yield flush(held)
                     held, words = [], 0
-                held.append((shard, seg, body, copies))
-                words += body.count(b" ") + 1
+                held.append(list(row))
+                words += row[2].count(b" ") + 1
         yield flush(held)
 
-    distinct = segments.groupBy("shard", "seg").agg(F.first("words").alias("words"), F.count("*").alias("copies"))
-    # The aggregation leaves a shard's runs in many partitions; each shard must be whole and in order.
-    return distinct.repartition("shard").sortWithinPartitions("shard").select("shard", "seg", "words", "copies").mapInArrow(run, "seg binary, mask long")
+    whole = distinct.repartition("shard").sortWithinPartitions("shard", "seg")
+    return whole.mapInArrow(run, "shard long, seg long, mask long")
 
 
 def without_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -164,29 +201,29 @@ def without_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text
     sc = docs.sparkSession.sparkContext
     rows = _rows(docs, key, text, keep)
     hot = sc.broadcast(_common(rows, size))
-    slim = stored(_anchors(rows, hot, size))
-    each = slim.select("did", F.explode("anchors").alias("anchor"))
+    # Reading the texts twice for their anchors, and cutting the runs twice, costs less than keeping them on disk.
+    each = _anchors(rows, hot, size).select("did", F.explode("anchors").alias("anchor"))
     twice = each.groupBy("anchor").count().where("count > 1")
     known = each.join(twice, "anchor").groupBy("did").agg(F.collect_set("anchor").alias("known"), F.collect_set(F.when(F.col("count") > HOT, F.col("anchor"))).alias("often"))
-    segments = stored(_segments(rows.join(known, "did"), hot, size))
-    found = checkpointed(_found(segments, size))
-    places = segments.select("did", "rid", "start", "seg").join(found, "seg").groupBy("did", "rid").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
-    joined = rows.join(places, ["did", "rid"], "left").drop("did", "rid")
-    schema = joined.drop("_text", "marks").withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<bigint>"), "kept": F.lit("")}).schema
+    wanted = rows.join(known, "did").select("row", "did", "known", "often")
+    found = _found(_distinct(wanted, hot, size), size)
+    places = _places(wanted, hot, size).join(found, ["shard", "seg"])
+    marks = places.groupBy("did").agg(F.collect_set(F.struct("rid", "start", "mask")).alias("marks"))
+    joined = rows.join(marks, "did", "left").select("row", "marks")
+    schema = rows.select("row.*").drop("_text", "rid").withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<bigint>"), "kept": F.lit("")}).schema
     names = [f.name for f in schema.fields]
-    at, marks_at = joined.columns.index("_text"), joined.columns.index("marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
             n_words, spans, kept = [], [], []
-            for body, marks in zip(batch.column(at).to_pylist(), batch.column(marks_at).to_pylist()):
-                raw = body.encode()
-                words = raw.split()
-                gone = removed(len(words), marks or [], size)
+            row = batch.column(0)
+            for body, rid, marks in zip(row.field("_text").to_pylist(), row.field("rid").to_pylist(), batch.column(1).to_pylist()):
+                words = body.encode().split()
+                gone = removed(len(words), [m for m in marks or [] if m["rid"] == rid], size)
                 n_words.append(len(words))
                 spans.append(gone)
                 kept.append(rest(words, gone).decode() if gone else body)
-            others = [c for i, c in enumerate(batch.columns) if i not in (at, marks_at)]
+            others = [row.field(n) for n in names[:-3]]
             yield pa.RecordBatch.from_arrays([*others, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.string())], names=names)
 
     return joined.mapInArrow(run, schema)

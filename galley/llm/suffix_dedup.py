@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from struct import unpack
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galley.llm.anchors import ordered, runs, sliding_min
-from galley.llm.common import checkpointed, pick, stored
+from galley.llm.common import pick, slices
 from galley.llm.suffix_array import BlockSuffixes
 from galley.llm.wordhash import BASE, mix
 
 SIZE, GRAM, MOST = 100, 24, 80
 HOT = 20_000
-CHUNK = 4_000_000
+CHUNK = 2_000_000
+#: Bytes of runs that a task holds to add up copies before it sends them.
+HELD = 16_000_000
 #: Long texts are read in pieces of so many bytes.
 PIECE = 4_000_000
 #: Documents looked at for common grams, and the share of them that makes a gram common. Only balance depends on these.
@@ -90,58 +93,94 @@ def _common(rows: DataFrame) -> np.ndarray:
                 found = [grams(np.frombuffer(p, np.uint8)) for held in batches_of([text.encode()]) for _, _, p in held]
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found) >> np.uint64(1)).view(np.int64))], names=["g"])
 
-    sampled = rows.where(unit <= SAMPLE / max(1, total)).select("_text").mapInArrow(run, "g long")
+    sampled = rows.where(unit <= SAMPLE / max(1, total)).select("row._text").mapInArrow(run, "g long")
     least = max(10, int(min(total, SAMPLE) * COMMON))
     found = sampled.groupBy("g").count().where(F.col("count") >= least).select("g").collect()
     return np.sort(np.array([r["g"] for r in found], np.int64).view(np.uint64))
 
 
 def _rows(docs: DataFrame, key: str, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """Documents under (did, rid): the id, null as the least number, and a hash of the text."""
+    """``did, row``: the id, null as the least number, and all columns that are needed, with the text's hash ``rid``.
+
+    Both joins with the texts take this very table, by id, so Spark deals the texts out once.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     did = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    return pick(docs, *dict.fromkeys((key, *keep, text))).select(key, *[c for c in keep if c not in (key, text)], body.alias("_text"), did.alias("did"), F.xxhash64(body).alias("rid"))
+    named = [F.col(c) for c in dict.fromkeys((key, *keep)) if c != text]
+    rows = pick(docs, *dict.fromkeys((key, *keep, text)))
+    return rows.select(did.alias("did"), F.struct(*named, body.alias("_text"), F.xxhash64(body).alias("rid")).alias("row"))
 
 
 def _anchors(rows: DataFrame, hot, size: int) -> DataFrame:
     """``did, anchors`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
+        for part in slices(batches, 200):
+            if part.num_rows:
                 found = [r[0] for r in all_runs([t.encode() for t in part.column(1).to_pylist()], hot.value, size)]
                 offsets = np.cumsum([0, *map(len, found)])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["did", "anchors"])
 
-    return rows.select("did", "_text").mapInArrow(run, "did long, anchors array<long>")
+    return rows.select("did", "row._text").mapInArrow(run, "did long, anchors array<long>")
+
 
+def _cut(batch: pa.RecordBatch, hot: np.ndarray, size: int) -> Iterator[tuple[int, int, bytes, int, int, int, int]]:
+    """(shard, seg, bytes, did, rid, start, windows) of the runs with a repeated anchor in a batch of ``row, did, known, often``.
+
+    The shard is the anchor and ``seg`` a hash of the bytes; runs of very frequent anchors are cut into windows, whose shard is
+    another hash of the bytes.
+    """
+    row = batch.column(0)
+    texts = [t.encode() for t in row.field("_text").to_pylist()]
+    for raw, rid, (anchor, start, count), did, known, often in zip(texts, row.field("rid").to_pylist(), all_runs(texts, hot, size), *(batch.column(i).to_pylist() for i in (1, 2, 3))):
+        many = set(often)
+        for at in np.flatnonzero(np.isin(anchor, np.array(known, np.int64))).tolist():
+            a, s, n = int(anchor[at]), int(start[at]), int(count[at])
+            for lo, k in ((s, n),) if a not in many else ((s + i, 1) for i in range(n)):
+                body = raw[lo : lo + k + size - 1]
+                one, two = unpack("<qq", hashlib.blake2b(body, digest_size=16).digest())
+                yield (one if a in many else a), two, body, did, rid, lo, k
 
-SEGMENT = "shard long, seg binary, bytes binary, did long, rid long, start long, windows int"
 
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds.values())], names=list(kinds))
 
-def _segments(wanted: DataFrame, hot, size: int) -> DataFrame:
-    """The runs with a repeated anchor as bytes; runs of anchors that are very frequent window by window."""
+
+def _distinct(wanted: DataFrame, hot, size: int) -> DataFrame:
+    """``shard, seg, bytes, copies, did, start``: runs with their first place, copies added up in the task that finds them."""
+    kinds = {"shard": pa.int64(), "seg": pa.int64(), "bytes": pa.binary(), "copies": pa.int64(), "did": pa.int64(), "start": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            texts = [t.encode() for t in batch.column(0).to_pylist()]
-            every = all_runs(texts, hot.value, size)
-            for raw, (anchor, start, count), did, rid, known, often in zip(texts, every, *(batch.column(i).to_pylist() for i in range(1, 5))):
-                many = set(often)
-                for at in np.flatnonzero(np.isin(anchor, np.array(known, np.int64))).tolist():
-                    a, s, n = int(anchor[at]), int(start[at]), int(count[at])
-                    for lo, k in ((s, n),) if a not in many else ((s + i, 1) for i in range(n)):
-                        body = raw[lo : lo + k + size - 1]
-                        seg = hashlib.blake2b(body, digest_size=16).digest()
-                        out.append((a if a not in many else int.from_bytes(seg[:8], "little", signed=True), seg, body, did, rid, lo, k))
-            columns = list(zip(*out)) if out else [()] * 7
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["shard", "seg", "bytes", "did", "rid", "start", "windows"])
-
-    return wanted.select("_text", "did", "rid", "known", "often").mapInArrow(run, SEGMENT)
+        held: dict[tuple[int, int], list] = {}
+        total = 0
+        for batch in slices(batches, 200):
+            for shard, seg, body, did, _, start, _ in _cut(batch, hot.value, size):
+                found = held.get((shard, seg))
+                if found is None:
+                    held[shard, seg] = [body, 1, (did, start)]
+                    total += len(body) + 200
+                else:
+                    found[1] += 1
+                    found[2] = min(found[2], (did, start))
+            if total > HELD:
+                yield _batch([(*k, v[0], v[1], *v[2]) for k, v in held.items()], kinds)
+                held, total = {}, 0
+        yield _batch([(*k, v[0], v[1], *v[2]) for k, v in held.items()], kinds)
+
+    return wanted.mapInArrow(run, "shard long, seg long, bytes binary, copies long, did long, start long")
+
+
+def _places(wanted: DataFrame, hot, size: int) -> DataFrame:
+    """``shard, seg, did, rid, start, windows`` of every run with a repeated anchor."""
+    kinds = {"shard": pa.int64(), "seg": pa.int64(), "did": pa.int64(), "rid": pa.int64(), "start": pa.int64(), "windows": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            yield _batch([(x[0], x[1], *x[3:]) for x in _cut(batch, hot.value, size)], kinds)
+
+    return wanted.mapInArrow(run, "shard long, seg long, did long, rid long, start long, windows int")
 
 
 def shard_repeats(segments: list[bytes], dids: np.ndarray, starts: np.ndarray, size: int = SIZE) -> list[list[int]]:
@@ -175,32 +214,32 @@ def shard_repeats(segments: list[bytes], dids: np.ndarray, starts: np.ndarray, s
     return out
 
 
-def _found(segments: DataFrame, size: int) -> DataFrame:
-    """``seg, first, late`` of distinct runs that occur more than once or hold a window that starts earlier elsewhere."""
+def _found(distinct: DataFrame, size: int) -> DataFrame:
+    """``shard, seg, first_did, first_start, late`` of runs that occur more than once or hold a window that starts earlier elsewhere."""
+    kinds = {"shard": pa.int64(), "seg": pa.int64(), "first_did": pa.int64(), "first_start": pa.int64(), "late": pa.list_(pa.int32())}
+
+    def flush(rows: list[list]) -> pa.RecordBatch:
+        late = shard_repeats([r[2] for r in rows], np.array([r[4] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64), size) if rows else []
+        return _batch([(r[0], r[1], r[4], r[5], x) for r, x in zip(rows, late) if x or r[3] > 1], kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[list] = []
         total = 0
-
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            late = shard_repeats([r[2] for r in rows], np.array([r[4] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64), size) if rows else []
-            keep = [(r[1], r[4], r[5], x) for r, x in zip(rows, late) if x or r[3] > 1]
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keep], t) for i, t in enumerate(kinds)], names=["seg", "first_did", "first_start", "late"])
-
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[-1][:2] == [row[0], row[1]]:
+                    held[-1][3] += row[3]
+                    held[-1][4:] = min(held[-1][4:], list(row[4:]))
+                    continue
                 if total > CHUNK and row[0] != held[-1][0]:
                     yield flush(held)
                     held, total = [], 0
-                held.append(row)
+                held.append(list(row))
                 total += len(row[2])
         yield flush(held)
 
-    distinct = segments.groupBy("shard", "seg").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"), F.min(F.struct("did", "start")).alias("first"))
-    # The aggregation leaves a shard's runs in many partitions; each shard must be whole and in order.
-    whole = distinct.repartition("shard").sortWithinPartitions("shard")
-    return whole.select("shard", "seg", "bytes", "copies", "first.did", "first.start").mapInArrow(run, "seg binary, first_did long, first_start long, late array<int>")
+    whole = distinct.repartition("shard").sortWithinPartitions("shard", "seg")
+    return whole.mapInArrow(run, "shard long, seg long, first_did long, first_start long, late array<int>")
 
 
 def without_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -221,29 +260,31 @@ def without_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text
     each = _anchors(rows, hot, size).select("did", F.explode("anchors").alias("anchor"))
     twice = each.groupBy("anchor").count().where("count > 1")
     known = each.join(twice, "anchor").groupBy("did").agg(F.collect_set("anchor").alias("known"), F.collect_set(F.when(F.col("count") > HOT, F.col("anchor"))).alias("often"))
-    segments = stored(_segments(rows.join(known, "did"), hot, size))
-    found = checkpointed(_found(segments, size))
-    places = segments.select("did", "rid", "start", "windows", "seg").join(found, "seg")
+    wanted = rows.join(known, "did").select("row", "did", "known", "often")
+    # The runs are cut twice, once for their bytes and once for their places: that costs less than keeping them on disk.
+    found = _found(_distinct(wanted, hot, size), size)
+    places = _places(wanted, hot, size).join(found, ["shard", "seg"])
     is_first = (F.col("did") == F.col("first_did")) & (F.col("start") == F.col("first_start"))
     late = F.when(is_first, F.col("late")).otherwise(F.array(F.lit(0), F.col("windows")))
     marks = places.select("did", "rid", "start", late.alias("late")).where(F.size("late") > 0)
-    marks = marks.groupBy("did", "rid").agg(F.collect_set(F.struct("start", "late")).alias("marks"))
-    joined = rows.join(marks, ["did", "rid"], "left").drop("did", "rid")
-    schema = joined.drop("_text", "marks").withColumns({"n_bytes": F.lit(0).cast("long"), "spans": F.array().cast("array<bigint>"), "kept": F.lit("").cast("binary")}).schema
+    marks = marks.groupBy("did").agg(F.collect_set(F.struct("rid", "start", "late")).alias("marks"))
+    joined = rows.join(marks, "did", "left").select("row", "marks")
+    schema = rows.select("row.*").drop("_text", "rid").withColumns({"n_bytes": F.lit(0).cast("long"), "spans": F.array().cast("array<bigint>"), "kept": F.lit("").cast("binary")}).schema
     names = [f.name for f in schema.fields]
-    at, marks_at = joined.columns.index("_text"), joined.columns.index("marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 500):
             n_bytes, spans, kept = [], [], []
-            for body, own in zip(batch.column(at).to_pylist(), batch.column(marks_at).to_pylist()):
+            row = batch.column(0)
+            for body, rid, own in zip(row.field("_text").to_pylist(), row.field("rid").to_pylist(), batch.column(1).to_pylist()):
                 raw = body.encode()
-                gone = merged([(m["start"] + a, m["start"] + b + size - 1) for m in own or [] for a, b in zip(m["late"][::2], m["late"][1::2])])
+                mine = [m for m in own or [] if m["rid"] == rid]
+                gone = merged([(m["start"] + a, m["start"] + b + size - 1) for m in mine for a, b in zip(m["late"][::2], m["late"][1::2])])
                 cuts = [0, *gone, len(raw)]
                 n_bytes.append(len(raw))
                 spans.append(gone)
                 kept.append(b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2])))
-            others = [c for i, c in enumerate(batch.columns) if i not in (at, marks_at)]
+            others = [row.field(n) for n in names[:-3]]
             yield pa.RecordBatch.from_arrays([*others, pa.array(n_bytes, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=names)
 
     return joined.mapInArrow(run, schema)
