@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from galley.operators.library import import_packs, stale_pairs
+from galley.plans.packs import import_library
 
 
 def _stored(spark: SparkSession, table: str, ddl: str) -> DataFrame:
@@ -32,14 +33,22 @@ _PACK = "pack_id string, fingerprint string, identity string"
 _REPORT = "pack_id string, pkg_id string, pack_sha256 string, target_sha256 string, options string"
 
 
-def import_batch(batch: DataFrame, batch_id: int, library: str, log: str) -> None:
-    """Merge one batch of valid packs into a library.
+Rules = Callable[[DataFrame], DataFrame]
 
-    Rows are written under the batch id, so a repeated batch overwrites itself.
+
+def import_batch(batch: DataFrame, batch_id: int, library: str, log: str, rules: Rules | None = None) -> None:
+    """Merge one batch of packs into a library.
+
+    ``rules`` finds the violations (``pack_id, rule``) of a batch: whichever rule
+    sets of ``quality`` its rows can be held against. Packs with any are logged as
+    rejected and stay out. Rows are written under the batch id, so a repeated batch
+    overwrites itself.
     """
     spark = batch.sparkSession
     before = _stored(spark, library, f"{_PACK}, batch bigint").filter(F.col("batch") != batch_id)
-    decided = import_packs(batch, before.drop("batch")).withColumn("batch", F.lit(batch_id)).persist()
+    stored = before.drop("batch")
+    outcome = import_library(batch, stored, rules(batch)) if rules else import_packs(batch, stored)
+    decided = outcome.withColumn("batch", F.lit(batch_id)).persist()
     try:
         added = decided.filter(F.col("action") == "append")
         for rows, folder in ((added.select("pack_id", "fingerprint", "identity", "batch"), library), (decided, log)):
@@ -48,10 +57,12 @@ def import_batch(batch: DataFrame, batch_id: int, library: str, log: str) -> Non
         decided.unpersist()
 
 
-def import_stream(arrivals: DataFrame, library: str, log: str, state: str) -> StreamingQuery:
+def import_stream(
+    arrivals: DataFrame, library: str, log: str, state: str, rules: Rules | None = None
+) -> StreamingQuery:
     """Import everything that arrived so far, then stop."""
     return (
-        arrivals.writeStream.foreachBatch(lambda df, i: import_batch(df, i, library, log))
+        arrivals.writeStream.foreachBatch(lambda df, i: import_batch(df, i, library, log, rules))
         .option("checkpointLocation", state)
         .trigger(availableNow=True)
         .start()

@@ -12,6 +12,8 @@ from galley.operators.graph import settled, shared_folder
 from galley.plans.corpus import corpus_of
 from galley.plans import apply as apply_plan, fonts as font_plan, packs as pack_plan, preflight as preflight_plan, profile as profile_plan
 from galley.sources import ooxml, packages, requests as edit_requests, sinks
+from galley.registries import PACK_SCHEMA_VERSION
+from galley.schemas import MANIFEST
 from galley.sources.packs import declared_parts, parse_manifests
 from galley.streaming import ingest
 from harness import adapters as A, documents as D, templates as T
@@ -303,14 +305,34 @@ EMPTY_IMPORT = (
 )
 
 
-@query("t1_import_stream", [], f"WITH RECURSIVE {EMPTY_IMPORT} SELECT seq, action, library_id FROM walk WHERE i > 0")
+# A manifest without faults, but for the id and name that each arrival brings.
+T_MANIFEST = (
+    '{"schema_version":%d,"used_formats":[],"used_table_styles":[],"used_style_count":1,"format_part_count":1,"manual_formatting":{"paragraph_count":0,"run_count":0},'
+    '"document_summary":{"paragraph_count":0,"run_count":0,"table_count":0,"section_count":1},"page_layout":{"width_cm":21.0}}' % PACK_SCHEMA_VERSION
+)
+
+
+@query(
+    "t1_import_stream", [],
+    f"""WITH RECURSIVE {EMPTY_IMPORT.replace("lang AS k FROM documents)", "lang AS k FROM documents WHERE " + L.GOOD_NAME + ")")}
+        SELECT seq, action, library_id FROM walk WHERE i > 0 UNION ALL SELECT doc_id, 'reject', NULL FROM documents WHERE NOT ({L.GOOD_NAME})""",
+)
 def t1(spark, d):
     folder = scratch(spark)
     stream = spark.readStream.schema("doc_id bigint, text string, lang string, source string, n_chars bigint").parquet(f"{d}/documents.parquet*")
     arrivals = stream.select(
         F.col("doc_id").alias("seq"), F.expr(L.PACK_ID).alias("pack_id"), F.sha2("text", 256).alias("fingerprint"), F.col("lang").alias("identity")
     )
-    ingest.import_stream(arrivals, f"{folder}/library", f"{folder}/log", f"{folder}/state").awaitTermination()
+    # V3 on what an arrival tells about its manifest; the id of some is too long for the rule.
+    shape = T_MANIFEST
+
+    def rules(batch):
+        m = F.from_json(F.lit(shape), MANIFEST)
+        odd = F.when(F.col("pack_id").like("%7"), F.repeat(F.lit("x"), 129)).otherwise(F.col("pack_id"))
+        rows = batch.select("pack_id", m.withField("id", odd).withField("name", F.col("pack_id")).alias("manifest"))
+        return quality.manifest_rules(rows).select("pack_id", "rule")
+
+    ingest.import_stream(arrivals, f"{folder}/library", f"{folder}/log", f"{folder}/state", rules).awaitTermination()
     return spark.read.parquet(f"{folder}/log").select("seq", "action", "library_id")
 
 

@@ -157,6 +157,7 @@ def stored_packs(spark, d):
 
 # Packs that a rule set turns away before the import.
 BROKEN_PACK = f"({PACK_ID}) LIKE '%7'"
+GOOD_NAME = f"NOT ({BROKEN_PACK})"
 IMPORT = f"""st AS (SELECT 'p' || (doc_id % 90) AS pack_id, sha256(text) || lang AS k FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
     inc AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id AS seq, {PACK_ID} AS pack_id, sha256(text) AS fp, sha256(text) || lang AS k FROM documents),
     inc2 AS MATERIALIZED (SELECT inc.*, coalesce(bool_or(s.k <> inc.k), false) AS clash, (SELECT min(pack_id) FROM st t WHERE t.k = inc.k) AS sid FROM inc LEFT JOIN st s ON s.pack_id = inc.pack_id GROUP BY ALL),
