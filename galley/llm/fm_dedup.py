@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galley.llm import wordhash
-from galley.llm.anchors import ordered, runs, sliding_min
+from galley.llm.anchors import inside, near_repeats, ordered, runs, sliding_min
 from galley.llm.common import pick, slices
 from galley.llm.fm_index import FMIndex
 
@@ -37,7 +37,8 @@ SAMPLE, COMMON = 4000, 0.005
 def _low(texts: list[bytes], hot: np.ndarray, size: int):
     body, start, end, first = wordhash.words(texts)
     grams = wordhash.grams(wordhash.hashes(body, start, end), GRAM)
-    return body, start, end, first, sliding_min(ordered(grams, hot), size - GRAM + 1)
+    value = ordered(grams, hot)
+    return first, value, sliding_min(value, size - GRAM + 1)
 
 
 def _common(rows: DataFrame, size: int) -> np.ndarray:
@@ -72,13 +73,18 @@ def _rows(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> D
 
 
 def _anchors(rows: DataFrame, hot, size: int) -> DataFrame:
-    """``did, anchor``: one row per run of windows."""
+    """``did, anchors``: one per run of windows, and one more for a run that holds two equal windows itself."""
+    width = size - GRAM + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 300):
             if part.num_rows:
-                _, _, _, first, low = _low([t.encode() for t in part.column(1).to_pylist()], hot.value, size)
-                found = [runs(low, a, max(a, b - size + 1), MOST)[0] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                first, value, low = _low([t.encode() for t in part.column(1).to_pylist()], hot.value, size)
+                near = near_repeats(value, width, MOST)
+                found = []
+                for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                    anchor, start, count = runs(low, a, max(a, b - size + 1), MOST)
+                    found.append(np.concatenate([anchor, inside(value, near, anchor, a + start, count, width)]))
                 offsets = np.cumsum([0, *map(len, found)])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["did", "anchors"])
@@ -96,7 +102,7 @@ def _cut(batch: pa.RecordBatch, hot: np.ndarray, size: int) -> Iterator[tuple[in
     for text, rid, did, known, often in zip(row.field("_text").to_pylist(), row.field("rid").to_pylist(), *(batch.column(i).to_pylist() for i in (1, 2, 3))):
         raw = text.encode()
         words = raw.split()
-        low = _low([raw], hot, size)[4]
+        low = _low([raw], hot, size)[2]
         anchor, start, count = runs(low, 0, max(0, len(words) - size + 1), MOST)
         many = set(often)
         for at in np.flatnonzero(np.isin(anchor, np.array(known, np.int64))).tolist():

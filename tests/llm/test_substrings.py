@@ -113,3 +113,23 @@ def test_bytes_equal_brute_force(frame, monkeypatch, hot, chunk, sample, piece):
     got = suffix_dedup.digest(suffix_dedup.without_repeats(frame(rows).repartition(3))).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_bytes(rows)
     assert suffix_dedup.without_repeats(frame([])).count() == 0
+
+
+def periodic_words(seed):
+    """Texts of 36 to 60 words that repeat a phrase no other text has, most of them within one run of windows."""
+    rng = random.Random(seed)
+    texts = [" ".join(f"p{i}" for _ in range(36 + i)) for i in range(25)]
+    for k in range(60):
+        phrase = [f"q{k}x{i}" for i in range(rng.randint(2, 25))]
+        texts.append(" ".join([f"l{k}"] * rng.randint(0, 1) + (phrase * 30)[: rng.randint(36, 60)] + [f"r{k}"] * rng.randint(0, 1)))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_words_repeated_inside_one_run(frame, monkeypatch, hot):
+    monkeypatch.setattr(fm_dedup, "HOT", hot)
+    rows = periodic_words(hot)
+    got = fm_dedup.digest(fm_dedup.without_repeats(frame(rows).repartition(3))).collect()
+    want = brute_words(rows)
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
+    assert sum(gone > 0 for _, _, gone, _ in want) > 50
