@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galley.llm.anchors import ordered, runs, sliding_min
+from galley.llm.anchors import inside, near_repeats, ordered, runs, sliding_min
 from galley.llm.common import pick, slices
 from galley.llm.suffix_array import BlockSuffixes
 from galley.llm.wordhash import BASE, mix
@@ -49,13 +49,19 @@ def grams(body: np.ndarray) -> np.ndarray:
     return mix(h[:-8] * np.uint64(pow(BASE, 8, 1 << 64)) + eight[16:])
 
 
-def found_runs(texts: list[bytes], hot: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchors, starts, counts) of each text's runs of windows."""
+def found_runs(texts: list[bytes], hot: np.ndarray, size: int, again: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchors, starts, counts) of each text's runs of windows; with ``again``, anchors of runs that hold two equal windows
+    themselves come once more at the end of the anchors."""
     joined = np.frombuffer(b"".join(texts), np.uint8)
-    low = sliding_min(ordered(grams(joined), hot), size - GRAM + 1)
+    width = size - GRAM + 1
+    value = ordered(grams(joined), hot)
+    low = sliding_min(value, width)
+    near = near_repeats(value, width, MOST) if again else None
     out, at = [], 0
     for t in texts:
-        out.append(runs(low, at, max(at, at + len(t) - size + 1), MOST))
+        anchor, start, count = runs(low, at, max(at, at + len(t) - size + 1), MOST)
+        twice = inside(value, near, anchor, at + start, count, width) if again else anchor[:0]
+        out.append((np.concatenate([anchor, twice]), start, count))
         at += len(t)
     return out
 
@@ -74,10 +80,10 @@ def batches_of(texts: list[bytes]) -> Iterator[tuple[int, int, list[bytes]]]:
         yield held
 
 
-def all_runs(texts: list[bytes], hot: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def all_runs(texts: list[bytes], hot: np.ndarray, size: int, again: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     parts: list[list] = [[] for _ in texts]
     for held in batches_of(texts):
-        for (i, lo, _), (a, s, n) in zip(held, found_runs([h[2] for h in held], hot, size)):
+        for (i, lo, _), (a, s, n) in zip(held, found_runs([h[2] for h in held], hot, size, again)):
             parts[i].append((a, s + lo, n))
     return [tuple(np.concatenate([p[k] for p in own]) for k in range(3)) for own in parts]
 
@@ -112,12 +118,12 @@ def _rows(docs: DataFrame, key: str, text: str, keep: tuple[str, ...]) -> DataFr
 
 
 def _anchors(rows: DataFrame, hot, size: int) -> DataFrame:
-    """``did, anchors`` of every document."""
+    """``did, anchors`` of every document: one per run of windows, and one more for a run that holds two equal windows itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 200):
             if part.num_rows:
-                found = [r[0] for r in all_runs([t.encode() for t in part.column(1).to_pylist()], hot.value, size)]
+                found = [r[0] for r in all_runs([t.encode() for t in part.column(1).to_pylist()], hot.value, size, True)]
                 offsets = np.cumsum([0, *map(len, found)])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["did", "anchors"])

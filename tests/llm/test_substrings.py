@@ -133,3 +133,24 @@ def test_words_repeated_inside_one_run(frame, monkeypatch, hot):
     want = brute_words(rows)
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
     assert sum(gone > 0 for _, _, gone, _ in want) > 50
+
+
+def periodic_bytes(seed):
+    """Texts of 101 to 180 bytes that repeat a string no other text has, most of them within one run of windows."""
+    rng = random.Random(seed)
+    draw = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    texts = [c * n for c, n in zip("-=_*.~", (101, 115, 130, 150, 170, 180))]
+    for _ in range(90):
+        texts.append(draw(rng.choice([0, 3, 200])) + (draw(rng.randint(2, 79)) * 90)[: rng.randint(101, 180)] + draw(rng.choice([0, 3, 200])))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("hot,piece", [(20_000, 4_000_000), (1, 4_000_000), (20_000, 130)])
+def test_bytes_repeated_inside_one_run(frame, monkeypatch, hot, piece):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    rows = periodic_bytes(hot)
+    got = suffix_dedup.digest(suffix_dedup.without_repeats(frame(rows).repartition(3))).collect()
+    want = brute_bytes(rows)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert sum(gone > 0 for _, _, gone, _, _ in want) > 30
