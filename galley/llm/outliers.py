@@ -14,11 +14,11 @@ from galley.llm.common import checkpointed, pick
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 GAPS = "[\\x20\\x09-\\x0D]+"
-#: The positions of 3-word windows are packed under their hash: 24 bits, texts of up to 16 million words.
+#: The positions of 3-word windows are packed under their hash: 24 bits. Texts of more words keep hash and position apart.
 POSITION_BITS = 24
 AXES = ("length", "word_size", "symbols", "lines", "repeats")
 #: Added to the variance of each axis: what a difference must exceed to count where almost all documents are equal.
-FLOOR = {"length": 0.3, "word_size": 0.05, "symbols": 0.1, "lines": 0.15, "repeats": 0.15}
+FLOOR = {"length": 0.3, "word_size": 0.05, "symbols": 0.1, "lines": 0.1, "repeats": 0.1}
 
 
 def statistics(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -31,11 +31,16 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tup
         F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"),
         F.filter(F.split(text, GAPS, -1), lambda x: x != "").alias("words"),
     )
+    long = f"size(words) > {1 << POSITION_BITS}"
     windows = F.expr(
-        f"""if(size(words) < 3, cast(array() as array<bigint>),
+        f"""if(size(words) < 3 or {long}, cast(array() as array<bigint>),
             transform(sequence(0, size(words) - 3), i -> shiftleft(xxhash64(words[i], words[i + 1], words[i + 2]), {POSITION_BITS}) + i))"""
     )
-    sorted_ = base.select("*", F.sort_array(windows).alias("s"))
+    apart = F.expr(
+        f"""if(size(words) < 3 or not {long}, cast(array() as array<struct<h: bigint, i: int>>),
+            transform(sequence(0, size(words) - 3), i -> named_struct('h', xxhash64(words[i], words[i + 1], words[i + 2]), 'i', i)))"""
+    )
+    sorted_ = base.select("*", F.sort_array(windows).alias("s"), F.sort_array(apart).alias("a"))
     # Only windows that have a neighbour of the same hash go on.
     twin = f"shiftright(x ^ get(s, i + 1), {POSITION_BITS}) = 0 or shiftright(x ^ get(s, i - 1), {POSITION_BITS}) = 0"
     twins = sorted_.select(*[c for c in sorted_.columns if c != "s"], F.expr(f"filter(s, (x, i) -> {twin})").alias("s"))
@@ -47,6 +52,9 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tup
         and words[cast(a & {mask} as int) + 2] = words[cast(b & {mask} as int) + 2]"""
     near = twins.select("*", F.expr(f"zip_with(s, slice(s, 2, size(s)), {same})").alias("eq"))
     hit = near.select("*", F.expr(f"sort_array(transform(filter(s, (x, i) -> eq[i] or coalesce(get(eq, i - 1), false)), x -> x & {mask}))").alias("p"))
+    alike = "x.h = get(a, k {0} 1).h and words[x.i] = words[get(a, k {0} 1).i] and words[x.i + 1] = words[get(a, k {0} 1).i + 1] and words[x.i + 2] = words[get(a, k {0} 1).i + 2]"
+    far = f"filter(a, (x, k) -> coalesce({alike.format('+')}, false) or coalesce({alike.format('-')}, false))"
+    hit = hit.withColumn("p", F.expr(f"if({long}, sort_array(transform({far}, x -> cast(x.i as bigint))), p)"))
     covered = F.expr("coalesce(aggregate(zip_with(p, slice(p, 2, size(p)), (a, b) -> least(coalesce(b - a, 3), 3)), 0L, (t, x) -> t + x), 0L)")
     return hit.select(
         key,
@@ -142,13 +150,13 @@ def minimum_covariance(rows: DataFrame, group: list[str], share: float = 0.75, s
 
 def robust_outliers(
     df: DataFrame, key: str = "doc_id", text: str = "text", group: tuple[str, str] = ("lang", "source"), share: float = 0.75, steps: int = 3,
-    least_words: int = 50, most_repeated: int = 50, least_group: int = 50, cutoff: float = 45.0,
+    least_words: int = 50, most_repeated: int = 50, least_group: int = 50, cutoff: float = 20.515,
 ) -> DataFrame:
     """One row per document with its statistics, ``base_failed``, its distance ``d2`` and ``kept``.
 
     ``base_failed``: fewer than ``least_words`` words or more than ``most_repeated`` percent of them in repeated 3-word
     windows. Those documents do not shape the estimates. The rest is kept if d2, divided by the group's median d2 over its
-    expected value, is at most ``cutoff`` (chi-square with five degrees exceeds 45 once in 70 million rows). A group of fewer than
+    expected value, is at most ``cutoff`` (chi-square with five degrees exceeds 20.515 once in 1000 rows). A group of fewer than
     ``least_group`` such documents uses its language's estimate, a language with fewer the estimate of all.
 
     Null language or source is a group of its own; null and empty texts fail the base rule; repeated rows count as often as

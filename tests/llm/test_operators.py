@@ -97,6 +97,36 @@ def test_robust_rules(frame):
     assert {r.doc_id: r.kept for r in few} == {1: True, 2: False}
 
 
+def test_statistics_of_texts_beyond_the_packed_positions(frame, monkeypatch):
+    monkeypatch.setattr(outliers, "POSITION_BITS", 4)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["a", "b", "c", "dd"], k=n))) for i, n in enumerate([0, 2, 3, 15, 16, 17, 18, 40, 90, 300])]
+    got = outliers.statistics(frame(rows)).collect()
+    want = [(d, *brute_statistics(t)) for d, t in rows]
+    assert sorted(map(str, [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got])) == sorted(map(str, want))
+
+
+def test_an_outlier_on_each_axis_is_rejected(frame):
+    rng = random.Random(10)
+    vocabulary = [f"word{i:04}" for i in range(5000)]
+    lines = lambda w, k=10: [" ".join(w[i : i + k]) for i in range(0, len(w), k)]
+    rows = [(i, "\n".join(lines(rng.sample(vocabulary, rng.randint(100, 300)))), "en", "s") for i in range(300)]
+    plain = rng.sample(vocabulary, 200)
+    odd = {
+        "length": "\n".join(lines([f"word{i:04}" for i in range(9000)])),
+        "word_size": "\n".join(lines([w + "xxxx" for w in plain])),
+        "symbols": "\n".join(lines([w + "#" for w in plain])),
+        # Lines of two words are no 3-word window by themselves: two of five lines are copies.
+        "lines": "\n".join(x for i, w in enumerate(lines(plain[:120], 2)) for x in ([w, "two words"] if i % 3 < 2 else [w])),
+        "repeats": "\n".join(lines(plain[:160] + plain[:40])),
+    }
+    found = outliers.robust_outliers(frame(rows + [(1000 + i, t, "en", "s") for i, t in enumerate(odd.values())])).collect()
+    got = {r.doc_id: r for r in found}
+    assert not any(got[1000 + i].base_failed for i in range(5))
+    assert [name for i, name in enumerate(odd) if got[1000 + i].kept] == []
+    assert sum(got[i].kept for i in range(300)) >= 295
+
+
 def test_outliers_run_without_python(frame):
     plan = outliers.robust_outliers(frame([(1, "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
