@@ -232,9 +232,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
     wanted = reps.select("rep", "digest").join(shared.select("rep").distinct(), "rep", "left_semi")
     sets = checkpointed(_sets(docs, wanted, key, text))
     links = checkpointed(_confirmed(edges, sets, percent))
-    # A document with several texts links the classes of all of them.
+    # A document with several texts links the classes of all of them, be it the least id of one of them or of none.
     own = sig.where("n_shingles > 0 and doc_id is not null").join(reps.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    several = own.join(reps.select(F.col("rep").alias("a")), "a", "left_semi")
+    bridges = own.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high").select("a")
+    several = own.join(reps.select(F.col("rep").alias("a")).unionByName(bridges), "a", "left_semi")
     links = links.unionByName(several.distinct())
     found = checkpointed(components(links))
     more = checkpointed(_rest(shared, buckets, found, sets, percent))

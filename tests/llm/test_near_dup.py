@@ -71,6 +71,12 @@ def test_awkward_rows(frame):
     assert got == [(0, None, True), (2, 2, True), (2, 2, True), (5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True)]
 
 
+def test_an_id_that_represents_none_of_its_texts_links_them(frame):
+    rows = [(2, "a b c d e f"), (3, "x y z"), (5, "a b c d e f"), (5, "x y z"), (6, "x y z"), (7, "q r s"), (8, "q r s")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(frame(rows)).collect())
+    assert got == [(2, 2, True), (3, 2, False), (5, 2, False), (5, 2, False), (6, 2, False), (7, 7, True), (8, 7, False)]
+
+
 def test_signature_of_tiny_sets():
     one = np.array([5], np.uint64)
     assert (near_dup.signature(one) == 5).all()
