@@ -8,12 +8,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import decontaminate, fm_dedup, language_id, near_dup, outliers, packing, quality_model, sharding, suffix_dedup, token_counts
+from galley.llm import decontaminate, fm_dedup, language_id, lexical_search, near_dup, outliers, packing, quality_model, sharding, suffix_dedup, token_counts
 from galley.llm.common import shared_folder, stored
 
 SHARDS = 16
 
 
+TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP11_SQL = f"""
+WITH words AS (SELECT row_number() OVER () AS d, doc_id, {TERMS} AS t FROM documents),
+docs AS (SELECT d, doc_id, len(t) AS n FROM words WHERE len(t) > 0),
+sums AS (SELECT count(*)::BIGINT AS nd, coalesce(sum(n), 0)::BIGINT AS total FROM docs),
+tf AS (SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(t) AS term FROM words) GROUP BY d, term),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+weights AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, sums),
+asked AS (
+    SELECT q, item_id, term, count(*)::BIGINT AS repeats
+    FROM (SELECT q, item_id, unnest(t) AS term FROM (SELECT row_number() OVER () AS q, item_id, {TERMS} AS t FROM benchmark)) GROUP BY q, item_id, term
+),
+scored AS (
+    SELECT q, item_id, doc_id, d,
+        sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nd) // total))))::BIGINT AS score
+    FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN docs USING (d), sums GROUP BY q, item_id, doc_id, d
+),
+ranked AS (SELECT q, item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,6 +98,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("key"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
@@ -86,7 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 #: DuckDB texts of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_lexical_search": OP11_SQL}
