@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import decontaminate, fm_dedup, language_id, lexical_search, near_dup, outliers, packing, quality_model, sharding, suffix_dedup, token_counts
+from galley.llm import conversation_repair, decontaminate, fm_dedup, language_id, lexical_search, near_dup, outliers, packing, quality_model, secret_scan, sharding, suffix_dedup, token_counts
 from galley.llm.common import shared_folder, stored
 
 SHARDS = 16
@@ -37,6 +37,50 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 1
 """
 
 
+def _places(kind: str, k: int, pattern: str, size: str = "length(x.m)", least: int = 1) -> str:
+    """SQL for the leftmost matches of a pattern: their places are running lengths of the pieces between and the matches."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+    SELECT r, '{kind}' AS kind, {k} AS k, x.s AS s, x.s + length(x.m) AS e, x.m AS m FROM (
+        SELECT r, unnest(list_transform(range(1, len(f) + 1), lambda i: {{
+            's': coalesce(list_sum(list_transform(g[1:i], lambda y: length(y))), 0)::BIGINT + coalesce(list_sum(list_transform(f[1:i - 1], lambda y: length(y))), 0)::BIGINT,
+            'm': f[i]}})) AS x
+        FROM (SELECT r, string_split_regex(t, '{quoted}') AS g, regexp_extract_all(t, '{quoted}') AS f FROM texts)
+    ) WHERE {size} >= {least}"""
+
+
+def _hot(k: int, c: secret_scan.CharClass) -> str:
+    """SQL for the spans of a character class: every window's sum is counted afresh, then windows are joined."""
+    tests = [f"regexp_matches(m, '{n}')" for n in c.needs] + [f"NOT regexp_matches(m, '{a}')" for a in secret_scan.ALLOW]
+    return f"""
+    SELECT r, '{c.kind}' AS kind, {k} AS k, min(s + i) AS s, max(s + i) + {c.window} AS e FROM (
+        SELECT *, sum(fresh) OVER (PARTITION BY r, s ORDER BY i) AS island FROM (
+            SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY r, s ORDER BY i) + {c.window} THEN 0 ELSE 1 END AS fresh FROM (
+                SELECT r, s, i, list_sum(list_transform(list_distinct(string_split(w, '')), lambda ch: round(
+                    ({c.window} - length(replace(w, ch, ''))) * log2({c.window} - length(replace(w, ch, ''))) * 1000000)::BIGINT)) AS total
+                FROM (SELECT r, s, i, substr(m, i::INTEGER + 1, {c.window}) AS w FROM (
+                    SELECT r, s, m, unnest(range(0, length(m) - {c.window - 1})) AS i FROM ({_places(c.kind, k, c.pattern)}) WHERE {" AND ".join(tests)}))
+            ) WHERE total <= {c.most}))
+    GROUP BY r, s, island"""
+
+
+_ASSIGN_VALUE = f"length(regexp_extract(x.m, '{secret_scan.ASSIGN.replace(chr(39), chr(39) * 2)}', 2))"
+OP12_SQL = f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({" UNION ALL ".join(_places(kind, k, p, _ASSIGN_VALUE if group else "length(x.m)", least) for k, (kind, p, least, group) in enumerate(secret_scan.BASE))}),
+added AS ({" UNION ALL ".join(_hot(k, c) for k, c in enumerate(secret_scan.CLASSES, len(secret_scan.BASE)))}),
+known AS (
+    SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS text
+    FROM base GROUP BY r
+),
+every AS (SELECT r, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS text FROM (SELECT r, kind, k, s, e FROM base UNION ALL SELECT * FROM added) GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+    sha256(coalesce(known.text, '')) AS base_sha256, coalesce(every.text, '') AS spans
+FROM texts LEFT JOIN known USING (r) LEFT JOIN every USING (r)
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -102,6 +146,14 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(_table(spark, sf_dir, "conversations")), copies="copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
@@ -114,7 +166,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
     "op11_lexical_search": op11_lexical_search,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: DuckDB texts of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op11_lexical_search": OP11_SQL}
+ORACLES: dict[str, str] = {"op11_lexical_search": OP11_SQL, "op12_secret_scan": OP12_SQL}
