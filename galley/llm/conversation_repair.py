@@ -37,9 +37,6 @@ NAMES = {"u": "user", "a": "assistant"}
 ACCEPTING = (0, 3)
 #: Adjacent role initials that are in order.
 LEGAL = {"su", "ua", "au"}
-#: Bounds of a piece: rows, and characters of its texts.
-PIECE_ROWS, PIECE_CHARS = 50_000, 2 << 20
-
 MUST_GO = "x"
 
 
@@ -192,9 +189,10 @@ PIECE_DDL = """k string, piece bigint, turns bigint, first_turn bigint, last_tur
 
 
 class Piece:
-    """Rows of one conversation in order, up to the bounds of a piece."""
+    """Rows of one conversation in order, up to the bounds of a piece: rows, and characters of its texts."""
 
-    def __init__(self, k: str, number: int):
+    def __init__(self, k: str, number: int, bounds: tuple[int, int]):
+        self.bounds = bounds
         self.row = {n: 0 for n in ("turns", "illegal", "blank", "duplicate", "truncated")} | {"k": k, "piece": number, "first_turn": None, "last_turn": None, "initial": None, "final": None}
         self.letters, self.roles, self.texts, self.known, self.size = [], [], [], {}, 0
 
@@ -227,7 +225,7 @@ class Piece:
         self.size += len(text)
 
     def full(self) -> bool:
-        return len(self.letters) >= PIECE_ROWS or self.size >= PIECE_CHARS
+        return len(self.letters) >= self.bounds[0] or self.size >= self.bounds[1]
 
     def done(self, alone: bool) -> pa.RecordBatch:
         """As one row; a piece that may not be its conversation's only one names its different rows by digest."""
@@ -237,28 +235,31 @@ class Piece:
         return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in PIECE], schema=PIECE)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cutter(bounds: tuple[int, int]):
     """Pieces of rows (k, turn, role, text, copies) in order; numbered in the order of the whole table."""
-    number = TaskContext.get().partitionId() << 40
-    piece, border = None, True
-    for batch in batches:
-        for k, turn, role, text, copies in zip(*(c.to_pylist() for c in batch.columns)):
-            if piece is None or piece.row["k"] != k:
-                if piece is not None:
-                    yield piece.done(alone=not border)
-                    border = False
-                piece = Piece(k, number)
-                # The first conversation of a task may have begun in the task before.
-                border = border or number & ((1 << 40) - 1) == 0
-                number += 1
-            for _ in range(copies):
-                if piece.full():
-                    yield piece.done(alone=False)
-                    piece, border = Piece(k, number), True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        # The first conversation of a task may have begun in the task before, one that is cut goes on, the last may go on elsewhere.
+        piece, open_ = None, True
+        for batch in batches:
+            for k, turn, role, text, copies in zip(*(c.to_pylist() for c in batch.columns)):
+                if piece is None or piece.row["k"] != k:
+                    if piece is not None:
+                        yield piece.done(alone=not open_)
+                        open_ = False
+                    piece = Piece(k, number, bounds)
                     number += 1
-                piece.add(turn, role, text)
-    if piece is not None:
-        yield piece.done(alone=False)
+                for _ in range(copies):
+                    if piece.full():
+                        yield piece.done(alone=False)
+                        piece, open_ = Piece(k, number, bounds), True
+                        number += 1
+                    piece.add(turn, role, text)
+        if piece is not None:
+            yield piece.done(alone=False)
+
+    return run
 
 
 def _across(pieces: DataFrame) -> DataFrame:
@@ -390,7 +391,7 @@ def damage(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     )
 
 
-def repair(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", copies: str | None = None) -> DataFrame:
+def repair(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", copies: str | None = None, piece_rows: int = 50_000, piece_chars: int = 2 << 20) -> DataFrame:
     """``conv, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256`` of every conversation.
 
     Rows come in the order of turn (nulls first), role and text; each stands as often as column ``copies`` says (once without it; a conversation whose
@@ -411,7 +412,7 @@ def repair(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     # Rows that are equal in everything may still be dealt to different tasks.
     numbered = slim.withColumn("place", F.monotonically_increasing_id())
     placed = numbered.repartitionByRange(*order, "place").sortWithinPartitions(*order).drop("place")
-    pieces = stored(placed.mapInArrow(_cut, PIECE_DDL))
+    pieces = stored(placed.mapInArrow(_cutter((piece_rows, piece_chars)), PIECE_DDL))
     whole = _whole(_struck(pieces)).withColumn("reverse", F.reverse("signature"))
     dealt = whole.repartitionByRange("reverse", "k").sortWithinPartitions("reverse", "k")
     audits = stored(dealt.select("k", "reverse", "pieces", *NUMBERS).mapInArrow(_audits, AUDIT_DDL))

@@ -81,6 +81,79 @@ FROM texts LEFT JOIN known USING (r) LEFT JOIN every USING (r)
 """
 
 
+_WAYS = {"s": ((1, 2),), "u": ((1, 3), (2, 3), (4, 3)), "a": ((3, 4),)}
+#: For each state of the grammar the state after an inserted or re-labelled row, and its name.
+_TO = {1: (3, "user"), 2: (3, "user"), 3: (4, "assistant"), 4: (3, "user")}
+
+
+def _kept(g: int) -> str:
+    ways = [(role, to) for role, pairs in _WAYS.items() for at, to in pairs if at == g]
+    cases = " ".join(f"WHEN initial = '{role}' THEN {{'c': late + v[{to}].c, 'a': 'K' || v[{to}].a, 't': list_prepend(role || ':' || text, v[{to}].t)}}" for role, to in ways)
+    return f"CASE WHEN fault IN ('blank', 'duplicate') THEN NULL {cases} END"
+
+
+def _ways(g: int) -> str:
+    to, name = _TO[g]
+    gone = f"{{'c': 4 + v[{g}].c, 'a': 'D' || v[{g}].a, 't': v[{g}].t}}"
+    named = f"CASE WHEN fault NOT IN ('blank', 'duplicate') THEN {{'c': 3 + late + v[{to}].c, 'a': 'R' || v[{to}].a, 't': list_prepend('{name}:' || text, v[{to}].t)}} END"
+    return f"list_sort(list_filter([{gone}, {_kept(g)}, {named}], lambda x: x IS NOT NULL))[1]"
+
+
+def _inserted(own: str, behind: str, name: str) -> str:
+    return f"list_sort([{own}, {{'c': 3 + {behind}.c, 'a': 'I' || {behind}.a, 't': list_prepend('{name}:', {behind}.t)}}])[1]"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE crc AS (
+    SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+),
+keyed AS (
+    SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name, coalesce(conv_id::VARCHAR, 'none') AS k FROM conversations
+),
+kinds AS (
+    SELECT k, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda c: ascii(c)::BIGINT)),
+            lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % 20 AS kind
+    FROM keyed, crc
+),
+damaged AS (
+    SELECT k, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM kinds
+),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+placed AS (
+    SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY k, role, text ORDER BY i) AS again,
+        right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+    FROM ordered
+),
+faulty AS (
+    SELECT *, CASE WHEN last = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        lag(initial) OVER (PARTITION BY k ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS odd
+    FROM placed
+),
+counts AS (
+    SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (odd) AS illegal, count(*) AS n
+    FROM faulty GROUP BY k
+),
+best AS (
+    SELECT k, n + 1 AS i, [{{'c': 0, 'a': '', 't': []::VARCHAR[]}}, {{'c': 6, 'a': 'II', 't': ['user:', 'assistant:']}}, {{'c': 3, 'a': 'I', 't': ['assistant:']}}, {{'c': 0, 'a': '', 't': []::VARCHAR[]}}] AS v
+    FROM counts
+    UNION ALL
+    SELECT k, i, [{_inserted("b[1]", "late3", "user")}, {_inserted("b[2]", "late3", "user")}, late3, {_inserted("b[4]", "b[3]", "user")}] AS v FROM (
+        SELECT k, i, b, {_inserted("b[3]", "b[4]", "assistant")} AS late3 FROM (
+            SELECT k, i, [{", ".join(_ways(g) for g in (1, 2, 3, 4))}] AS b
+            FROM (SELECT best.k, f.i, v, fault, initial, role, text, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS late FROM best JOIN faulty f ON f.k = best.k AND f.i = best.i - 1)))
+),
+found AS (SELECT k, v[1] AS x FROM best WHERE i = 1)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+    coalesce(illegal, 0)::BIGINT AS illegal, coalesce(x.c, 0)::BIGINT AS cost, coalesce(x.a, '') AS audit, sha256(coalesce(array_to_string(x.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT k, conv_id FROM keyed) LEFT JOIN counts USING (k) LEFT JOIN found USING (k)
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -171,4 +244,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB texts of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op11_lexical_search": OP11_SQL, "op12_secret_scan": OP12_SQL}
+ORACLES: dict[str, str] = {"op11_lexical_search": OP11_SQL, "op12_secret_scan": OP12_SQL, "op13_conversation_repair": OP13_SQL}
