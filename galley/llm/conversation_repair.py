@@ -227,18 +227,17 @@ class Piece:
     def full(self) -> bool:
         return len(self.letters) >= self.bounds[0] or self.size >= self.bounds[1]
 
-    def done(self, alone: bool) -> pa.RecordBatch:
+    def done(self, alone: bool) -> dict:
         """As one row; a piece that may not be its conversation's only one names its different rows by digest."""
         known = {} if alone else self.known
         seen = [hashlib.sha256(f"{len(r)}:{r}{t}".encode()).digest() for r, t in known]
-        row = self.row | {"signature": "".join(self.letters), "seen": seen, "at": list(known.values()), "roles": self.roles, "texts": self.texts}
-        return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in PIECE], schema=PIECE)
+        return self.row | {"signature": "".join(self.letters), "seen": seen, "at": list(known.values()), "roles": self.roles, "texts": self.texts}
 
 
 def _cutter(bounds: tuple[int, int]):
     """Pieces of rows (k, turn, role, text, copies) in order; numbered in the order of the whole table."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         number = TaskContext.get().partitionId() << 40
         # The first conversation of a task may have begun in the task before, one that is cut goes on, the last may go on elsewhere.
         piece, open_ = None, True
@@ -259,6 +258,17 @@ def _cutter(bounds: tuple[int, int]):
         if piece is not None:
             yield piece.done(alone=False)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in pieces(batches):
+            held.append(row)
+            size += sum(len(t) for t in row["texts"] if t)
+            if len(held) >= 500 or size >= bounds[1]:
+                yield pa.RecordBatch.from_pylist(held, schema=PIECE)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=PIECE)
+
     return run
 
 
