@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from galley.functions.numerals import typed_prefix
 from galley.operators.graph import settled
+from galley.registries import BODY_PART
 
 LEVELS = range(9)
 BLOCK = 65_536
@@ -173,22 +174,27 @@ def redundant_prefixes(counted: DataFrame) -> DataFrame:
     )
 
 
-def list_start(matched: DataFrame) -> DataFrame:
-    """Start value set by a typed first heading of the body.
+def seeded_starts(matched: DataFrame, keys=("pkg_id",)) -> DataFrame:
+    """Keys, ``seed, ord``: the start value set by a typed first heading of the body, and where it stands.
 
     Only the first level-0 heading can seed the counter, and only when its
     typed number was accepted.
     """
-    top = matched.filter((F.col("level") == 0) & (F.col("part") == "word/document.xml"))
-    first = F.min_by(F.struct("matched", "typed"), "ord")
+    top = matched.filter((F.col("level") == 0) & (F.col("part") == BODY_PART))
+    first = F.min_by(F.struct("matched", "typed", "ord"), "ord")
     return (
-        top.groupBy("pkg_id")
+        top.groupBy(*keys)
         .agg(first.alias("f"))
         .filter("f.matched AND f.typed IS NOT NULL")
-        .select("pkg_id", F.col("f.typed").alias("seed"))
+        .select(*keys, F.col("f.typed").alias("seed"), F.col("f.ord").alias("ord"))
     )
 
 
+def list_start(matched: DataFrame) -> DataFrame:
+    """``pkg_id, seed`` of :func:`seeded_starts`."""
+    return seeded_starts(matched).drop("ord")
+
+
 def dual_counters(headings: DataFrame, keys=("pkg_id", "part"), block: int = BLOCK) -> DataFrame:
     """Prefix check under demotion: typed numbers follow the original levels,
     printed numbers the new ones.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from galley.functions.props import BAG, override
 from galley.functions.units import lenient_int
 
 
@@ -60,6 +61,31 @@ def materialize(referenced: DataFrame) -> DataFrame:
     return body.filter(differs).withColumn("counted", F.col("inherited") & (F.col("eff_num_id") != "0"))
 
 
+def materialized(referenced: DataFrame) -> DataFrame:
+    """All paragraphs, those of :func:`materialize` with the list reference as their own property.
+
+    ``num_id``, ``ppr`` and ``has_ppr`` are the new ones; ``list_given`` marks the references that a style had added to.
+    """
+    body = F.col("level").isNull() & F.col("eff_num_id").isNotNull()
+    differs = ~(
+        F.col("eff_num_id").eqNullSafe(F.col("num_id"))
+        & F.col("eff_ilvl").eqNullSafe(lenient_int(F.col("ilvl_raw")).cast("int"))
+    )
+    changes = body & differs
+    attrs = F.map_filter(
+        F.create_map(F.lit("ilvl"), F.col("eff_ilvl").cast("string"), F.lit("numId"), F.col("eff_num_id")),
+        lambda _, v: v.isNotNull(),
+    )
+    given = override(F.coalesce("ppr", F.create_map().cast(BAG)), F.create_map(F.lit("numPr"), attrs))
+    return referenced.select(
+        *[c for c in referenced.columns if c not in ("num_id", "ppr", "has_ppr")],
+        F.when(body, F.col("eff_num_id")).otherwise(F.col("num_id")).alias("num_id"),
+        F.when(changes, given).otherwise(F.col("ppr")).alias("ppr"),
+        (F.col("has_ppr") | changes).alias("has_ppr"),
+        (changes & F.col("inherited") & (F.col("eff_num_id") != "0")).alias("list_given"),
+    )
+
+
 def referenced_lists(paragraphs: DataFrame) -> DataFrame:
     """Distinct direct list ids of body paragraphs."""
     return (
@@ -84,26 +110,27 @@ def number_order(c: Column) -> list[Column]:
     return [c.try_cast("decimal(38,0)").asc_nulls_last(), c.asc()]
 
 
-def fresh_lists(wanted: DataFrame, used: DataFrame) -> DataFrame:
+def fresh_lists(wanted: DataFrame, used: DataFrame, keys=("pkg_id",)) -> DataFrame:
     """New ids for imported lists and their abstract lists.
 
-    ``wanted`` has ``pkg_id, num_id, abstract_id`` (the target's), ``used`` has
-    ``pkg_id, max_num, abstract_ids`` of the source. An abstract list keeps its
+    ``wanted`` has the keys, ``num_id, abstract_id`` (the target's), ``used`` has
+    some of the keys and ``max_num, abstract_ids`` of the source. An abstract list keeps its
     id where that is free, else takes the next above every id in use, in the
     order its lists come; a concrete list always takes the next. Id zero stays
     zero. The window holds the lists of one package, which its numbering part
     bounds.
     """
+    keys = list(keys)
     zero = wanted.filter("num_id = '0'").select(
-        "pkg_id", "num_id", F.lit("0").alias("new_num_id"),
+        *keys, "num_id", F.lit("0").alias("new_num_id"),
         F.lit(None).cast("string").alias("abstract_id"),
         F.lit(None).cast("string").alias("new_abstract_id"),
     )
     real = wanted.filter(F.col("num_id").rlike("^[0-9]+$") & (F.col("num_id") != "0")).filter(
         "abstract_id IS NOT NULL"
     )
-    order = Window.partitionBy("pkg_id").orderBy(*number_order(F.col("num_id")))
-    placed = real.join(used, "pkg_id", "left").withColumn("pos", F.row_number().over(order))
+    order = Window.partitionBy(*keys).orderBy(*number_order(F.col("num_id")))
+    placed = real.join(used, [k for k in keys if k in used.columns], "left").withColumn("pos", F.row_number().over(order))
     big = lambda c: c.try_cast("decimal(38,0)")
     taken0 = F.coalesce("abstract_ids", F.array().cast("array<string>"))
 
@@ -125,16 +152,16 @@ def fresh_lists(wanted: DataFrame, used: DataFrame) -> DataFrame:
         F.col("taken").alias("taken"), F.create_map().cast("map<string,string>").alias("given")
     )
     abstract_map = (
-        placed.groupBy("pkg_id")
+        placed.groupBy(*keys)
         .agg(
             F.array_sort(F.collect_list(F.struct("pos", "abstract_id"))).alias("items"),
             F.first(taken0).alias("taken"),
         )
-        .select("pkg_id", F.aggregate("items", start, take, lambda a: a["given"]).alias("given"))
+        .select(*keys, F.aggregate("items", start, take, lambda a: a["given"]).alias("given"))
     )
     fresh = (F.coalesce("max_num", F.lit(0)) + F.col("pos")).cast("string")
-    imported = placed.join(abstract_map, "pkg_id").select(
-        "pkg_id",
+    imported = placed.join(abstract_map, keys).select(
+        *keys,
         "num_id",
         fresh.alias("new_num_id"),
         "abstract_id",
@@ -159,10 +186,11 @@ def remap_lists(paragraphs: DataFrame, mapping: DataFrame) -> DataFrame:
 def isolate(abstracts: DataFrame, levels: DataFrame, imported: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Imported abstract lists without links to styles.
 
-    ``imported`` has ``pkg_id, abstract_id, new_abstract_id``.
+    ``imported`` has ``pkg_id, abstract_id, new_abstract_id``, and ``pack_id`` where the new ids depend on it.
     """
+    keys = [k for k in ("pkg_id", "pack_id") if k in imported.columns]
     ids = imported.filter("new_abstract_id IS NOT NULL").select(
-        "pkg_id", "abstract_id", "new_abstract_id"
+        *keys, "abstract_id", "new_abstract_id"
     ).distinct()
     none = F.lit(None).cast("string")
 

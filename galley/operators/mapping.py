@@ -36,7 +36,7 @@ def _of_type(style_type: str, key: Column) -> Column:
     return F.concat(F.lit(style_type + ":"), key)
 
 
-def desired_level(outline: Column, shift: int) -> Column:
+def desired_level(outline: Column, shift: int | Column) -> Column:
     return F.least(F.lit(8), outline + shift)
 
 
@@ -121,17 +121,19 @@ def map_paragraphs(
     resolved: DataFrame,
     defaults: DataFrame,
     index: DataFrame,
-    shift: int = 0,
+    shift: int | Column = 0,
 ) -> DataFrame:
     """Mapped style and level of every paragraph under every requested pack.
 
     ``paragraphs`` carries ``pack_id``. A direct heading level asks for that
     heading; direct body text maps without a shift and never ends in a heading;
     the rest map by style. Lookups run once per distinct reference and are
-    joined back. The shift applies to the body part only.
+    joined back. The shift applies to the body part only; it may be a column
+    with one value per package and pack.
     """
-    keyed = paragraphs.withColumn("_k", F.coalesce("style_id", F.lit("")))
-    refs = keyed.select("pkg_id", "pack_id", F.col("_k").alias("style_id")).distinct()
+    keyed = paragraphs.withColumns({"_k": F.coalesce("style_id", F.lit("")), "_shift": F.lit(shift)})
+    refs = keyed.select("pkg_id", "pack_id", F.col("_k").alias("style_id"), "_shift").distinct()
+    shift = F.col("_shift")
     usual = defaults.filter(F.col("style_type") == "paragraph").join(
         resolved.select("pkg_id", "style_id", "outline"), ["pkg_id", "style_id"]
     ).select("pkg_id", F.col("outline").alias("usual_outline"))
@@ -160,12 +162,12 @@ def map_paragraphs(
     joined = keyed.join(answers, ["pkg_id", "pack_id", "_k"])
     direct = F.col("direct_outline")
     body_part = F.col("part") == "word/document.xml"
-    step = F.when(body_part, F.lit(shift)).otherwise(F.lit(0))
+    step = F.when(body_part, shift).otherwise(F.lit(0))
     outline = F.when(direct.isNotNull(), F.when(direct <= 8, direct)).otherwise(F.col("_outline"))
     target = F.when(F.col("has_ppr"), outline)
     desired = F.least(F.lit(8), target + step).cast("int")
     acts = F.col("has_ppr") & (F.col("style_id").isNotNull() | target.isNotNull())
-    shifted = body_part & F.lit(shift > 0)
+    shifted = body_part & (shift > 0)
 
     def choose(asked: Column, body: Column, far: Column, near: Column) -> Column:
         styled = F.when(shifted, far).otherwise(near)
@@ -277,16 +279,17 @@ def section_layouts(targets: DataFrame, layouts: DataFrame) -> DataFrame:
     )
 
 
-def merge_settings(target: DataFrame, source: DataFrame, keep_table_default: bool = False) -> DataFrame:
+def merge_settings(target: DataFrame, source: DataFrame, keep_table_default: bool | Column = False) -> DataFrame:
     """Settings after a transfer: format tags from the source, the rest kept.
 
     ``target`` has ``pkg_id, pack_id, tag, value``; ``source`` ``pack_id, tag,
-    value``. ``origin`` tells where a row comes from.
+    value``. ``origin`` tells where a row comes from. ``keep_table_default`` may
+    be a column of both tables.
     """
-    copied = [t for t in SETTINGS_TAGS if not (keep_table_default and t == "defaultTableStyle")]
-    kept = target.filter(~F.col("tag").isin(*copied)).withColumn("origin", F.lit("target"))
+    copied = F.col("tag").isin(*SETTINGS_TAGS) & ~(F.lit(keep_table_default) & (F.col("tag") == "defaultTableStyle"))
+    kept = target.filter(~copied).withColumn("origin", F.lit("target"))
     pairs = target.select("pkg_id", "pack_id").distinct()
-    taken = pairs.join(source.filter(F.col("tag").isin(*copied)), "pack_id").select(
+    taken = pairs.join(source.filter(copied), "pack_id").select(
         "pkg_id", "pack_id", "tag", "value", F.lit("source").alias("origin")
     )
     return kept.select(*taken.columns).unionByName(taken)

@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from galley.functions.props import dropped, has_prop, keep_only, override
-from galley.operators import counters, lists, mapping
+from galley.operators import catalog, counters, lists, mapping, numbering, usage
 from galley.operators.graph import settled
-from galley.operators.usage import count_if
+from galley.plans.sources import Packs, Sources, sources_of
 from galley.registries import BODY_PART, PARAGRAPH_KEEP, RUN_KEEP
 
 
+def _numbers(numbered: DataFrame, keys: list[str]) -> DataFrame:
+    """Printed numbers and typed prefixes of numbered paragraphs.
+
+    Printed numbers follow the rules' levels. A typed number is held against them, but that of a demoted heading against the
+    target's own levels: those are counted apart.
+    """
+    moved = F.col("demoted")
+    printed = counters.typed_numbers(numbered.withColumn("level", F.col("rule_level")))
+    printed = printed.withColumns({c: F.when(~moved, F.col(c)) for c in ("prefix", "typed")})
+    printed = counters.redundant_prefixes(counters.heading_counters(printed, keys))
+    own = counters.typed_numbers(numbered.filter(moved).withColumn("level", F.col("target_outline")))
+    own = counters.redundant_prefixes(counters.heading_counters(own, keys))
+    mine = own.select(*keys, "ord", *[F.col(c).alias("own_" + c) for c in ("level", "matched", "typed", "prefix", "stripped")])
+    both = printed.join(mine, [*keys, "ord"], "left")
+    pick = lambda c: F.when(moved, F.col("own_" + c)).otherwise(F.col(c)).alias(c)
+    return both.select(
+        *keys, "ord", "demoted", "value", "path", *[pick(c) for c in ("level", "matched", "typed", "prefix", "stripped")],
+    )
+
+
 def plan_paragraphs(
     paragraphs: DataFrame,
     resolved: DataFrame,
@@ -20,13 +42,14 @@ def plan_paragraphs(
     used: DataFrame,
     tables_used: DataFrame,
     list_map: DataFrame,
-    shift: int = 0,
+    shift: int | Column = 0,
 ) -> DataFrame:
     """One row per paragraph and pack: new style, number, prefix, list.
 
     ``rules`` has ``pack_id, style_id, outline, rule``; ``used`` ``pack_id,
     style_id``; ``tables_used`` ``pack_id, used_styles``; ``list_map``
-    ``pkg_id, num_id, new_num_id``.
+    ``pkg_id, num_id, new_num_id`` and ``pack_id`` where ids depend on it.
+    ``shift`` may be a column with one value per package and pack.
     """
     # Everything that depends on the pack is worked out once per case of a package: style,
     # direct level, own properties, and whether the body holds it. Paragraphs meet the
@@ -37,6 +60,7 @@ def plan_paragraphs(
         "_direct": F.coalesce("direct_outline", F.lit(-1)).cast("int"),
         "_ppr": F.coalesce("has_ppr", F.lit(False)),
         "_in_body": body,
+        "_by": F.lit(shift),
     }
     keyed = paragraphs.withColumns(case)
     cases = (
@@ -44,7 +68,7 @@ def plan_paragraphs(
         .distinct()
         .withColumn("part", F.when(F.col("_in_body"), F.lit(BODY_PART)).otherwise(F.lit("")))
     )
-    mapped = mapping.map_paragraphs(settled(cases), resolved, defaults, index, shift)
+    mapped = mapping.map_paragraphs(settled(cases), resolved, defaults, index, F.col("_by"))
     peers = (
         rules.filter("outline IS NOT NULL")
         .groupBy("pack_id", "outline")
@@ -57,24 +81,15 @@ def plan_paragraphs(
         rules.select("pack_id", F.col("style_id").alias("mapped"), "rule"), ["pack_id", "mapped"], "left"
     ).join(tables_used.select("pack_id", F.size("used_styles").alias("table_styles")), "pack_id", "left")
     found = ("target_outline", "desired", "mapped", "mapped_outline", "fault", "rule", "table_styles")
-    ruled = keyed.join(answers.select("pkg_id", "pack_id", *case, *found), ["pkg_id", "pack_id", *case]).drop(*case)
-    ruled = ruled.withColumn("shifted", F.lit(shift > 0) & body)
+    ruled = keyed.join(answers.select("pkg_id", "pack_id", *case, *found), ["pkg_id", "pack_id", *case])
+    ruled = ruled.withColumn("shifted", (F.col("_by") > 0) & body).drop(*case)
 
-    demoted = F.col("shifted") & F.col("target_outline").isNotNull()
+    keys = ["pack_id", "pkg_id", "part"]
     numbered = ruled.filter("rule IS NOT NULL").select(
-        "pkg_id",
-        "pack_id",
-        "part",
-        "ord",
-        "plain",
-        "text",
-        F.when(demoted, F.col("target_outline")).otherwise(F.col("rule.level")).cast("int").alias("level"),
-        F.col("rule.start").alias("start"),
+        *keys, "ord", "plain", "text", (F.col("shifted") & F.col("target_outline").isNotNull()).alias("demoted"), "target_outline",
+        F.col("rule.level").cast("int").alias("rule_level"), F.col("rule.start").alias("start"),
     )
-    keys = ("pack_id", "pkg_id", "part")
-    counted = counters.redundant_prefixes(
-        counters.heading_counters(counters.typed_numbers(numbered), keys)
-    ).select(*keys, "ord", "level", "value", "path", "matched", "typed", "prefix", "stripped")
+    counted = _numbers(numbered, keys)
 
     kept_table = F.col("in_table") & (F.coalesce("table_styles", F.lit(0)) == 0)
     pinned = F.coalesce(
@@ -92,23 +107,33 @@ def plan_paragraphs(
     ).otherwise(dropped(without_level, PARAGRAPH_KEEP))
     style = F.create_map(F.lit("pStyle"), F.create_map(F.lit("val"), F.col("mapped")))
     styled = F.when(F.col("mapped").isNotNull(), override(without_level, style)).otherwise(without_level)
-    plan = (
+    at = [c for c in ("pkg_id", "pack_id", "num_id") if c in list_map.columns]
+    # What is written: the kept properties, explicit body text, and the list of the rule or of the target.
+    kept = F.when(kept_table, styled).otherwise(keep_only(styled, PARAGRAPH_KEEP))
+    plain_level = F.create_map(F.lit("outlineLvl"), F.create_map(F.lit("val"), F.lit("9")))
+    kept = F.when(F.col("direct_outline") == 9, override(kept, plain_level)).otherwise(kept)
+    old_list = F.try_element_at("ppr", F.lit("numPr"))
+    listed = F.when(
+        F.col("rule").isNotNull(), F.create_map(F.lit("ilvl"), F.col("rule.level").cast("string"), F.lit("numId"), F.col("new_num_id"))
+    ).when(F.col("new_num_id").isNotNull() & old_list.isNotNull(), override(old_list, F.create_map(F.lit("numId"), F.col("new_num_id"))))
+    unlisted = F.map_filter("kept", lambda k, _: k != "numPr")
+    return (
         ruled.join(counted, [*keys, "ord"], "left")
-        .join(
-            list_map.select("pkg_id", "num_id", F.col("new_num_id")), ["pkg_id", "num_id"], "left"
-        )
+        .join(list_map.select(*at, F.col("new_num_id")), at, "left")
         .withColumn("properties_removed", removed)
-        .withColumn("ppr", F.when(kept_table, styled).otherwise(keep_only(styled, PARAGRAPH_KEEP)))
         .withColumn(
             "new_num_id",
             F.when(F.col("rule").isNotNull(), F.col("rule.num_id")).when(
                 F.col("target_outline").isNull(), F.col("new_num_id")
             ),
         )
+        .withColumn("kept", kept)
+        .withColumn("listed", listed)
+        .withColumn("ppr", F.when(F.col("listed").isNotNull(), override(unlisted, F.create_map(F.lit("numPr"), F.col("listed")))).otherwise(unlisted))
+        .drop("kept", "listed")
         .withColumn("restyled", F.coalesce(F.col("mapped") != F.col("style_id"), F.col("mapped").isNotNull()))
         .withColumn("kept_table", kept_table)
     )
-    return plan
 
 
 def plan_properties(
@@ -137,6 +162,41 @@ def plan_runs(runs: DataFrame, mapped: DataFrame) -> DataFrame:
     )
 
 
+def _counts(kind: str) -> dict[str, Column]:
+    """Counters of a transfer by the plan table whose rows they count: facts and numbers."""
+    c, table = F.col, F.col("kind") == "table"
+    return {
+        "paragraphs": {
+            "paragraphs_seen": F.lit(True),
+            "heading_numbers_applied": c("rule").isNotNull(),
+            "heading_prefixes_removed": c("matched"),
+            "styles_remapped": c("restyled"),
+            "heading_indents_applied": c("indent_applied"),
+            "table_paragraph_indents_cleared": c("indent_cleared"),
+            "table_paragraph_styles_hardened": c("hardened"),
+            "body_list_paragraphs_preserved": c("rule").isNull() & (c("new_num_id") != "0"),
+            "style_list_paragraphs_materialized": c("list_given"),
+            "heading_levels_demoted": c("shifted") & (c("target_outline") < 8) & (c("mapped_outline") == c("desired")),
+            "heading_level9_unchanged": c("shifted") & (c("target_outline") >= 8) & c("mapped").isNotNull(),
+            "paragraph_properties_removed": c("properties_removed"),
+        },
+        "runs": {"runs_seen": F.lit(True), "run_properties_removed": c("removed"), "styles_remapped": c("restyled")},
+        "tables": {
+            "tables_seen": table,
+            "table_formats_preserved": table & c("preserved"),
+            "table_properties_removed": F.when(~c("preserved"), c("removed")),
+            "styles_remapped": table & c("restyled"),
+        },
+    }[kind]
+
+
+def _counted(df: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """One row per package and pack with the sums of some counters; facts count 1."""
+    kinds = dict(df.select(*[e.alias(n) for n, e in counts.items()]).dtypes)
+    number = {n: F.when(e, 1) if kinds[n] == "boolean" else e for n, e in counts.items()}
+    return df.groupBy("pkg_id", "pack_id").agg(*[F.sum(e).cast("bigint").alias(n) for n, e in number.items()])
+
+
 def statistics(
     pairs: DataFrame,
     parts: DataFrame,
@@ -145,54 +205,46 @@ def statistics(
     tables: DataFrame,
     sections: DataFrame,
     settings: DataFrame,
+    imported: DataFrame | None = None,
+    starts: DataFrame | None = None,
 ) -> DataFrame:
     """Transfer statistics per target and pack from the plan rows.
 
     ``pairs`` has every requested ``pkg_id, pack_id``, so a target without
     paragraphs has its row too; ``parts`` has the content parts (``pkg_id,
     part``); ``sections`` the rows of ``mapping.section_layouts``, none where the
-    pack has no layouts or the target keeps its own.
+    pack has no layouts or the target keeps its own; ``imported`` the rows of
+    ``lists.fresh_lists`` and ``starts`` ``pkg_id, pack_id, seed``. Every table
+    is added up by itself first, and the sums meet in one more aggregation.
     """
     keys = ["pkg_id", "pack_id"]
-    cleaned = parts.groupBy("pkg_id").agg(F.count_distinct("part").alias("content_parts_cleaned"))
-    p = paragraphs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("paragraphs_seen"),
-        count_if(F.col("rule").isNotNull()).alias("heading_numbers_applied"),
-        count_if(F.coalesce("matched", F.lit(False))).alias("heading_prefixes_removed"),
-        count_if(F.col("restyled")).alias("paragraphs_restyled"),
-        count_if(F.col("indent_applied")).alias("heading_indents_applied"),
-        count_if(F.col("indent_cleared")).alias("table_paragraph_indents_cleared"),
-        count_if(F.col("hardened")).alias("table_paragraph_styles_hardened"),
-        F.sum("properties_removed").alias("paragraph_properties_removed"),
-        count_if(
-            F.col("rule").isNull() & F.col("new_num_id").isNotNull() & (F.col("new_num_id") != "0")
-        ).alias("body_list_paragraphs_preserved"),
-        count_if((F.col("target_outline") < 8) & (F.col("mapped_outline") == F.col("desired")) & (F.col("desired") != F.col("target_outline"))).alias("heading_levels_demoted"),
-        count_if(F.col("shifted") & (F.col("target_outline") >= 8) & F.col("mapped").isNotNull()).alias("heading_level9_unchanged"),
-    )
-    r = runs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("runs_seen"),
-        F.sum("removed").alias("run_properties_removed"),
-        count_if(F.col("restyled")).alias("runs_restyled"),
-    )
-    t = tables.groupBy(*keys).agg(
-        count_if(F.col("kind") == "table").alias("tables_seen"),
-        count_if((F.col("kind") == "table") & F.col("preserved")).alias("table_formats_preserved"),
-        F.sum(F.when(F.col("preserved"), 0).otherwise(F.col("removed"))).alias("table_properties_removed"),
-        count_if((F.col("kind") == "table") & F.col("restyled")).alias("tables_restyled"),
-    )
-    s = sections.groupBy(*keys).agg(F.count_distinct("part", "idx").alias("sections_updated"))
-    g = settings.filter(F.col("origin") == "source").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("settings_items_imported")
-    )
-    whole = pairs.select(*keys).distinct().join(cleaned, "pkg_id", "left")
-    for other in (p, r, t, s, g):
-        whole = whole.join(other, keys, "left")
-    counts = [c for c in whole.columns if c not in keys]
-    filled = whole.fillna(0, counts)
-    return filled.withColumn(
-        "styles_remapped", F.col("paragraphs_restyled") + F.col("runs_restyled") + F.col("tables_restyled")
-    ).drop("paragraphs_restyled", "runs_restyled", "tables_restyled")
+    wanted = pairs.select(*keys).distinct()
+    cleaned = wanted.join(parts.groupBy("pkg_id").agg(F.count_distinct("part").alias("content_parts_cleaned")), "pkg_id", "left")
+    known = {c: e for c, e in _counts("paragraphs").items() if c != "style_list_paragraphs_materialized" or "list_given" in paragraphs.columns}
+    sums = [
+        cleaned,
+        _counted(paragraphs, known),
+        _counted(runs, _counts("runs")),
+        _counted(tables, _counts("tables")),
+        sections.groupBy(*keys).agg(F.count_distinct("part", "idx").alias("sections_updated")),
+        _counted(settings, {"settings_items_imported": F.col("origin") == "source"}),
+    ]
+    if imported is not None:
+        real = imported.filter("new_num_id <> '0'")
+        definitions = real.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("target_numbering_definitions_imported"),
+            F.count_distinct("new_abstract_id").alias("target_numbering_abstracts_imported"),
+        )
+        sums.append(definitions)
+    if starts is not None:
+        sums.append(starts.select(*keys, F.col("seed").alias("heading_numbering_start")))
+    whole = sums[0]
+    for other in sums[1:]:
+        whole = whole.unionByName(other, allowMissingColumns=True)
+    names = [c for c in whole.columns if c not in keys]
+    empty = lambda c: F.sum(c) if c == "heading_numbering_start" else F.coalesce(F.sum(c), F.lit(0))
+    added = whole.groupBy(*keys).agg(*[empty(c).cast("bigint").alias(c) for c in names])
+    return added.join(wanted, keys, "left_semi")
 
 
 def list_plan(paragraphs: DataFrame, concrete: DataFrame, source_lists: DataFrame) -> DataFrame:
@@ -205,3 +257,136 @@ def list_plan(paragraphs: DataFrame, concrete: DataFrame, source_lists: DataFram
     return lists.fresh_lists(wanted, source_lists)
 
 
+@dataclass(frozen=True)
+class Targets:
+    """Content tables of the packages to be rewritten, as the readers give them.
+
+    ``boxes`` are nodes of kind table, row and cell; ``levels`` the levels of
+    abstract lists; ``settings`` has ``pkg_id, tag, value``.
+    """
+
+    paragraphs: DataFrame
+    runs: DataFrame
+    boxes: DataFrame
+    sections: DataFrame
+    settings: DataFrame
+    parts: DataFrame
+    styles: DataFrame
+    nums: DataFrame
+    abstracts: DataFrame
+    levels: DataFrame
+
+
+@dataclass(frozen=True)
+class Applied:
+    """What a transfer writes, by ``pkg_id``, ``pack_id`` and ``demote``; rejected pairs are in ``rejects`` alone."""
+
+    rejects: DataFrame
+    paragraphs: DataFrame
+    runs: DataFrame
+    boxes: DataFrame
+    sections: DataFrame
+    settings: DataFrame
+    lists: DataFrame
+    abstracts: DataFrame
+    levels: DataFrame
+    starts: DataFrame
+    numbered_styles: DataFrame
+    table_styles: DataFrame
+    statistics: DataFrame
+
+
+def _body_levels(rows: DataFrame) -> DataFrame:
+    """Distinct heading levels of every package's body."""
+    body = rows.filter((F.col("part") == BODY_PART) & F.col("level").isNotNull())
+    return body.groupBy("pkg_id").agg(F.collect_set(F.col("level").cast("int")).alias("body_levels"))
+
+
+def _list_rows(targets: Targets, rows: DataFrame, pairs: DataFrame, packs: Sources) -> DataFrame:
+    """New ids of the lists that body paragraphs refer to, per pair.
+
+    A list counts only if what it finally stands for has levels.
+    """
+    usable = targets.levels.select("pkg_id", "abstract_id").distinct()
+    concrete = numbering.concrete_lists(targets.nums, targets.abstracts, targets.styles).join(usable, ["pkg_id", "abstract_id"], "left_semi")
+    wanted = lists.referenced_lists(rows).join(concrete, ["pkg_id", "num_id"], "left")
+    return lists.fresh_lists(wanted.join(pairs.select("pkg_id", "pack_id"), "pkg_id"), packs.used_ids, ("pkg_id", "pack_id"))
+
+
+def _boxes(targets: Targets, resolved: DataFrame, pairs: DataFrame, packs: Sources) -> DataFrame:
+    """Tables, rows and cells with what is kept and removed, and the tables' new styles."""
+    keys = ["pkg_id", "pack_id"]
+    stripped = mapping.strip_properties(targets.boxes).join(pairs.select(*keys), "pkg_id").withColumn("_k", F.coalesce("style_id", F.lit("")))
+    refs = stripped.filter("kind = 'table'").select(*keys, F.col("_k").alias("style_id")).distinct()
+    styles = mapping.map_table_styles(refs, resolved, packs.index, packs.tables).withColumnRenamed("style_id", "_k").drop("preserved")
+    none = packs.tables.select("pack_id", (F.coalesce(F.size("used_styles"), F.lit(0)) == 0).alias("preserved"))
+    return (
+        stripped.join(none, "pack_id", "left")
+        .fillna(True, ["preserved"])
+        .join(styles, [*keys, "_k"], "left")
+        .withColumn("mapped", F.when((F.col("kind") == "table") & ~F.col("preserved"), F.col("mapped")).otherwise(F.col("style_id")))
+        .withColumn("restyled", ~F.col("mapped").eqNullSafe(F.col("style_id")))
+        .drop("_k")
+    )
+
+
+def apply(pairs: DataFrame, targets: Targets, packs: Packs) -> Applied:
+    """The whole transfer of packs to targets.
+
+    ``pairs`` has ``pkg_id, pack_id, demote, keep_layout``. In the order of a transfer: lists that body paragraphs inherit
+    become their own; packs get the deeper headings that a demotion asks for, with their numbering; paragraphs are mapped,
+    counted and cleaned; referenced lists are brought in under fresh ids and without links to styles; a typed first number
+    sets the start of the pack's heading lists; tables, runs, sections and settings follow. A pair whose headings the pack
+    cannot express is rejected as a whole.
+    """
+    keys = ["pkg_id", "pack_id"]
+    resolved, defaults = settled(catalog.resolve(targets.styles, False)), settled(catalog.default_styles(targets.styles))
+    read = lists.effective_reference(targets.paragraphs, resolved, defaults)
+    direct = F.col("direct_outline")
+    rows = read.withColumn("level", F.when(direct.isNotNull(), F.when(direct <= 8, direct)).otherwise(F.col("outline")))
+    rows = settled(lists.materialized(rows).drop("outline", "effective", "eff_num_id", "eff_ilvl", "inherited"))
+
+    asked, unmet, found = sources_of(pairs, _body_levels(rows), packs)
+    new_lists = settled(_list_rows(targets, rows, asked, found))
+    # One shift per pair; the plan's rows keep the pack as the pair asked for it.
+    planned = plan_paragraphs(
+        rows.drop("level").join(asked.select(*keys, F.col("demote").cast("int").alias("shift")), "pkg_id"),
+        resolved, defaults, found.index, found.rules, found.used, found.tables, new_lists.select(*keys, "num_id", "new_num_id"), F.col("shift"),
+    )
+    planned = settled(plan_properties(planned, found.index, found.profiles, found.two_char, found.wrappers))
+    faults = planned.filter("fault IS NOT NULL").select(*keys, F.col("fault").alias("rule"), F.col("desired").alias("level")).distinct()
+    good = settled(asked.join(faults, keys, "left_anti"))
+    only = lambda df: df.join(good.select(*keys), keys, "left_semi")
+
+    paragraphs = only(planned)
+    run_refs = targets.runs.filter("style_id IS NOT NULL").select("pkg_id", "style_id").distinct().join(good.select(*keys), "pkg_id")
+    runs = plan_runs(targets.runs.join(good.select(*keys), "pkg_id"), mapping.map_run_styles(run_refs, resolved, found.index))
+    boxes = _boxes(targets, resolved, good, found)
+    sections = mapping.section_layouts(targets.sections.join(good.filter("NOT keep_layout").select(*keys), "pkg_id"), found.layouts)
+    keep = found.tables.select("pack_id", (F.coalesce(F.size("used_styles"), F.lit(0)) == 0).alias("keep"))
+    settings = mapping.merge_settings(
+        targets.settings.join(good.select(*keys), "pkg_id").join(keep, "pack_id"), found.settings.join(keep, "pack_id"), F.col("keep")
+    )
+    imported = only(new_lists)
+    abstracts, levels = lists.isolate(targets.abstracts, targets.levels, imported)
+    heads = paragraphs.filter("rule IS NOT NULL")
+    first = counters.seeded_starts(heads, [*keys, "demoted"])
+    seeds = first.groupBy(*keys).agg(F.min_by("seed", "ord").alias("seed")).filter("seed > 0")
+    ruled = found.rules.select("pack_id", F.col("rule.num_id").alias("num_id")).distinct()
+    # Packs without table styles keep the target's.
+    source_tables = found.styles.filter("style_type = 'table'")
+    owned = good.select(*keys).join(source_tables, "pack_id").withColumn("origin", F.lit("source"))
+    brought = targets.styles.filter("style_type = 'table' AND ord >= 0").join(good.select(*keys), "pkg_id").join(keep.filter("keep"), "pack_id")
+    own_tables = brought.select("pkg_id").distinct()
+    table_styles = owned.join(keep, "pack_id").join(own_tables.withColumn("has", F.lit(True)), "pkg_id", "left").filter("NOT keep OR has IS NULL")
+    columns = [*keys, "style_id", "name", "origin"]
+    table_styles = table_styles.select(*columns).unionByName(brought.withColumn("origin", F.lit("target")).select(*columns))
+
+    counted = statistics(good, targets.parts, paragraphs, runs, boxes, sections, settings, imported, seeds)
+    rejects = unmet.unionByName(faults.join(asked, keys, "left_semi"))
+    out = {
+        "rejects": rejects, "paragraphs": paragraphs, "runs": runs, "boxes": boxes, "sections": sections, "settings": settings,
+        "lists": imported, "abstracts": abstracts, "levels": levels, "starts": seeds.join(ruled, "pack_id").select(*keys, "num_id", "seed"),
+        "table_styles": table_styles, "statistics": counted,
+    }
+    return Applied(numbered_styles=found.named(found.numbered_styles), **{n: found.named(df) for n, df in out.items()})

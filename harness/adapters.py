@@ -199,6 +199,26 @@ def pack_profiles(spark: SparkSession) -> DataFrame:
     return flat.select("pack_id", "style_id", as_map("i").alias("ind"), as_map("s").alias("spacing"), "jc")
 
 
+def pack_lists(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(concrete lists, effective levels) of the packs."""
+    from galley.operators import numbering
+
+    place = lambda rows: [(*r, i) for i, r in enumerate(rows)]
+    nums = literal(spark, place(T.PACK_NUMS), "pkg_id string, num_id string, abstract_id string, ord int")
+    abstracts = literal(spark, place(T.PACK_ABSTRACTS), "pkg_id string, abstract_id string, ord int").withColumn("num_style_link", F.lit(None).cast("string"))
+    levels = literal(
+        spark, place(T.PACK_LEVELS),
+        "pkg_id string, abstract_id string, ilvl int, start int, num_fmt string, lvl_text string, lft int, hanging int, tab_pos int, ord int",
+    )
+    ind = F.map_from_arrays(F.array(F.lit("left"), F.lit("hanging")), F.array(F.col("lft").cast("string"), F.col("hanging").cast("string")))
+    none = lambda t: F.lit(None).cast(t)
+    levels = levels.withColumns({"ind": ind, "fonts": none("map<string,string>"), "pstyle": none("string"), "lvl_restart": none("int")})
+    over = literal(spark, T.OVERRIDES[:1], "num_id string, ilvl int, start_override int, has_lvl boolean, start int, num_fmt string, lvl_text string, lvl_restart int")
+    over = over.withColumns({"pkg_id": F.lit(""), "ord": F.lit(0)}).filter("pkg_id <> ''")
+    concrete = numbering.concrete_lists(nums, abstracts, pack_styles(spark))
+    return nums.drop("ord"), numbering.levels(concrete, levels, over)
+
+
 def pack_index(spark: SparkSession) -> DataFrame:
     from galley.operators import catalog
 
@@ -479,6 +499,7 @@ CTES: dict[str, tuple[list[str], str]] = {
             "pack_id string, style_id string, num_id string, level int, level_text string, start int, outline int",
         ),
     ),
+    "pnum": ([], fixed("pnum", T.PACK_NUMS, "pack_id string, num_id string, abstract_id string")),
     "ptab": ([], fixed("ptab", T.PACK_TABLES, "pack_id string, used_styles strings, preferred string")),
     "play": ([], fixed("play", T.PACK_LAYOUTS, "pack_id string, idx int, width int, height int")),
     "pprof": ([], fixed("pprof", T.PACK_PROFILES, "pack_id string, style_id string, i string, s string, jc string")),

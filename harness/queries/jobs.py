@@ -11,13 +11,14 @@ from galley.operators import catalog, library, mapping, quality
 from galley.operators.graph import settled, shared_folder
 from galley.plans.corpus import corpus_of
 from galley.plans import apply as apply_plan, fonts as font_plan, packs as pack_plan, preflight as preflight_plan, profile as profile_plan
+from galley.plans.sources import Packs
 from galley.sources import ooxml, packages, requests as edit_requests, sinks
-from galley.registries import PACK_SCHEMA_VERSION
+from galley.registries import PACK_SCHEMA_VERSION, SETTINGS_TAGS
 from galley.schemas import MANIFEST
 from galley.sources.packs import declared_parts, parse_manifests
 from galley.streaming import ingest
 from harness import adapters as A, documents as D, templates as T
-from harness.queries import joins, libraries as L
+from harness.queries import joins, libraries as L, windows
 from harness.queries.aggregates import HEADED_NEEDS, LEVELED, STYLED, STYLED_NEEDS, faces, leveled
 from harness.registry import query
 
@@ -514,17 +515,10 @@ def k2(spark, d):
     return spark.read.parquet(f"{folder}/plan_paragraphs").drop("run")
 
 
-def statistics(spark, d, properties: bool = True):
+def statistics(spark, d):
     pairs = A.requests(spark, d)
     paras = paragraph_plan(spark, d)
-    if properties:
-        sheet = A.pack_styles(spark)
-        resolved = settled(catalog.resolve(sheet))
-        two_char = catalog.indents_two_chars(resolved).select(F.col("pkg_id").alias("pack_id"), "style_id")
-        wrappers = catalog.wrapper_styles(sheet, resolved).select(F.col("pkg_id").alias("pack_id"), "base_id", "style_id")
-        paras = apply_plan.plan_properties(settled(paras), A.pack_index(spark), A.pack_profiles(spark), two_char, wrappers)
-    else:
-        paras = paras.withColumns({c: F.lit(False) for c in ("indent_applied", "indent_cleared", "hardened")})
+    paras = paras.withColumns({c: F.lit(False) for c in ("indent_applied", "indent_cleared", "hardened")})
     runs = apply_plan.plan_runs(A.runs(spark, d).join(pairs, "pkg_id"), joins.run_map(spark, d))
     stripped = mapping.strip_properties(A.nodes(spark, d).filter("kind IN ('table', 'cell')")).join(pairs, "pkg_id")
     tables = (
@@ -554,15 +548,212 @@ def statistics(spark, d, properties: bool = True):
         FROM p JOIN r USING (pkg_id, pack_id) LEFT JOIN t USING (pkg_id, pack_id) LEFT JOIN s USING (pkg_id, pack_id) LEFT JOIN g ON g.pack_id = p.pack_id""",
 )
 def a16(spark, d):
-    return statistics(spark, d, properties=False).select(
+    return statistics(spark, d).select(
         "pkg_id", "pack_id", "paragraphs_seen", "heading_numbers_applied", "runs_seen", "run_properties_removed", "tables_seen", "table_formats_preserved",
         "sections_updated", "settings_items_imported", "heading_level9_unchanged",
     )
 
 
-@query("g4_apply_statistics")
+# --- the whole transfer ---------------------------------------------------------
+#
+# Packs as sources of a transfer, for the oracle: a request with a demotion may need headings that its pack gets for it.
+
+BODY_LEVELS = f"SELECT pkg_id, list(DISTINCT level) AS levels FROM ({LEVELED}) WHERE part = 'word/document.xml' AND level IS NOT NULL GROUP BY ALL"
+HAVE = "SELECT pack_id, list(level) AS have FROM pauth GROUP BY ALL"
+ASKED = f"""SELECT *, CASE WHEN list_has_all(have, [0, 1, 2]) AND reach > 0 THEN list_filter(missing, lambda x: x < 3) ELSE missing END AS unresolved,
+      base || CASE WHEN demote THEN '#d' ELSE '#' END || reach AS pack_id FROM (
+    SELECT *, CASE WHEN list_max(missing) >= 3 THEN list_max(missing) ELSE 0 END AS reach FROM (
+    SELECT *, CASE WHEN demote THEN list_filter(list_distinct(list_transform(levels, lambda x: least(8, x + 1))), lambda x: NOT list_contains(have, x)) ELSE [] END AS missing FROM (
+    SELECT r.pkg_id, r.pack_id AS base, r.pkg_id % 2 = 0 AS demote, coalesce(b.levels, []) AS levels, h.have
+    FROM req r LEFT JOIN ({BODY_LEVELS}) b ON b.pkg_id = r.pkg_id LEFT JOIN ({HAVE}) h ON h.pack_id = r.pack_id)))"""
+SOURCE_CTES = f"""asked AS (SELECT DISTINCT pkg_id, base, demote, reach, have, unresolved, pack_id FROM ({ASKED})),
+    vreq AS (SELECT pkg_id, pack_id, base, CASE WHEN demote THEN 1 ELSE 0 END AS shift FROM asked WHERE len(unresolved) = 0),
+    src AS (SELECT DISTINCT pack_id, base, reach, have FROM asked),
+    made AS (SELECT m.pack_id, m.base, m.level, coalesce(h.style_id, 'Heading' || (m.level + 1)) AS style_id
+      FROM (SELECT pack_id, base, unnest(list_filter(range(3, reach + 1), lambda x: NOT list_contains(have, x))) AS level FROM src WHERE list_has_all(have, [0, 1, 2])) m
+      LEFT JOIN phead h ON h.pack_id = m.base AND h.level = m.level),
+    vauth AS (SELECT s.pack_id, a.level, a.style_id FROM src s JOIN pauth a ON a.pack_id = s.base UNION ALL SELECT pack_id, level, style_id FROM made),
+    vsty AS (SELECT s.pack_id, p.* EXCLUDE (pack_id) FROM src s JOIN psty p ON p.pack_id = s.base
+      UNION ALL SELECT pack_id, 1000 + level, style_id, 'paragraph', 'heading ' || (level + 1), CAST([] AS VARCHAR[]), level, false, false FROM made),
+    vname AS (SELECT pack_id, style_type, k, arg_min(style_id, ord * 100 + pos) AS style_id FROM (SELECT pack_id, style_type, ord, style_id,
+        unnest(list_transform(list_concat([style_id, name], aliases), lambda x: {A.key('x')})) AS k,
+        generate_subscripts(list_concat([style_id, name], aliases), 1) AS pos FROM vsty) WHERE k <> '' GROUP BY ALL),
+    vhead AS (SELECT s.pack_id, h.level, h.style_id FROM src s JOIN phead h ON h.pack_id = s.base),
+    vdflt AS (SELECT s.pack_id, f.style_type, f.style_id FROM src s JOIN pdflt f ON f.pack_id = s.base),
+    vtab AS (SELECT s.pack_id, t.used_styles, t.preferred FROM src s JOIN ptab t ON t.pack_id = s.base),
+    top AS (SELECT s.pack_id, coalesce(max(CAST(n.num_id AS BIGINT)), 0) AS top FROM src s LEFT JOIN pnum n ON n.pack_id = s.base GROUP BY ALL),
+    own AS (SELECT s.pack_id, r.style_id, r.num_id, r.level, r.start, r.outline, a.level AS held FROM src s JOIN prule r ON r.pack_id = s.base
+      LEFT JOIN pauth a ON a.pack_id = s.base AND a.style_id = r.style_id),
+    merged AS (SELECT pack_id FROM own WHERE held < 3 AND level = held GROUP BY ALL HAVING count(DISTINCT held) = 3 INTERSECT SELECT pack_id FROM made),
+    vrule AS (SELECT o.pack_id, o.style_id, CASE WHEN o.held < 3 AND m.pack_id IS NOT NULL THEN CAST(t.top + 1 AS VARCHAR) ELSE o.num_id END AS num_id, o.level, o.start, o.outline
+      FROM own o JOIN top t ON t.pack_id = o.pack_id LEFT JOIN merged m ON m.pack_id = o.pack_id
+      UNION ALL SELECT d.pack_id, d.style_id, CAST(t.top + 1 AS VARCHAR), d.level, 1, d.level FROM made d JOIN merged m ON m.pack_id = d.pack_id JOIN top t ON t.pack_id = d.pack_id),
+    vprof AS (SELECT s.pack_id, p.style_id, p.i FROM src s JOIN pprof p ON p.pack_id = s.base
+      UNION ALL SELECT d.pack_id, d.style_id, p.i FROM (SELECT d.pack_id, d.base, d.style_id, arg_max(a.style_id, a.level) AS upper FROM made d JOIN pauth a ON a.pack_id = d.base AND a.level < d.level GROUP BY ALL) d
+        JOIN pprof p ON p.pack_id = d.base AND p.style_id = d.upper WHERE p.i IS NOT NULL)"""
+
+# Paragraphs with inherited lists written out.
+LISTED = f"""SELECT *, {A.TYPED_TEXT} AS ttext, CASE WHEN given THEN eff_num_id WHEN level IS NULL AND eff_num_id IS NOT NULL THEN eff_num_id ELSE num_id END AS num2,
+      given OR num_id IS NOT NULL OR ilvl_raw IS NOT NULL AS has_list, given AND inherited AND eff_num_id <> '0' AS counted FROM (
+    SELECT *, level IS NULL AND eff_num_id IS NOT NULL AND (eff_num_id IS DISTINCT FROM num_id OR eff_ilvl IS DISTINCT FROM CAST(ilvl_raw AS INT)) AS given FROM ({joins.EFF_NUM}))"""
+LIST_CTES = f"""listed AS ({LISTED}),
+    want AS (SELECT DISTINCT l.pkg_id, l.num2, c.abstract_id FROM listed l JOIN conc c ON c.lang = l.lang AND c.num_id = l.num2
+      WHERE l.level IS NULL AND l.num2 <> '0' AND c.abstract_id IN (SELECT abstract_id FROM lvls)),
+    given AS (SELECT r.pkg_id, r.pack_id, w.num2, w.abstract_id, CAST(t.top + CASE WHEN m.pack_id IS NULL THEN 0 ELSE 1 END
+        + row_number() OVER (PARTITION BY r.pkg_id, r.pack_id ORDER BY CAST(w.num2 AS BIGINT)) AS VARCHAR) AS nn
+      FROM want w JOIN vreq r ON r.pkg_id = w.pkg_id JOIN top t ON t.pack_id = r.pack_id LEFT JOIN merged m ON m.pack_id = r.pack_id
+      UNION ALL SELECT DISTINCT l.pkg_id, r.pack_id, '0', NULL, '0' FROM listed l JOIN vreq r ON r.pkg_id = l.pkg_id WHERE l.level IS NULL AND l.num2 = '0')"""
+MOVED = f"""SELECT x.*, CASE WHEN mapped IS NOT NULL AND desired IS NOT NULL AND mapped NOT IN (SELECT style_id FROM vrule WHERE pack_id = x.pack_id)
+      AND mapped NOT IN (SELECT style_id FROM vauth WHERE pack_id = x.pack_id)
+      THEN coalesce((SELECT min(style_id) FROM vrule WHERE pack_id = x.pack_id AND outline = x.desired), mapped) ELSE mapped END AS peered
+    FROM ({joins.paragraph_sql('shift', 'v', 'vreq')}) x"""
+PLAN_CTES = f"""mapped AS MATERIALIZED ({MOVED}),
+    bad AS (SELECT DISTINCT pkg_id, pack_id FROM mapped WHERE fault IS NOT NULL),
+    plan AS MATERIALIZED (SELECT x.*, l.ttext,
+        l.num2, l.has_list, l.counted, g.nn, g.abstract_id, s.outline AS new_outline, s.two AND s.style_type = 'paragraph' AND s.outline IS NULL AS own_two,
+        r.style_id IS NOT NULL AS numbered, r.num_id AS rule_num, r.level AS rule_level, CAST(r.start AS BIGINT) AS st,
+        len(t.used_styles) = 0 AS bare, x.in_table AND len(t.used_styles) = 0 AS kept, x.step > 0 AND x.tout IS NOT NULL AS demoted, p.i AS ind
+      FROM mapped x JOIN listed l ON l.pkg_id = x.pkg_id AND l.ord = x.ord LEFT JOIN vsty s ON s.pack_id = x.pack_id AND s.style_id = x.peered AND s.style_type = 'paragraph'
+      LEFT JOIN given g ON g.pkg_id = x.pkg_id AND g.pack_id = x.pack_id AND g.num2 = l.num2
+      LEFT JOIN vrule r ON r.pack_id = x.pack_id AND r.style_id = x.peered JOIN vtab t ON t.pack_id = x.pack_id
+      LEFT JOIN vprof p ON p.pack_id = x.pack_id AND p.style_id = x.peered AND s.outline IS NOT NULL
+      WHERE (x.pkg_id, x.pack_id) NOT IN (SELECT (pkg_id, pack_id) FROM bad)),
+    own_count AS ({windows.counter_sql(windows.fitted_sql("SELECT pkg_id, pack_id, part, ord, plain, ttext, tout AS l, st FROM plan WHERE numbered AND demoted"), "pkg_id, pack_id, part")}),
+    new_count AS ({windows.counter_sql("SELECT * EXCLUDE (typed, nums), CASE WHEN NOT demoted THEN typed END AS typed, CASE WHEN NOT demoted THEN nums END AS nums FROM ("
+      + windows.fitted_sql("SELECT pkg_id, pack_id, part, ord, plain, ttext, rule_level AS l, st, demoted FROM plan WHERE numbered") + ")", "pkg_id, pack_id, part")}),
+    typed AS (SELECT pkg_id, pack_id, part, ord, l, typed, coalesce(ok AND nums = path, false) AS matched, true AS demoted FROM own_count
+      UNION ALL SELECT pkg_id, pack_id, part, ord, l, typed, coalesce(ok AND nums = path, false), false FROM new_count),
+    seeds AS (SELECT pkg_id, pack_id, arg_min(typed, ord) AS seed FROM (SELECT * FROM typed WHERE l = 0 AND part = 'word/document.xml'
+        QUALIFY row_number() OVER (PARTITION BY pkg_id, pack_id, demoted ORDER BY ord) = 1) WHERE matched AND typed > 0 GROUP BY ALL)"""
+APPLY_NEEDS = joins.PAR_NEEDS + ["run", "tbl", "cell", "sect", "pset", "ptab", "prule", "pprof", "pnum", "conc", "lvls", "chain", "numpr"]
+# Cells: the indent that is left, whether a list is left, a direct level that is left, and the style's two characters.
+CELLS = """SELECT *, in_table AND (coalesce(chars, '') = '200' OR (two AND coalesce(chars, '0') = '0' AND NOT listed_now AND NOT level_now)) AS cleared FROM (
+    SELECT p.*, CASE WHEN ind IS NOT NULL THEN NULL WHEN kept THEN ind_chars END AS chars, numbered OR (has_list AND tout IS NULL AND nn IS NOT NULL) AS listed_now,
+      kept AND coalesce(direct_outline BETWEEN 0 AND 8, false) AND NOT pinned AS level_now,
+      coalesce(CASE WHEN peered IS NOT NULL THEN own_two ELSE (SELECT bool_or(s.two) FROM vdflt f JOIN vsty s ON s.pack_id = f.pack_id AND s.style_id = f.style_id AND s.style_type = 'paragraph'
+        WHERE f.pack_id = p.pack_id AND f.style_type = 'paragraph' AND s.outline IS NULL) END, false) AS two
+    FROM (SELECT *, coalesce(peered IS NOT NULL AND tout IS NOT NULL AND new_outline = desired AND direct_outline IS NOT NULL, false) AS pinned FROM plan) p)"""
+KEPT_FLAG = lambda flags, names: " + ".join(f"CASE WHEN {flags[n]} THEN 1 ELSE 0 END" for n in names)
+APPLY_RUNS = joins.mapped_sql("SELECT DISTINCT x.pkg_id, r.pack_id, x.style_id, 'character' AS style_type FROM run x JOIN vreq r ON r.pkg_id = x.pkg_id WHERE x.style_id IS NOT NULL", v="v")
+APPLY_TABLES = joins.mapped_sql("SELECT DISTINCT x.pkg_id, r.pack_id, x.style_id, 'table' AS style_type FROM tbl x JOIN vreq r ON r.pkg_id = x.pkg_id", v="v")
+
+
+@query(
+    "g4_apply_statistics", APPLY_NEEDS,
+    f"""WITH {SOURCE_CTES}, {LIST_CTES}, {PLAN_CTES}, cells AS ({CELLS}),
+      good AS (SELECT * FROM vreq WHERE (pkg_id, pack_id) NOT IN (SELECT (pkg_id, pack_id) FROM bad)),
+      p AS (SELECT c.pkg_id, c.pack_id, count(*) AS paragraphs_seen, count(*) FILTER (numbered) AS heading_numbers_applied, count(*) FILTER (y.matched) AS heading_prefixes_removed,
+          count(*) FILTER (peered IS NOT NULL AND peered IS DISTINCT FROM style_id) AS moved, count(*) FILTER (ind IS NOT NULL) AS heading_indents_applied,
+          count(*) FILTER (cleared) AS table_paragraph_indents_cleared, count(*) FILTER (cleared AND two AND NOT listed_now AND NOT level_now) AS table_paragraph_styles_hardened,
+          count(*) FILTER (NOT numbered AND tout IS NULL AND nn <> '0') AS body_list_paragraphs_preserved, count(*) FILTER (counted) AS style_list_paragraphs_materialized,
+          count(*) FILTER (step > 0 AND tout < 8 AND new_outline = desired) AS heading_levels_demoted, count(*) FILTER (step > 0 AND tout >= 8 AND peered IS NOT NULL) AS heading_level9_unchanged,
+          sum(CASE WHEN kept THEN CAST(pinned AS INT) ELSE CAST(has_list AS INT) + CAST(sp_before IS NOT NULL AS INT) + CAST(ind_left IS NOT NULL OR ind_chars IS NOT NULL AS INT)
+            + CAST(jc IS NOT NULL AS INT) + CAST(direct_outline IS NOT NULL AS INT) END) AS paragraph_properties_removed
+        FROM cells c LEFT JOIN (SELECT pkg_id, pack_id, part, ord, bool_or(matched) AS matched FROM typed GROUP BY ALL) y ON y.pkg_id = c.pkg_id AND y.pack_id = c.pack_id AND y.part = c.part AND y.ord = c.ord GROUP BY ALL),
+      r AS (SELECT q.pkg_id, q.pack_id, count(*) AS runs_seen, sum({KEPT_FLAG(A.RUN_FLAGS, ("b", "u"))}) AS run_properties_removed,
+          count(*) FILTER (x.style_id IS NOT NULL AND CASE WHEN m.mapped IS NOT NULL AND m.mapped IS DISTINCT FROM f.style_id THEN m.mapped WHEN m.mapped IS NOT NULL AND s.style_id IS NOT NULL THEN m.style_id END
+            IS DISTINCT FROM x.style_id) AS moved
+        FROM run x JOIN good q ON q.pkg_id = x.pkg_id LEFT JOIN ({APPLY_RUNS}) m ON m.pkg_id = x.pkg_id AND m.pack_id = q.pack_id AND m.style_id = x.style_id
+        LEFT JOIN vdflt f ON f.pack_id = q.pack_id AND f.style_type = 'character' LEFT JOIN (SELECT DISTINCT pack_id, style_id FROM vsty) s ON s.pack_id = q.pack_id AND s.style_id = x.style_id GROUP BY ALL),
+      t AS (SELECT q.pkg_id, q.pack_id, count(*) AS tables_seen, count(*) FILTER (len(u.used_styles) = 0) AS table_formats_preserved,
+          sum(CASE WHEN len(u.used_styles) > 0 THEN {KEPT_FLAG(A.TABLE_FLAGS, ("tblBorders", "shd"))} ELSE 0 END) AS props,
+          count(*) FILTER (len(u.used_styles) > 0 AND CASE WHEN list_contains(u.used_styles, m.mapped) THEN m.mapped ELSE coalesce(u.preferred, f.style_id, m.mapped) END IS DISTINCT FROM x.style_id) AS moved
+        FROM tbl x JOIN good q ON q.pkg_id = x.pkg_id JOIN vtab u ON u.pack_id = q.pack_id
+        LEFT JOIN ({APPLY_TABLES}) m ON m.pkg_id = x.pkg_id AND m.pack_id = q.pack_id AND m.style_id IS NOT DISTINCT FROM x.style_id
+        LEFT JOIN vdflt f ON f.pack_id = q.pack_id AND f.style_type = 'table' GROUP BY ALL),
+      c AS (SELECT q.pkg_id, q.pack_id, sum({KEPT_FLAG(A.CELL_FLAGS, ("shd", "tcBorders"))}) AS props FROM cell x JOIN good q ON q.pkg_id = x.pkg_id JOIN vtab u ON u.pack_id = q.pack_id
+        WHERE len(u.used_styles) > 0 GROUP BY ALL),
+      s AS (SELECT q.pkg_id, q.pack_id, count(*) AS n FROM sect x JOIN good q ON q.pkg_id = x.pkg_id WHERE q.base NOT IN ('delta', 'cedar') GROUP BY ALL),
+      g AS (SELECT v.pack_id, count(*) AS n FROM src v JOIN pset x ON x.pack_id = v.base JOIN vtab u ON u.pack_id = v.pack_id
+        WHERE x.tag IN ({", ".join(repr(t) for t in SETTINGS_TAGS)}) AND NOT (x.tag = 'defaultTableStyle' AND len(u.used_styles) = 0) GROUP BY ALL),
+      d AS (SELECT pkg_id, pack_id, count(*) AS n, count(DISTINCT abstract_id) AS a FROM given WHERE nn <> '0' GROUP BY ALL),
+      parts AS (SELECT pkg_id, count(DISTINCT part) AS n FROM (SELECT pkg_id, part FROM par UNION ALL SELECT pkg_id, 'word/document.xml' FROM doc) GROUP BY ALL)
+      SELECT q.pkg_id, q.base AS pack_id, q.shift = 1 AS demote, parts.n AS content_parts_cleaned, p.* EXCLUDE (pkg_id, pack_id, moved, paragraph_properties_removed), CAST(paragraph_properties_removed AS BIGINT) AS paragraph_properties_removed,
+        r.runs_seen, CAST(r.run_properties_removed AS BIGINT) AS run_properties_removed, coalesce(t.tables_seen, 0) AS tables_seen, coalesce(t.table_formats_preserved, 0) AS table_formats_preserved,
+        CAST(coalesce(t.props, 0) + coalesce(c.props, 0) AS BIGINT) AS table_properties_removed, CAST(p.moved + r.moved + coalesce(t.moved, 0) AS BIGINT) AS styles_remapped,
+        coalesce(s.n, 0) AS sections_updated, coalesce(g.n, 0) AS settings_items_imported, coalesce(d.n, 0) AS target_numbering_definitions_imported, coalesce(d.a, 0) AS target_numbering_abstracts_imported,
+        CAST(seeds.seed AS BIGINT) AS heading_numbering_start
+      FROM good q JOIN parts ON parts.pkg_id = q.pkg_id JOIN p ON p.pkg_id = q.pkg_id AND p.pack_id = q.pack_id JOIN r ON r.pkg_id = q.pkg_id AND r.pack_id = q.pack_id
+      LEFT JOIN t ON t.pkg_id = q.pkg_id AND t.pack_id = q.pack_id LEFT JOIN c ON c.pkg_id = q.pkg_id AND c.pack_id = q.pack_id LEFT JOIN s ON s.pkg_id = q.pkg_id AND s.pack_id = q.pack_id
+      LEFT JOIN g ON g.pack_id = q.pack_id LEFT JOIN d ON d.pkg_id = q.pkg_id AND d.pack_id = q.pack_id LEFT JOIN seeds ON seeds.pkg_id = q.pkg_id AND seeds.pack_id = q.pack_id""",
+)
 def g4(spark, d):
-    return statistics(spark, d)
+    """All 23 counters of every accepted transfer."""
+    return applied(spark, d).statistics
+
+
+@query(
+    "g4_rejects", APPLY_NEEDS,
+    f"""WITH {SOURCE_CTES}, {LIST_CTES}, {PLAN_CTES}
+      SELECT pkg_id, base AS pack_id, demote, 'level_without_heading' AS rule, CAST(unnest(unresolved) AS INT) AS level FROM asked
+      UNION ALL SELECT DISTINCT m.pkg_id, r.base, r.shift = 1, m.fault, CAST(m.desired AS INT) FROM mapped m JOIN vreq r ON r.pkg_id = m.pkg_id AND r.pack_id = m.pack_id WHERE m.fault IS NOT NULL""",
+)
+def g4_rejects(spark, d):
+    """Pairs that no transfer is made for, with every level that stands in the way."""
+    return applied(spark, d).rejects
+
+
+@query(
+    "g4_numbered_paragraphs", APPLY_NEEDS,
+    f"""WITH {SOURCE_CTES}, {LIST_CTES}, {PLAN_CTES}
+      SELECT p.pkg_id, r.base AS pack_id, r.shift = 1 AS demote, p.part, p.ord, p.peered AS mapped, CASE WHEN p.numbered THEN p.rule_num WHEN p.tout IS NULL THEN p.nn END AS new_num_id,
+        n.v AS value, n.path, y.matched
+      FROM plan p JOIN vreq r ON r.pkg_id = p.pkg_id AND r.pack_id = p.pack_id LEFT JOIN new_count n ON n.pkg_id = p.pkg_id AND n.pack_id = p.pack_id AND n.part = p.part AND n.ord = p.ord
+      LEFT JOIN (SELECT pkg_id, pack_id, part, ord, bool_or(matched) AS matched FROM typed GROUP BY ALL) y ON y.pkg_id = p.pkg_id AND y.pack_id = p.pack_id AND y.part = p.part AND y.ord = p.ord
+      WHERE p.numbered OR (p.tout IS NULL AND p.nn IS NOT NULL)""",
+)
+def g4_numbered(spark, d):
+    """Paragraphs that end in a list: the pack's heading list or the target's own under its new id."""
+    rows = applied(spark, d).paragraphs.filter("new_num_id IS NOT NULL")
+    return rows.select("pkg_id", "pack_id", "demote", "part", "ord", "mapped", "new_num_id", "value", windows.path_text().alias("path"), "matched")
+
+
+@query(
+    "g4_imported_levels", APPLY_NEEDS,
+    f"""WITH {SOURCE_CTES}, {LIST_CTES}, {PLAN_CTES},
+      good AS (SELECT * FROM vreq WHERE (pkg_id, pack_id) NOT IN (SELECT (pkg_id, pack_id) FROM bad)),
+      held AS (SELECT s.pack_id, n.abstract_id FROM src s JOIN pnum n ON n.pack_id = s.base UNION ALL SELECT m.pack_id, CAST(coalesce(max(CAST(n.abstract_id AS BIGINT)), 0) + 1 AS VARCHAR)
+        FROM merged m JOIN src s ON s.pack_id = m.pack_id LEFT JOIN pnum n ON n.pack_id = s.base GROUP BY m.pack_id),
+      firsts AS (SELECT pkg_id, pack_id, abstract_id, min(CAST(nn AS BIGINT)) AS pos FROM given WHERE nn <> '0' GROUP BY ALL),
+      queue AS (SELECT pkg_id, pack_id, abstract_id, row_number() OVER (PARTITION BY pkg_id, pack_id ORDER BY pos) AS i FROM firsts),
+      given_ids AS (SELECT q.pkg_id, q.pack_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS abstract_id, CAST(NULL AS VARCHAR) AS new_id, coalesce(list(h.abstract_id) FILTER (h.abstract_id IS NOT NULL), []) AS taken
+        FROM (SELECT DISTINCT pkg_id, pack_id FROM queue) q LEFT JOIN held h ON h.pack_id = q.pack_id GROUP BY ALL
+        UNION ALL SELECT pkg_id, pack_id, i, abstract_id, new_id, list_append(taken, new_id) FROM (
+          SELECT g.pkg_id, g.pack_id, q.i, q.abstract_id, g.taken, CASE WHEN list_contains(g.taken, q.abstract_id)
+            THEN CAST(coalesce(list_max(list_transform(g.taken, lambda x: CAST(x AS BIGINT))), -1) + 1 AS VARCHAR) ELSE q.abstract_id END AS new_id
+          FROM given_ids g JOIN queue q ON q.pkg_id = g.pkg_id AND q.pack_id = g.pack_id AND q.i = g.i + 1)),
+      newabs AS (SELECT pkg_id, pack_id, abstract_id, new_id FROM given_ids WHERE i > 0)
+      SELECT a.pkg_id, q.base AS pack_id, q.shift = 1 AS demote, a.new_id AS abstract_id, l.ilvl, l.lvl_text, CAST(NULL AS VARCHAR) AS pstyle
+      FROM newabs a JOIN good q ON q.pkg_id = a.pkg_id AND q.pack_id = a.pack_id JOIN lvls l ON l.abstract_id = a.abstract_id""",
+)
+def g4_imported_levels(spark, d):
+    """Levels of the lists that come with the target: new ids, no links to styles."""
+    return applied(spark, d).levels.select("pkg_id", "pack_id", "demote", "abstract_id", "ilvl", "lvl_text", "pstyle")
+
+
+def applied(spark, d) -> apply_plan.Applied:
+    pairs = A.requests(spark, d).withColumns({"demote": F.col("pkg_id") % 2 == 0, "keep_layout": F.col("pack_id") == "cedar"})
+    lists_ = A.numbering(spark, d)
+    entries = F.array(*[F.struct(F.lit(t).alias("tag"), F.expr(v).cast("string").alias("value")) for t, v in joins.TARGET_TAGS.items()])
+    nodes = A.nodes(spark, d)
+    targets = apply_plan.Targets(
+        paragraphs=A.paragraphs(spark, d).withColumn("text", F.expr(A.TYPED_TEXT)),
+        runs=A.runs(spark, d),
+        boxes=nodes.filter("kind IN ('table', 'cell')"),
+        sections=A.sections(spark, d).withColumn("part", F.lit("word/document.xml")),
+        settings=A.docs(spark, d).select("pkg_id", F.inline(entries)),
+        parts=nodes.select("pkg_id", "part").distinct(),
+        styles=A.styles(spark, d),
+        nums=lists_["nums"], abstracts=lists_["abstracts"], levels=lists_["levels"],
+    )
+    nums, effective = A.pack_lists(spark)
+    authority = A.pack_authority(spark).withColumnRenamed("pkg_id", "pack_id")
+    packs = Packs(
+        styles=A.pack_styles(spark), authority=authority, rules=A.pack_rules(spark), used=authority.select("pack_id", "style_id"), tables=joins.pack_tables(spark),
+        profiles=A.pack_profiles(spark), layouts=A.literal(spark, T.PACK_LAYOUTS, "pack_id string, idx int, width int, height int").filter("pack_id <> 'delta'"),
+        settings=A.literal(spark, T.PACK_SETTINGS, "pack_id string, tag string, value string"), nums=nums.withColumnRenamed("pkg_id", "pack_id"), effective=effective,
+    )
+    return apply_plan.apply(pairs, targets, packs)
 
 
 @query("g5_derive")

@@ -30,14 +30,14 @@ REFS = """SELECT DISTINCT s.pkg_id, r.pack_id, s.style_id, s.style_type FROM sty
     UNION ALL SELECT DISTINCT pkg_id, pack_id, '', unnest(['paragraph', 'character', 'table']) FROM req"""
 
 
-def mapped_sql(refs: str, shift: int = 0) -> str:
-    """Mapping of (pkg_id, pack_id, style_id, style_type) tier by tier."""
+def mapped_sql(refs: str, shift: int | str = 0, v: str = "p") -> str:
+    """Mapping of (pkg_id, pack_id, style_id, style_type) tier by tier; pack tables are named with ``v``."""
     spell = f"list_transform(list_concat([t.name], t.aliases, [t.style_id]), lambda x: {A.key('x')})"
     return f"""SELECT r.*, o.outline AS t_outline, least(8, o.outline + {shift}) AS level,
         CASE WHEN coalesce(r.style_id, '') = '' THEN f.style_id ELSE coalesce(
           CASE WHEN r.style_type = 'paragraph' AND t.style_id IS NOT NULL THEN a.style_id END,
           same.style_id,
-          (SELECT arg_min(n.style_id, list_position({spell}, n.k)) FROM pname n WHERE n.pack_id = r.pack_id AND n.style_type = r.style_type
+          (SELECT arg_min(n.style_id, list_position({spell}, n.k)) FROM {v}name n WHERE n.pack_id = r.pack_id AND n.style_type = r.style_type
              AND list_contains({spell}, n.k)),
           CASE WHEN r.style_type = 'paragraph' THEN h.style_id END,
           raw.style_id, f.style_id) END AS mapped,
@@ -46,11 +46,11 @@ def mapped_sql(refs: str, shift: int = 0) -> str:
         FROM ({refs}) r
         LEFT JOIN sty t ON t.pkg_id = r.pkg_id AND t.style_id = r.style_id
         LEFT JOIN outl o ON o.pkg_id = r.pkg_id AND o.style_id = r.style_id
-        LEFT JOIN pauth a ON a.pack_id = r.pack_id AND a.level = least(8, o.outline + {shift})
-        LEFT JOIN psty same ON same.pack_id = r.pack_id AND same.style_id = r.style_id AND same.style_type = r.style_type
-        LEFT JOIN phead h ON h.pack_id = r.pack_id AND h.level = least(8, o.outline + {shift})
-        LEFT JOIN pname raw ON raw.pack_id = r.pack_id AND raw.style_type = r.style_type AND raw.k = {A.key('r.style_id')} AND raw.k <> ''
-        LEFT JOIN pdflt f ON f.pack_id = r.pack_id AND f.style_type = r.style_type"""
+        LEFT JOIN {v}auth a ON a.pack_id = r.pack_id AND a.level = least(8, o.outline + {shift})
+        LEFT JOIN {v}sty same ON same.pack_id = r.pack_id AND same.style_id = r.style_id AND same.style_type = r.style_type
+        LEFT JOIN {v}head h ON h.pack_id = r.pack_id AND h.level = least(8, o.outline + {shift})
+        LEFT JOIN {v}name raw ON raw.pack_id = r.pack_id AND raw.style_type = r.style_type AND raw.k = {A.key('r.style_id')} AND raw.k <> ''
+        LEFT JOIN {v}dflt f ON f.pack_id = r.pack_id AND f.style_type = r.style_type"""
 
 
 MAP_NEEDS = ["sty", "outl", "req", "psty", "pauth", "pname", "phead", "pdflt"]
@@ -192,23 +192,26 @@ def j9(spark, d):
 # --- paragraphs ----------------------------------------------------------------
 
 
-def paragraph_sql(shift: int) -> str:
-    refs = "SELECT DISTINCT p.pkg_id, r.pack_id, p.style_id, 'paragraph' AS style_type FROM ppar p JOIN req r ON r.pkg_id = p.pkg_id"
+def paragraph_sql(shift: int | str, v: str = "p", req: str = "req") -> str:
+    """Mapped paragraphs; ``shift`` may name a column of ``req``, whose packs are described by the tables named with ``v``."""
+    moved = f", r.{shift}" if isinstance(shift, str) else ""
+    refs = f"SELECT DISTINCT p.pkg_id, r.pack_id, p.style_id, 'paragraph' AS style_type{moved} FROM ppar p JOIN {req} r ON r.pkg_id = p.pkg_id"
+    own = f"r.{shift}" if moved else str(shift)
     return f"""SELECT x.*, CASE WHEN acts THEN CASE WHEN direct_outline <= 8 THEN coalesce(a.style_id, h.style_id)
           WHEN direct_outline = 9 THEN CASE WHEN b.outline IS NOT NULL THEN f.style_id ELSE m0 END
           WHEN step > 0 THEN m1 ELSE m0 END END AS mapped,
         CASE WHEN acts AND direct_outline <= 8 AND coalesce(a.style_id, h.style_id) IS NULL THEN 'no_heading_for_level'
           WHEN acts AND direct_outline IS NULL AND step > 0 AND blocked THEN 'no_demoted_heading' END AS fault
-        FROM (SELECT p.*, r.pack_id, m0.mapped AS m0, m1.mapped AS m1, m1.blocked, least(8, p.tout + p.step) AS desired,
+        FROM (SELECT p.*, m0.mapped AS m0, m1.mapped AS m1, m1.blocked, least(8, p.tout + p.step) AS desired,
             has_ppr AND (p.style_id IS NOT NULL OR p.tout IS NOT NULL) AS acts
-          FROM (SELECT *, CASE WHEN has_ppr THEN level END AS tout, CASE WHEN part = 'word/document.xml' THEN {shift} ELSE 0 END AS step FROM ({LEVELED})) p
-          JOIN req r ON r.pkg_id = p.pkg_id
-          JOIN ({mapped_sql(refs)}) m0 ON m0.pkg_id = p.pkg_id AND m0.pack_id = r.pack_id AND m0.style_id IS NOT DISTINCT FROM p.style_id
-          JOIN ({mapped_sql(refs, shift)}) m1 ON m1.pkg_id = p.pkg_id AND m1.pack_id = r.pack_id AND m1.style_id IS NOT DISTINCT FROM p.style_id) x
-        LEFT JOIN pauth a ON a.pack_id = x.pack_id AND a.level = x.desired
-        LEFT JOIN phead h ON h.pack_id = x.pack_id AND h.level = x.desired
-        LEFT JOIN psty b ON b.pack_id = x.pack_id AND b.style_id = x.m0
-        LEFT JOIN pdflt f ON f.pack_id = x.pack_id AND f.style_type = 'paragraph'"""
+          FROM (SELECT p.*, r.pack_id{moved}, CASE WHEN has_ppr THEN level END AS tout, CASE WHEN part = 'word/document.xml' THEN {own} ELSE 0 END AS step
+            FROM ({LEVELED}) p JOIN {req} r ON r.pkg_id = p.pkg_id) p
+          JOIN ({mapped_sql(refs, v=v)}) m0 ON m0.pkg_id = p.pkg_id AND m0.pack_id = p.pack_id AND m0.style_id IS NOT DISTINCT FROM p.style_id
+          JOIN ({mapped_sql(refs, own, v)}) m1 ON m1.pkg_id = p.pkg_id AND m1.pack_id = p.pack_id AND m1.style_id IS NOT DISTINCT FROM p.style_id) x
+        LEFT JOIN {v}auth a ON a.pack_id = x.pack_id AND a.level = x.desired
+        LEFT JOIN {v}head h ON h.pack_id = x.pack_id AND h.level = x.desired
+        LEFT JOIN {v}sty b ON b.pack_id = x.pack_id AND b.style_id = x.m0
+        LEFT JOIN {v}dflt f ON f.pack_id = x.pack_id AND f.style_type = 'paragraph'"""
 
 
 def mapped_paragraphs(spark, d, shift: int = 0):

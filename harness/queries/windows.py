@@ -61,7 +61,11 @@ def w1(spark, d):
 # Typed number of a heading, in the oracle's dialect (no look-ahead there).
 TYPED = f"""SELECT *, {A.TYPED_TEXT} AS ttext FROM ({HEADED}) WHERE outline IS NOT NULL"""
 GAP = r"[ \t\x{3000}]+"
-PARSED = rf"""SELECT *, CASE
+
+
+def fitted_sql(rows: str) -> str:
+    """Typed numbers of heading rows (``ttext, plain, l, st``) that have as many parts as their level asks for."""
+    parsed = rf"""SELECT *, CASE
       WHEN NOT plain THEN NULL
       WHEN regexp_matches(ttext, '^\s*[（(]\d{{1,3}}([.．]\d{{1,3}})*[）)]{GAP}[^\s]') THEN regexp_extract(ttext, '^\s*[（(](\d{{1,3}}([.．]\d{{1,3}})*)[）)]', 1)
       WHEN regexp_matches(ttext, '^\s*\d{{1,3}}([.．]\d{{1,3}})*[.．、]?{GAP}[^\s]') THEN regexp_extract(ttext, '^\s*(\d{{1,3}}([.．]\d{{1,3}})*)', 1)
@@ -70,9 +74,12 @@ PARSED = rf"""SELECT *, CASE
       WHEN regexp_matches(ttext, '^\s*[（(]\d{{1,3}}([.．]\d{{1,3}})*[）)]{GAP}[^\s]') THEN length(regexp_extract(ttext, '^\s*[（(]\d{{1,3}}([.．]\d{{1,3}})*[）)]{GAP}'))
       WHEN regexp_matches(ttext, '^\s*\d{{1,3}}([.．]\d{{1,3}})*[.．、]?{GAP}[^\s]') THEN length(regexp_extract(ttext, '^\s*\d{{1,3}}([.．]\d{{1,3}})*[.．、]?{GAP}'))
       ELSE 4 END AS used
-    FROM (SELECT *, outline AS l, CAST(1 AS BIGINT) AS st FROM ({TYPED}))"""
-FITTED = f"""SELECT * EXCLUDE (nums), CASE WHEN len(string_split(nums, '.')) = l + 1 THEN nums END AS nums,
-    CASE WHEN l = 0 AND len(string_split(nums, '.')) = 1 THEN CAST(nums AS BIGINT) END AS typed FROM ({PARSED})"""
+    FROM ({rows})"""
+    return f"""SELECT * EXCLUDE (nums), CASE WHEN len(string_split(nums, '.')) = l + 1 THEN nums END AS nums,
+    CASE WHEN l = 0 AND len(string_split(nums, '.')) = 1 THEN CAST(nums AS BIGINT) END AS typed FROM ({parsed})"""
+
+
+FITTED = fitted_sql(f"SELECT *, outline AS l, CAST(1 AS BIGINT) AS st FROM ({TYPED})")
 MATCHED = f"""SELECT *, coalesce(ok AND nums = path, false) AS matched FROM ({counter_sql(FITTED)})"""
 
 

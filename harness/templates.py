@@ -145,6 +145,16 @@ PACK_RULES = [
     ("birch", "H1", "7", 0, "%1.", 3), ("birch", "Title3", "8", 2, "%3", 1),
     ("delta", "L1", "4", 0, "第%1章", 1), ("delta", "L2", "4", 1, "%1.%2", 2),
 ]
+# Lists of the packs: (pack_id, num_id, abstract_id), (pack_id, abstract_id), and their levels
+# (pack_id, abstract_id, ilvl, start, num_fmt, lvl_text, left, hanging, tab).
+PACK_NUMS = [("atlas", "11", "0"), ("birch", "7", "1"), ("birch", "8", "2"), ("delta", "4", "0")]
+PACK_ABSTRACTS = [("atlas", "0"), ("birch", "1"), ("birch", "2"), ("delta", "0")]
+PACK_LEVELS = [
+    ("atlas", "0", 0, 1, "decimal", "%1", 432, 432, 432), ("atlas", "0", 1, 1, "decimal", "%1.%2", 576, 576, 576),
+    ("atlas", "0", 2, 1, "decimal", "%1.%2.%3", 720, 720, 720),
+    ("birch", "1", 0, 3, "decimal", "%1.", 360, 360, None), ("birch", "2", 2, 1, "decimal", "%3", 360, 360, None),
+    ("delta", "0", 0, 1, "decimal", "第%1章", 0, 0, None), ("delta", "0", 1, 2, "decimal", "%1.%2", 200, 200, None),
+]
 # (pack_id, used_styles, preferred)
 PACK_TABLES = [("atlas", ["GridA"], "GridA"), ("birch", ["Tab"], "Tab"), ("cedar", [], None), ("delta", [], None)]
 # (pack_id, idx, width, height)
@@ -157,6 +167,7 @@ PACK_LAYOUTS = [
 PACK_PROFILES = [
     ("atlas", "Heading1", "left=0;hanging=0", "before=240;after=60", "center"),
     ("atlas", "Heading2", "left=120;hanging=0", None, None),
+    ("atlas", "Heading3", "left=240;hanging=0", None, None),
     ("birch", "H1", None, "before=360", None),
     ("birch", "Body", "left=0;hanging=0", None, None),
     ("delta", "L1", "left=0;firstLine=240", None, "left"),
