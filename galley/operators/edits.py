@@ -205,6 +205,40 @@ def table_bag(tpr: Column, patch: Column) -> Column:
     )
 
 
+def history(edits: DataFrame) -> DataFrame:
+    """``pack_id, style_id, waves``: the fields of every revision of a style as one map each, in order of ``revision``.
+
+    A style has as many live fields as the protocol knows, so this list stays short.
+    """
+    each = edits.groupBy("pack_id", "style_id", "revision", "field").agg(F.max_by("value", "seq").alias("value"))
+    maps = each.groupBy("pack_id", "style_id", "revision").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("patch"))
+    # Maps cannot be sorted, so the list is ordered by revision alone.
+    by_revision = lambda a, b: F.when(a["revision"] < b["revision"], -1).when(a["revision"] > b["revision"], 1).otherwise(0)
+    ordered = F.array_sort(F.collect_list(F.struct("revision", "patch")), by_revision)
+    return maps.groupBy("pack_id", "style_id").agg(F.transform(ordered, lambda x: x["patch"]).alias("waves"))
+
+
+def replay(styles: DataFrame, waves: DataFrame) -> DataFrame:
+    """Style sheet of a pack after all revisions of :func:`history`, one after the other."""
+    joined = styles.join(waves, ["pack_id", "style_id"], "left")
+    turns = F.coalesce("waves", F.array().cast("array<map<string,string>>"))
+
+    def folded(bag: str, fields, change) -> Column:
+        edited = F.exists(turns, lambda p: touches(p, fields))
+        start = F.coalesce(F.col(bag), F.create_map().cast(BAG))
+        after = F.aggregate(turns, start, lambda acc, p: F.when(touches(p, fields), change(acc, p)).otherwise(acc))
+        return F.when(edited, after).otherwise(F.col(bag))
+
+    return joined.withColumns(
+        {
+            "rpr": folded("rpr", RUN_FIELDS, run_bag),
+            "ppr": folded("ppr", PARAGRAPH_FIELDS, paragraph_bag),
+            "tpr": folded("tpr", TABLE_FIELDS, table_bag),
+            "edited": F.col("waves").isNotNull(),
+        }
+    ).drop("waves")
+
+
 def touches(patch: Column, fields) -> Column:
     return F.exists(F.map_keys(patch), lambda k: k.isin(*fields))
 
@@ -298,9 +332,14 @@ def sync_overrides(profiles: DataFrame, edits: DataFrame, headings: DataFrame) -
     ``profiles`` has ``pack_id, style_id, ind, spacing, jc``; ``headings``
     ``pack_id, style_id`` of heading styles.
     """
+    return sync_history(profiles, patches(edits).select("pack_id", "style_id", F.array("patch").alias("waves")), headings)
+
+
+def sync_history(profiles: DataFrame, waves: DataFrame, headings: DataFrame) -> DataFrame:
+    """The same for all revisions of :func:`history`, one after the other."""
     mine = (
-        patches(edits)
-        .filter(touches(F.col("patch"), PARAGRAPH_FIELDS))
+        waves.withColumn("waves", F.filter("waves", lambda p: touches(p, PARAGRAPH_FIELDS)))
+        .filter(F.size("waves") > 0)
         .join(headings.select("pack_id", "style_id").distinct(), ["pack_id", "style_id"], "left_semi")
     )
     entry = lambda name, value: F.when(
@@ -309,8 +348,8 @@ def sync_overrides(profiles: DataFrame, edits: DataFrame, headings: DataFrame) -
     joined = profiles.join(mine, ["pack_id", "style_id"], "full")
     jc = F.when(F.col("jc").isNotNull(), F.create_map(F.lit("val"), F.col("jc")))
     bag = F.map_concat(entry("ind", F.col("ind")), entry("spacing", F.col("spacing")), entry("jc", jc))
-    new = joined.withColumn("bag", paragraph_bag(bag, F.col("patch")))
-    pick = lambda fresh, old: F.when(F.col("patch").isNotNull(), fresh).otherwise(F.col(old)).alias(old)
+    new = joined.withColumn("bag", F.aggregate("waves", bag, paragraph_bag))
+    pick = lambda fresh, old: F.when(F.col("waves").isNotNull(), fresh).otherwise(F.col(old)).alias(old)
     at = lambda p: F.try_element_at("bag", F.lit(p))
     return new.select(
         "pack_id",

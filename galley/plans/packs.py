@@ -1,4 +1,4 @@
-"""Packs: create from profiles, derive with edits, import, list."""
+"""Packs: create from profiles, import, list."""
 
 from __future__ import annotations
 
@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from galley.functions.text import file_stem
-from galley.operators import catalog, edits as E, library, numbering, quality
-from galley.operators.preview import refresh
+from galley.operators import library, numbering, quality
 from galley.plans.profile import Profile
 from galley.registries import PACK_SCHEMA_VERSION, REQUIRED_PACK_PARTS
 from galley.schemas import MANIFEST
@@ -103,27 +102,6 @@ def create_packs(described: DataFrame, format_parts: DataFrame) -> tuple[DataFra
     return packs.withColumn("manifest", sealed).drop("part_sha256"), parts
 
 
-def derive(
-    styles: DataFrame, edits: DataFrame, exposed: DataFrame, previous: DataFrame
-) -> dict[str, DataFrame]:
-    """Edited style sheets of packs, with rejects and refreshed previews.
-
-    Packs with any bad edit keep out of the result as a whole.
-    """
-    outlines = exposed.select("pack_id", "style_id", F.col("outline").alias("level"))
-    violations = (
-        quality.edit_rules(edits.join(outlines, ["pack_id", "style_id"], "left"))
-        .select("pack_id", "style_id", "rule")
-        .unionByName(E.check_targets(edits, exposed).select("pack_id", "style_id", "rule"))
-    )
-    good = edits.join(violations.select("pack_id").distinct(), "pack_id", "left_anti")
-    chosen = styles.join(good.select("pack_id").distinct(), "pack_id", "left_semi")
-    sheet = E.overlay(chosen, good)
-    resolved = catalog.resolve(sheet.withColumnRenamed("pack_id", "pkg_id")).withColumnRenamed("pkg_id", "pack_id")
-    looks = refresh(previous, resolved.select("pack_id", "style_id", "style_type", "outline", "eff_ppr", "eff_rpr"))
-    return {"styles": sheet, "rejects": violations, "previews": looks}
-
-
 def import_library(incoming: DataFrame, stored: DataFrame, violations: DataFrame) -> DataFrame:
     """Import valid packs; broken ones are reported as rejected."""
     bad = violations.select("pack_id").distinct()

@@ -75,6 +75,7 @@ MAX_PACK_TOTAL_BYTES = 64 * MIB
 MAX_PACK_FILE_BYTES = MAX_PACK_TOTAL_BYTES + 2 * MIB
 MAX_EDIT_BYTES = MIB
 MAX_EDIT_STYLES = 256
+MAX_NAME_LENGTH = 120
 MAX_FONT_ALIASES = 64
 MAX_STEM = 48
 

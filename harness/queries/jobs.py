@@ -10,16 +10,17 @@ from galley.functions import props
 from galley.operators import catalog, library, mapping, quality
 from galley.operators.graph import settled, shared_folder
 from galley.plans.corpus import corpus_of
-from galley.plans import apply as apply_plan, fonts as font_plan, packs as pack_plan, preflight as preflight_plan, profile as profile_plan
+from galley.plans import apply as apply_plan, derive as derive_plan, fonts as font_plan, packs as pack_plan, preflight as preflight_plan, profile as profile_plan
 from galley.plans.sources import Packs
 from galley.sources import ooxml, packages, requests as edit_requests, sinks
+from galley.sources.edit_log import EditLog
 from galley.registries import PACK_SCHEMA_VERSION, SETTINGS_TAGS
 from galley.schemas import MANIFEST
 from galley.sources.packs import declared_parts, parse_manifests
 from galley.streaming import ingest
 from harness import adapters as A, documents as D, templates as T
 from harness.queries import joins, libraries as L, windows
-from harness.queries.aggregates import HEADED_NEEDS, LEVELED, STYLED, STYLED_NEEDS, faces, leveled
+from harness.queries.aggregates import HEADED_NEEDS, LEVELED, STYLED, STYLED_NEEDS, effective, faces, leveled
 from harness.registry import query
 
 # --- readers ------------------------------------------------------------------
@@ -756,13 +757,102 @@ def applied(spark, d) -> apply_plan.Applied:
     return apply_plan.apply(pairs, targets, packs)
 
 
-@query("g5_derive")
+# --- derivation ----------------------------------------------------------------------
+#
+# Two requests per pack: the first and the last value that its lines ask for. Some ask for styles that are not open, some second
+# requests for sizes that are not allowed.
+
+WAVE_FIELDS = f"""SELECT pkg_id AS pack_id, style_id, {L.FIELD} AS field, {L.VALUE} AS value, ord, length(text) AS n FROM par WHERE style_id IS NOT NULL
+    UNION ALL SELECT pkg_id AS pack_id, style_id, CASE length(text) % 3 WHEN 0 THEN 'numbering_format' WHEN 1 THEN 'numbering_start' ELSE 'numbering_restart' END AS field,
+      CASE length(text) % 3 WHEN 0 THEN CASE WHEN length(text) % 2 = 0 THEN 'upperRoman' ELSE 'lowerLetter' END WHEN 1 THEN CAST(1 + length(text) % 7 AS STRING)
+        ELSE CASE WHEN style_id = 'H1' OR length(text) % 2 = 0 THEN 'false' ELSE 'true' END END AS value, ord, length(text) AS n FROM par WHERE style_id IN ('H1', 'H2')"""
+SECOND = "CASE WHEN field = 'size_pt' AND n % 3 = 0 THEN '999' ELSE value END"
+WAVES = f"""SELECT pack_id, style_id, field, {{first}}(value, ord) AS v1, {{last}}({SECOND}, ord) AS v2, count(*) AS c, min(ord) AS seq FROM ({WAVE_FIELDS}) GROUP BY pack_id, style_id, field"""
+LOG_CTES = f"""w AS ({WAVES.format(first="arg_min", last="arg_max")}),
+    bad1 AS (SELECT DISTINCT pack_id, style_id, CASE style_id WHEN 'H3' THEN 'unknown_style' ELSE 'wrong_type' END AS rule FROM w WHERE style_id IN ('H3', 'Cell')),
+    bad2 AS (SELECT DISTINCT pack_id, style_id, 'range' AS rule FROM w WHERE c > 1 AND v2 = '999' AND pack_id NOT IN (SELECT pack_id FROM bad1)),
+    log AS (SELECT *, c > 1 AND pack_id NOT IN (SELECT pack_id FROM bad2) AS second FROM w WHERE pack_id NOT IN (SELECT pack_id FROM bad1)),
+    final AS (SELECT pack_id, style_id, field, CASE WHEN second THEN v2 ELSE v1 END AS value FROM log),
+    rev AS (SELECT pack_id, CASE WHEN bool_or(second) THEN 2 ELSE 1 END AS revision FROM log GROUP BY ALL)"""
+
+
+def derived(spark, d):
+    """Both requests derived through one log, which is compacted in between: (first, second)."""
+    A.par(spark, d).createOrReplaceTempView("par")
+    waves = settled(spark.sql(WAVES.format(first="min_by", last="max_by")))
+    none = lambda t: F.lit(None).cast(t)
+    sheet = A.styles(spark, d).filter("ord >= 0").withColumnRenamed("pkg_id", "pack_id").withColumn("tpr", none(props.BAG))
+    open_ = L.exposed(spark, d)
+    ids = A.docs(spark, d).select(F.col("pkg_id").alias("pack_id"), "n_chars", "lang")
+    rule = lambda style, level: F.struct(F.lit(style).alias("style_id"), F.struct(F.lit("1").alias("num_id"), F.lit(level).alias("level"), none("string").alias("number_format"),
+        none("string").alias("level_text"), none("int").alias("start")).alias("rule"))
+    bags = "map<string,string>"
+    base = derive_plan.Base(
+        styles=sheet, exposed=open_, previous=open_.select("pack_id", "style_id", F.lit(1).cast("bigint").alias("usage_count"), F.lit(False).alias("inferred"), F.lit(False).alias("configured")),
+        profiles=ids.select("pack_id", F.lit("H1").alias("style_id"), none(bags).alias("ind"), none(bags).alias("spacing"), F.lit("center").alias("jc")),
+        rules=ids.select("pack_id", F.inline(F.array(rule("H1", 0), rule("H2", 1)))),
+        levels=effective(spark, d).filter("num_id = '1'").withColumnRenamed("pkg_id", "pack_id").select("pack_id", "num_id", "ilvl", "num_fmt", "lvl_text", "start", "lvl_restart", "start_override"),
+        fonts=ids.select("pack_id", F.concat(F.lit("FACE "), (F.col("n_chars") % 20).cast("string")).alias("name")),
+        candidates=ids.select("pack_id", F.lit("GridA").alias("style_id")), names=ids.select("pack_id", F.concat(F.lit("pack "), "lang").alias("name")),
+    )
+    log = EditLog(spark, f"{scratch(spark)}/log")
+    request = lambda rows, value: rows.select("pack_id", "style_id", "field", F.col(value).alias("value"), F.col("seq").cast("int").alias("seq"))
+    first = derive_plan.derive(base, log, 1, request(waves, "v1"))
+    log.compact(1)
+    later = waves.filter("c > 1").join(first.packs.select(F.col("source_pack_id").alias("pack_id")), "pack_id", "left_semi")
+    return first, derive_plan.derive(base, log, 2, request(later, "v2"))
+
+
+@query("g5_derive", ["doc", "par", "sty", "tprop"], L.overlay_sql("SELECT * FROM final", "s.pkg_id IN (SELECT pack_id FROM rev)", f"{LOG_CTES}, "))
 def g5(spark, d):
-    sheet = A.styles(spark, d).filter("ord >= 0").withColumnRenamed("pkg_id", "pack_id").withColumn("tpr", F.lit(None).cast(props.BAG))
-    exposed = L.exposed(spark, d)
-    previous = exposed.select("pack_id", "style_id", F.lit(1).cast("bigint").alias("usage_count"), F.lit(False).alias("inferred"), F.lit(False).alias("configured"))
-    out = pack_plan.derive(sheet, L.edits(spark, d).filter("style_id NOT IN ('H3', 'Cell')"), exposed, previous)
-    return out["previews"].select("pack_id", "style_id", "usage_count", props.bag_signature(F.col("eff_rpr")).alias("rpr"))
+    """Style sheets after both requests."""
+    out = derived(spark, d)[1].styles
+    return out.select("pack_id", "style_id", props.bag_signature(F.col("ppr")).alias("ppr"), props.bag_signature(F.col("rpr")).alias("rpr"), "edited")
+
+
+@query(
+    "g5_rejects", ["par"],
+    f"WITH {LOG_CTES} SELECT 1 AS revision, * FROM bad1 UNION ALL SELECT 2, * FROM bad2",
+)
+def g5_rejects(spark, d):
+    first, second = derived(spark, d)
+    label = lambda out, n: out.rejects.select(F.lit(n).alias("revision"), "pack_id", "style_id", "rule")
+    return label(first, 1).unionByName(label(second, 2))
+
+
+@query(
+    "g5_manifests", ["doc", "par", "sty"],
+    f"""WITH {LOG_CTES}, last AS (SELECT l.pack_id, l.style_id, string_agg(l.field, ',' ORDER BY l.field) AS fields FROM log l JOIN rev r ON r.pack_id = l.pack_id WHERE r.revision = 1 OR l.second GROUP BY ALL),
+        num AS (SELECT pack_id, style_id, string_agg(field || '=' || value, ',' ORDER BY field) AS t FROM final WHERE field LIKE 'numbering%' GROUP BY ALL),
+        fonts AS (SELECT f.pack_id, string_agg(DISTINCT f.value, ',' ORDER BY f.value) AS t FROM final f JOIN doc d ON d.pkg_id = f.pack_id WHERE f.field = 'font_latin' AND lower(f.value) <> 'face ' || (d.n_chars % 20) GROUP BY ALL),
+        sheet AS (SELECT pkg_id AS pack_id, count(*) AS n, count(*) FILTER (style_id <> 'H3') AS shown FROM sty GROUP BY ALL)
+        SELECT r.pack_id, r.revision, 'pack ' || d.lang || ' · 自定义' AS name, (SELECT string_agg(style_id || ':' || fields, ';' ORDER BY style_id) FROM last WHERE last.pack_id = r.pack_id) AS edited,
+          coalesce((SELECT string_agg(style_id || ':' || t, ';' ORDER BY style_id) FROM num WHERE num.pack_id = r.pack_id), '') AS numbering, coalesce(f.t, '') AS fonts,
+          s.shown AS used_style_count, CAST(0 AS BIGINT) AS inferred_style_count, CAST(0 AS BIGINT) AS custom_style_count, s.n AS defined_style_count, s.n - s.shown AS hidden_style_count
+        FROM rev r JOIN doc d ON d.pkg_id = r.pack_id JOIN sheet s ON s.pack_id = r.pack_id LEFT JOIN fonts f ON f.pack_id = r.pack_id""",
+)
+def g5_manifests(spark, d):
+    out = derived(spark, d)[1]
+    fonts = out.fonts.filter("added").groupBy(F.col("pack_id").alias("source_pack_id")).agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("fonts"))
+    listed = lambda c, inner: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat(x["style_id"], F.lit(":"), F.array_join(inner(x["fields"]), ","))), ";"), F.lit(""))
+    pairs = lambda fields: F.transform(fields, lambda f: F.concat(f["field"], F.lit("="), f["value"]))
+    return out.packs.join(fonts, "source_pack_id", "left").select(
+        F.col("source_pack_id").alias("pack_id"), "revision", "name", listed("edited_styles", lambda f: f).alias("edited"), listed("numbering_user_edits", pairs).alias("numbering"),
+        F.coalesce("fonts", F.lit("")).alias("fonts"), "used_style_count", "inferred_style_count", "custom_style_count", "defined_style_count", "hidden_style_count",
+    )
+
+
+@query(
+    "g5_levels", ["doc", "par", "eff"],
+    f"""WITH {LOG_CTES}, n AS (SELECT pack_id, CASE style_id WHEN 'H1' THEN 0 ELSE 1 END AS ilvl, max(value) FILTER (field = 'numbering_format') AS f, CAST(max(value) FILTER (field = 'numbering_start') AS INT) AS s,
+          max(value) FILTER (field = 'numbering_restart') AS r FROM final WHERE style_id IN ('H1', 'H2') GROUP BY ALL)
+        SELECT r.pack_id, e.num_id, e.ilvl, coalesce(n.f, e.num_fmt) AS num_fmt, e.lvl_text, coalesce(n.s, e.start) AS start, CASE WHEN e.start_override IS NOT NULL THEN coalesce(n.s, e.start_override) END AS start_override,
+          CASE n.r WHEN 'true' THEN e.ilvl WHEN 'false' THEN 0 ELSE e.lvl_restart END AS lvl_restart
+        FROM rev r JOIN doc d ON d.pkg_id = r.pack_id JOIN eff e ON e.lang = d.lang AND e.num_id = '1' LEFT JOIN n ON n.pack_id = r.pack_id AND n.ilvl = e.ilvl""",
+)
+def g5_levels(spark, d):
+    """List levels after the numbering edits of both requests."""
+    return derived(spark, d)[1].levels.select("pack_id", "num_id", "ilvl", "num_fmt", "lvl_text", "start", "start_override", "lvl_restart")
 
 
 @query(

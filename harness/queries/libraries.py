@@ -238,7 +238,8 @@ VALUE = (
 EDITS_SQL = f"SELECT pkg_id AS pack_id, style_id, {FIELD} AS field, {VALUE} AS value, ord AS seq FROM par WHERE style_id IS NOT NULL"
 LATEST = f"SELECT pack_id, style_id, field, arg_max(value, seq) AS value FROM ({EDITS_SQL}) GROUP BY ALL"
 # Attributes every field sets: (field, bag, property, attribute, value).
-SETS = f"""SELECT pack_id, style_id, u.* FROM ({LATEST}), LATERAL (VALUES
+def sets_sql(latest: str) -> str:
+    return f"""SELECT pack_id, style_id, u.* FROM ({latest}), LATERAL (VALUES
     ('color_hex', 'r', 'color', 'val', value), ('bold', 'r', 'b', 'val', CASE value WHEN 'true' THEN '1' ELSE '0' END), ('bold', 'r', 'bCs', 'val', CASE value WHEN 'true' THEN '1' ELSE '0' END),
     ('size_pt', 'r', 'sz', 'val', CAST(TRY_CAST(value AS BIGINT) * 2 AS VARCHAR)), ('size_pt', 'r', 'szCs', 'val', CAST(TRY_CAST(value AS BIGINT) * 2 AS VARCHAR)),
     ('left_indent_pt', 'p', 'ind', 'left', CAST(TRY_CAST(value AS BIGINT) * 20 AS VARCHAR)), ('left_indent_pt', 'p', 'ind', 'start', CAST(TRY_CAST(value AS BIGINT) * 20 AS VARCHAR)),
@@ -248,6 +249,8 @@ SETS = f"""SELECT pack_id, style_id, u.* FROM ({LATEST}), LATERAL (VALUES
     ('first_line_indent_chars', 'p', 'ind', 'firstLineChars', CAST(TRY_CAST(value AS BIGINT) * 100 AS VARCHAR)), ('first_line_indent_chars', 'p', 'ind', 'firstLine', '0'),
     ('space_before_pt', 'p', 'spacing', 'before', CAST(TRY_CAST(value AS BIGINT) * 20 AS VARCHAR)), ('space_before_pt', 'p', 'spacing', 'beforeLines', '0'), ('space_before_pt', 'p', 'spacing', 'beforeAutospacing', '0'),
     ('alignment', 'p', 'jc', 'val', value), ('font_latin', 'r', 'rFonts', 'ascii', value), ('font_latin', 'r', 'rFonts', 'hAnsi', value)) u(f, bag, prop, attr, val) WHERE u.f = field"""
+
+
 KILLS = "(VALUES ('color_hex', 'color', 'themeColor'), ('font_latin', 'rFonts', 'asciiTheme'), ('font_latin', 'rFonts', 'hAnsiTheme'), ('first_line_indent_chars', 'ind', 'hanging'), ('first_line_indent_chars', 'ind', 'hangingChars')) k(field, prop, attr)"
 
 
@@ -258,9 +261,9 @@ def edits(spark, d):
     )
 
 
-@query(
-    "j24_edit_overlay", ["doc", "par", "sty", "tprop"],
-    f"""WITH last AS ({LATEST}), sets AS ({SETS}),
+def overlay_sql(latest: str, packs: str = "true", before: str = "") -> str:
+    """Bags of all styles after the last edits; ``packs`` tells which packs are wanted, ``before`` names what both rest on."""
+    return f"""WITH {before}last AS ({latest}), sets AS ({sets_sql(latest)}),
         own AS (SELECT s.pkg_id AS pack_id, s.style_id, p.bag, p.prop, p.attr, p.val FROM sty s JOIN tprop p ON p.lang = s.lang AND p.style_id = s.style_id),
         live AS (SELECT o.* FROM own o WHERE NOT EXISTS (SELECT 1 FROM sets x WHERE x.pack_id = o.pack_id AND x.style_id = o.style_id AND x.bag = o.bag AND x.prop = o.prop AND x.attr = o.attr)
           AND NOT EXISTS (SELECT 1 FROM last e JOIN {KILLS} ON k.field = e.field WHERE e.pack_id = o.pack_id AND e.style_id = o.style_id AND k.prop = o.prop AND k.attr = o.attr)),
@@ -269,8 +272,10 @@ def edits(spark, d):
         txt AS (SELECT pack_id, style_id, bag, string_agg(prop || '(' || coalesce(attrs, '') || ')', ' ' ORDER BY prop) AS t FROM (
           SELECT p.*, string_agg(a.attr || '=' || a.val, ';' ORDER BY a.attr) AS attrs FROM allp p LEFT JOIN alla a USING (pack_id, style_id, bag, prop) GROUP BY ALL) GROUP BY ALL)
         SELECT s.pkg_id AS pack_id, s.style_id, coalesce(p.t, '') AS ppr, coalesce(r.t, '') AS rpr, EXISTS (SELECT 1 FROM last e WHERE e.pack_id = s.pkg_id AND e.style_id = s.style_id) AS edited
-        FROM sty s LEFT JOIN txt p ON p.pack_id = s.pkg_id AND p.style_id = s.style_id AND p.bag = 'p' LEFT JOIN txt r ON r.pack_id = s.pkg_id AND r.style_id = s.style_id AND r.bag = 'r'""",
-)
+        FROM sty s LEFT JOIN txt p ON p.pack_id = s.pkg_id AND p.style_id = s.style_id AND p.bag = 'p' LEFT JOIN txt r ON r.pack_id = s.pkg_id AND r.style_id = s.style_id AND r.bag = 'r' WHERE {packs}"""
+
+
+@query("j24_edit_overlay", ["doc", "par", "sty", "tprop"], overlay_sql(LATEST))
 def j24(spark, d):
     sheet = A.styles(spark, d).filter("ord >= 0").withColumnRenamed("pkg_id", "pack_id").withColumn("tpr", F.lit(None).cast(props.BAG))
     out = E.overlay(sheet, edits(spark, d))
