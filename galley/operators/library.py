@@ -86,14 +86,15 @@ def reconcile(declared: DataFrame, actual: DataFrame) -> DataFrame:
     )
 
 
-def import_packs(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+def import_packs(incoming: DataFrame, stored: DataFrame, most: int = 100_000) -> DataFrame:
     """What happens to every incoming pack: ``reuse``, ``conflict`` or ``append``.
 
     Both sides have ``pack_id, fingerprint, identity``; incoming rows also have
     ``seq``, their arrival order. A pack that uses the id of different content
     is a conflict, against the library and against what earlier arrivals added.
     Equal content is stored once; copies are reduced to one row per id and
-    content before anything else.
+    content before anything else. Chains of more than ``most`` arrivals that hand
+    ids and contents on are decided without any task holding one.
     """
     key = F.sha2(F.concat_ws("\0", "fingerprint", "identity"), 256)
     new = incoming.withColumn("content_key", key)
@@ -110,7 +111,7 @@ def import_packs(incoming: DataFrame, stored: DataFrame) -> DataFrame:
         .drop("low_key", "high_key")
     )
     free = checked.filter(~F.col("clash") & F.col("stored_id").isNull())
-    added = _admit(free.groupBy("pack_id", "content_key").agg(F.min("seq").alias("seq")))
+    added = _admit(free.groupBy("pack_id", "content_key").agg(F.min("seq").alias("seq")), most=most)
     id_owner = added.select(
         "pack_id", F.col("content_key").alias("owner_key"), F.col("seq").alias("owner_seq")
     )
@@ -142,30 +143,25 @@ def _admit(arrivals: DataFrame, rounds: int = 4, most: int = 100_000) -> DataFra
     An arrival that is the earliest for its id and for its content is certain and
     takes both. A few such rounds settle all but chains of ids and contents that
     hand each other on. Chains are independent of each other: each one of at most
-    ``most`` arrivals is then walked in order by one task, and only longer ones go
-    on in rounds.
+    ``most`` arrivals is then walked in order by one task. Longer ones are decided by
+    pointer jumping (see :func:`_chained`), which takes a number of steps that grows
+    with the logarithm of their length. Every round decides the earliest arrival
+    that is left, so there are never more rounds than arrivals.
     """
     left = settled(arrivals)
     admitted = left.limit(0)
     done = 0
     while not left.isEmpty():
-        first_of = lambda col: left.groupBy(col).agg(F.min("seq").alias("first"))
-        sure = (
-            left.join(first_of("pack_id").withColumnRenamed("first", "f1"), "pack_id")
-            .join(first_of("content_key").withColumnRenamed("first", "f2"), "content_key")
-            .filter("seq = f1 AND seq = f2")
-            .select("pack_id", "content_key", "seq")
-        )
         done += 1
-        walked = None
-        if done == rounds:
-            walked = settled(_walked(left, most))
-            sure = walked.filter("enters").select("pack_id", "content_key", "seq").unionByName(
-                sure.join(walked.select("seq"), "seq", "left_anti")
-            )
-        sure = settled(sure)
+        if done < rounds:
+            sure = settled(_firsts(left).filter("seq = first_of_id AND seq = first_of_content").select("pack_id", "content_key", "seq"))
+            open_ = left
+        else:
+            decided = _walked(left, most) if done == rounds else _chained(left)
+            decided = settled(decided)
+            sure = decided.filter("enters").select("pack_id", "content_key", "seq")
+            open_ = left.join(decided.select("seq"), "seq", "left_anti")
         admitted = admitted.unionByName(sure)
-        open_ = left if walked is None else left.join(walked.select("seq"), "seq", "left_anti")
         left = settled(
             open_.join(sure.select("pack_id"), "pack_id", "left_anti").join(
                 sure.select("content_key"), "content_key", "left_anti"
@@ -174,6 +170,54 @@ def _admit(arrivals: DataFrame, rounds: int = 4, most: int = 100_000) -> DataFra
     return admitted
 
 
+def _firsts(left: DataFrame) -> DataFrame:
+    """Arrivals with the earliest one of their id and of their content."""
+    first_of = lambda col, name: left.groupBy(col).agg(F.min("seq").alias(name))
+    return left.join(first_of("pack_id", "first_of_id"), "pack_id").join(first_of("content_key", "first_of_content"), "content_key")
+
+
+def _chained(left: DataFrame) -> DataFrame:
+    """Arrivals that are decided, with ``enters``: those with nothing before them, and all that hang on these by a chain.
+
+    An arrival with exactly one undecided arrival before it, by id or by content, enters exactly if that one does not. So
+    each such arrival points to the one before it, and every step lets it point twice as far, counting hops, until it meets a
+    decided one. Arrivals with two or more before them wait for the next round, and so does what hangs on them.
+    """
+    firsts = settled(_firsts(left))
+    second = lambda col, first, name: firsts.filter(F.col("seq") > F.col(first)).groupBy(col).agg(F.min("seq").alias(name))
+    placed = firsts.join(second("pack_id", "first_of_id", "second_of_id"), "pack_id", "left").join(
+        second("content_key", "first_of_content", "second_of_content"), "content_key", "left"
+    )
+    lone = lambda kind: F.col("seq") == F.col(f"first_of_{kind}")
+    next_ = lambda kind: F.coalesce(F.col("seq") == F.col(f"second_of_{kind}"), F.lit(False))
+    sure = lone("id") & lone("content")
+    by_id, by_content = next_("id") & lone("content"), next_("content") & lone("id")
+    # An arrival that is second for both hangs on one arrival only where that is the same one.
+    by_both = next_("id") & next_("content") & (F.col("first_of_id") == F.col("first_of_content"))
+    nodes = settled(
+        placed.filter(sure | by_id | by_content | by_both).select(
+            "pack_id", "content_key", "seq",
+            F.when(by_id | by_both, F.col("first_of_id")).when(by_content, F.col("first_of_content")).alias("to"),
+            F.lit(True).alias("odd"), F.when(sure, F.lit(True)).alias("enters"), F.lit(False).alias("stuck"),
+        )
+    )
+    # Only links that are still open are joined, and those point to different arrivals, so that no key is hot.
+    while not (open_ := nodes.filter("enters IS NULL AND NOT stuck")).isEmpty():
+        ahead = nodes.select(
+            F.col("seq").alias("to"), F.col("to").alias("far"), F.col("odd").alias("far_odd"), F.col("enters").alias("far_enters"), F.col("stuck").alias("far_stuck"), F.lit(True).alias("met")
+        )
+        met = F.col("met").isNotNull()
+        moved = open_.join(ahead, "to", "left").select(
+            "pack_id", "content_key", "seq",
+            F.when(F.col("far_enters").isNull() & met, F.col("far")).otherwise(F.col("to")).alias("to"),
+            F.when(F.col("far_enters").isNull() & met, F.col("odd") != F.col("far_odd")).otherwise(F.col("odd")).alias("odd"),
+            (F.col("far_enters") != F.col("odd")).alias("enters"),
+            (~met | F.coalesce("far_stuck", F.lit(False))).alias("stuck"),
+        )
+        nodes = settled(nodes.filter("enters IS NOT NULL OR stuck").unionByName(moved))
+    return nodes.filter("enters IS NOT NULL").select("pack_id", "content_key", "seq", "enters")
+
+
 def _walked(left: DataFrame, most: int) -> DataFrame:
     """Arrivals of chains of at most ``most``, with whether each enters."""
     ends = left.withColumns(

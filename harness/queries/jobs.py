@@ -290,7 +290,7 @@ def s4(spark, d):
 
 @query(
     "g6_library_import", [],
-    f"""WITH RECURSIVE {L.IMPORT.replace("lang AS k FROM documents)", "lang AS k FROM documents WHERE NOT (" + L.BROKEN_PACK + "))")}
+    f"""WITH RECURSIVE {L.import_sql(f"{L.ARRIVALS_SQL} WHERE NOT ({L.BROKEN_PACK})", L.STORED_SQL)}
         SELECT seq, action FROM walk WHERE i > 0 UNION ALL SELECT doc_id, 'reject' FROM documents WHERE {L.BROKEN_PACK}""",
 )
 def g6(spark, d):
@@ -299,14 +299,6 @@ def g6(spark, d):
     return pack_plan.import_library(incoming, L.stored_packs(spark, d), broken).select("seq", "action")
 
 
-# Import into an empty library: nothing stored can clash or be reused.
-EMPTY_IMPORT = (
-    L.IMPORT[: L.IMPORT.index("inc2 AS MAT")]
-    + "inc2 AS MATERIALIZED (SELECT inc.*, false AS clash, CAST(NULL AS VARCHAR) AS sid FROM inc),"
-    + L.IMPORT[L.IMPORT.index("walk AS") :]
-)
-
-
 # A manifest without faults, but for the id and name that each arrival brings.
 T_MANIFEST = (
     '{"schema_version":%d,"used_formats":[],"used_table_styles":[],"used_style_count":1,"format_part_count":1,"manual_formatting":{"paragraph_count":0,"run_count":0},'
@@ -316,7 +308,7 @@ T_MANIFEST = (
 
 @query(
     "t1_import_stream", [],
-    f"""WITH RECURSIVE {EMPTY_IMPORT.replace("lang AS k FROM documents)", "lang AS k FROM documents WHERE " + L.GOOD_NAME + ")")}
+    f"""WITH RECURSIVE {L.import_sql(f"{L.ARRIVALS_SQL} WHERE {L.GOOD_NAME}", L.NOTHING_STORED)}
         SELECT seq, action, library_id FROM walk WHERE i > 0 UNION ALL SELECT doc_id, 'reject', NULL FROM documents WHERE NOT ({L.GOOD_NAME})""",
 )
 def t1(spark, d):

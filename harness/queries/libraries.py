@@ -158,8 +158,15 @@ def stored_packs(spark, d):
 # Packs that a rule set turns away before the import.
 BROKEN_PACK = f"({PACK_ID}) LIKE '%7'"
 GOOD_NAME = f"NOT ({BROKEN_PACK})"
-IMPORT = f"""st AS (SELECT 'p' || (doc_id % 90) AS pack_id, sha256(text) || lang AS k FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
-    inc AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id AS seq, {PACK_ID} AS pack_id, sha256(text) AS fp, sha256(text) || lang AS k FROM documents),
+STORED_SQL = "SELECT 'p' || (doc_id % 90) AS pack_id, sha256(text) || lang AS k FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+NOTHING_STORED = "SELECT '' AS pack_id, '' AS k WHERE false"
+ARRIVALS_SQL = f"SELECT doc_id AS seq, {PACK_ID} AS pack_id, sha256(text) || lang AS k FROM documents"
+
+
+def import_sql(arrivals: str, stored: str) -> str:
+    """Arrivals (``seq, pack_id, k``) taken one by one: named subqueries that end in ``walk``."""
+    return f"""st AS ({stored}),
+    inc AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq) AS i, * FROM ({arrivals})),
     inc2 AS MATERIALIZED (SELECT inc.*, coalesce(bool_or(s.k <> inc.k), false) AS clash, (SELECT min(pack_id) FROM st t WHERE t.k = inc.k) AS sid FROM inc LEFT JOIN st s ON s.pack_id = inc.pack_id GROUP BY ALL),
     walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS ks, CAST(NULL AS BIGINT) AS seq, '' AS action, CAST(NULL AS VARCHAR) AS library_id
       UNION ALL SELECT n.i, CASE WHEN act = 'append' THEN list_append(ids, n.pack_id) ELSE ids END, CASE WHEN act = 'append' THEN list_append(ks, n.k) ELSE ks END, n.seq, act,
@@ -169,11 +176,29 @@ IMPORT = f"""st AS (SELECT 'p' || (doc_id % 90) AS pack_id, sha256(text) || lang
         FROM walk w JOIN inc2 n ON n.i = w.i + 1) n)"""
 
 
-@query("j20_import", [], f"WITH RECURSIVE {IMPORT} SELECT seq, action, library_id FROM walk WHERE i > 0")
+@query("j20_import", [], f"WITH RECURSIVE {import_sql(ARRIVALS_SQL, STORED_SQL)} SELECT seq, action, library_id FROM walk WHERE i > 0")
 def j20(spark, d):
     return library.import_packs(arrivals(spark, d), stored_packs(spark, d)).select("seq", "action", "library_id")
 
 
+# Chains of 1,000 arrivals: each shares its id with the one before or its content; every eleventh is a stranger's.
+CHAIN_ID = "concat('p', CAST(floor(doc_id / 1000) AS BIGINT), '-', CAST(floor((doc_id % 1000 + 1) / 2) AS BIGINT))"
+CHAIN_CONTENT = "concat('c', CAST(floor(doc_id / 1000) AS BIGINT), '-', CAST(CASE WHEN n_chars % 11 = 0 THEN floor((doc_id % 1000) / 5) ELSE floor((doc_id % 1000) / 2) END AS BIGINT))"
+
+
+@query(
+    "j20_long_chains", [],
+    f"""WITH RECURSIVE {import_sql(f"SELECT doc_id AS seq, {CHAIN_ID} AS pack_id, {CHAIN_CONTENT} AS k FROM documents", NOTHING_STORED)}
+        SELECT seq, action, library_id FROM walk WHERE i > 0""",
+)
+def j20_long_chains(spark, d):
+    """Chains longer than what one task may walk."""
+    rows = A.table(spark, d, "documents").select(
+        F.col("doc_id").alias("seq"), F.expr(CHAIN_ID).alias("pack_id"), F.expr(CHAIN_CONTENT).alias("fingerprint"), F.lit("").alias("identity")
+    )
+    return library.import_packs(rows, stored_packs(spark, d).filter("pack_id = ''"), most=10).select("seq", "action", "library_id")
+
+
 def turn_parts(spark, d):
     return A.turns(spark, d).select(F.col("pkg_id").alias("pack_id"), F.col("turn").cast("string").alias("name"), F.sha2("text", 256).alias("sha256"), "turn", "text")
 

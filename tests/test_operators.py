@@ -80,6 +80,42 @@ def test_import_of_a_long_chain(spark):
     assert [r.action for r in got] == want
 
 
+def one_by_one(rows):
+    ids, contents, out = {}, set(), []
+    for _, pack, content, _ in rows:
+        if ids.get(pack, content) != content:
+            out.append("conflict")
+        elif content in contents:
+            out.append("reuse")
+        else:
+            ids[pack] = content
+            contents.add(content)
+            out.append("append")
+    return out
+
+
+def test_chains_are_decided_in_few_rounds(spark, monkeypatch):
+    none = spark.createDataFrame([], "pack_id string, fingerprint string, identity string")
+    steps = []
+    kept = library.settled
+    monkeypatch.setattr(library, "settled", lambda df: steps.append(1) or kept(df))
+    for n in (64, 1000):
+        rows = [(i, f"p{(i + 1) // 2}", f"c{i // 2}", "x") for i in range(n)]
+        steps.clear()
+        got = library.import_packs(spark.createDataFrame(rows, "seq int, pack_id string, fingerprint string, identity string"), none, most=10).orderBy("seq").collect()
+        assert [r.action for r in got] == one_by_one(rows)
+        assert len(steps) <= 20 + n.bit_length()
+
+
+def test_tangles_longer_than_a_task_may_walk(spark):
+    rng = random.Random(8)
+    none = spark.createDataFrame([], "pack_id string, fingerprint string, identity string")
+    rows = [(i, f"p{rng.randint(0, 60)}", f"c{rng.randint(0, 60)}", "x") for i in range(150)]
+    rows += [(150 + i, f"q{(i + rng.randint(0, 2)) // 2}", f"d{i // 2}", "x") for i in range(100)]
+    got = library.import_packs(spark.createDataFrame(rows, "seq int, pack_id string, fingerprint string, identity string"), none, most=1).orderBy("seq").collect()
+    assert [r.action for r in got] == one_by_one(rows)
+
+
 def test_scan_rejects_without_failing(spark, tmp_path):
     def archive(names):
         out = io.BytesIO()
