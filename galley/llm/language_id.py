@@ -10,6 +10,7 @@ Arrays are laid out features first, so each time step is a few products and elem
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +21,15 @@ from pyspark.sql import functions as F
 
 from galley.llm.common import held_out, pick
 
+#: Letters, and the number signs that Python takes for word characters as well.
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+#: A document whose score is below this share of what its language usually gets is in none of the learned languages.
+LEAST_SHARE = 0.35
+
+
+def has_letter(text: str) -> bool:
+    return any(unicodedata.category(m[0])[0] == "L" for m in LETTER.finditer(text))
 
 
 @dataclass
@@ -34,6 +42,7 @@ class Network:
     v: np.ndarray  # (languages, 2h)
     c: np.ndarray  # (languages, 1)
     span: int
+    usual: np.ndarray | None = None  # mean probability of each language on the stretches it was learned from
 
     @property
     def hidden(self) -> int:
@@ -189,18 +198,22 @@ def probabilities(net: Network, texts: list[bytes], lanes: int = 1024) -> np.nda
     return sums / sizes[:, None]
 
 
-def sample(docs: DataFrame, per_lang: int, per_doc: int, span: int, most_langs: int, key: str, text: str, lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Stretches to learn from: at most ``per_lang`` documents of each of the ``most_langs`` most frequent languages, chosen
-    by the hash of their id, and ``per_doc`` stretches of each at places drawn from the same hash."""
+def sample(docs: DataFrame, per_lang: int, per_doc: int, span: int, most_docs: int, key: str, text: str, lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Stretches to learn from: at most ``per_lang`` documents of each language, and fewer where there are so many languages that
+    all together would be more than ``most_docs`` (but one of each); chosen by the hash of their id, ``per_doc`` stretches of
+    each at places drawn from the same hash. Every labelled language is learned."""
     rows = pick(docs, key, text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(text) != "") & ~held_out(key))
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_langs).collect()
+    counts = rows.groupBy(lang).count().collect()
     langs = sorted(r[lang] for r in counts)
     if not langs:
         return np.zeros((0, span), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), []
-    # About twice as many as needed by a share of the hash, then exactly as many by rank: nothing large is sorted.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[lang], min(1.0, 2.0 * per_lang / r["count"]))])
+    per_lang = max(1, min(per_lang, most_docs // len(langs)))
+    # About twice as many as needed by a share of the hash (all of a rare language), then exactly as many by rank: nothing large is sorted.
+    shares = [(r[lang], 1.0 if r["count"] <= 20 * per_lang and r["count"] < 1000 else min(1.0, 2.0 * per_lang / r["count"] + 0.001)) for r in counts]
+    # One row per label, and the network has weights for each label anyway.
+    share = docs.sparkSession.createDataFrame(shares, f"{lang} string, _share double")
     unit = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    near = rows.where(unit <= F.coalesce(share[F.col(lang)], F.lit(-1.0))).select(lang, text, F.xxhash64(F.col(key)).alias("h"))
+    near = rows.join(F.broadcast(share), lang).where(unit <= F.col("_share")).select(lang, text, F.xxhash64(F.col(key)).alias("h"))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,21 +236,39 @@ def sample(docs: DataFrame, per_lang: int, per_doc: int, span: int, most_langs:
     return body, np.array([len(b) for b in bits], np.int64), labels, langs
 
 
-def fit(docs: DataFrame, per_lang: int = 600, per_doc: int = 6, span: int = 64, most_langs: int = 100, hidden: int = 8, steps: int = 200, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
+def usual_scores(net: Network, body: np.ndarray, sizes: np.ndarray, labels: np.ndarray, lanes: int = 1024) -> np.ndarray:
+    """Mean probability that each language's own stretches get for it."""
+    sums, count = np.zeros(len(net.langs)), np.zeros(len(net.langs))
+    for lo in range(0, len(body), lanes):
+        _, p = _forward(net, np.ascontiguousarray(body[lo : lo + lanes].T))
+        mine, held = labels[lo : lo + lanes], sizes[lo : lo + lanes]
+        own = p[mine, :, np.arange(len(mine))]
+        own = np.where(np.arange(own.shape[1])[None, :] < held[:, None], own, 0).sum(axis=1)
+        sums += np.bincount(mine, own, len(net.langs))
+        count += np.bincount(mine, held, len(net.langs))
+    return sums / np.maximum(count, 1)
+
+
+def fit(docs: DataFrame, per_lang: int = 600, per_doc: int = 6, span: int = 64, most_docs: int = 60_000, hidden: int = 8, steps: int = 200, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
     """Train on the bounded sample; None if there is nothing to learn from. Labels of held-out documents are never read."""
-    body, sizes, labels, langs = sample(docs, per_lang, per_doc, span, most_langs, key, text, lang)
-    return train(body, sizes, labels, langs, hidden, steps) if langs else None
+    body, sizes, labels, langs = sample(docs, per_lang, per_doc, span, most_docs, key, text, lang)
+    if not langs:
+        return None
+    net = train(body, sizes, labels, langs, hidden, steps)
+    net.usual = usual_scores(net, body, sizes, labels)
+    return net
 
 
 def identify(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key, *keep, held_out, lang_pred, score`` of every document; the score is the mean probability of the language.
+    """``key, *keep, held_out, lang_pred, score, sure`` of every document; the score is the mean probability of the language, and
+    it is sure if it is at least LEAST_SHARE of what that language's own stretches got when they were learned.
 
     Null texts and texts without a letter are ``und`` with score 0; so is everything if there was nothing to learn from.
     Repeated rows each get a row, an empty table gives none, other columns are ignored. Each task holds 200 texts at a time.
     """
     rows = pick(docs, *dict.fromkeys((key, *keep, text))).select(key, *keep, F.col(text).alias("_body"), held_out(key).alias("held_out"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    schema = rows.drop("_body").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    schema = rows.drop("_body").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).withColumn("sure", F.lit(False)).schema
     at = rows.columns.index("_body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,13 +277,14 @@ def identify(docs: DataFrame, net: Network | None, key: str = "doc_id", text: st
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
                 texts = part.column(at).to_pylist()
-                known = [i for i, t in enumerate(texts) if model is not None and t and LETTER.search(t)]
-                best, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+                known = [i for i, t in enumerate(texts) if model is not None and t and has_letter(t)]
+                best, score, sure = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
                 p = probabilities(model, [texts[i].encode() for i in known]) if known else np.zeros((0, 1))
                 for i, row in zip(known, p):
                     k = int(row.argmax())
                     best[i], score[i] = model.langs[k], float(min(1.0, row[k]))
+                    sure[i] = bool(row[k] >= LEAST_SHARE * model.usual[k])
                 cols = [c for i, c in enumerate(part.columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[f.name for f in schema.fields])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.bool_())], names=[f.name for f in schema.fields])
 
     return rows.mapInArrow(run, schema)

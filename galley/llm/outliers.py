@@ -21,6 +21,11 @@ AXES = ("length", "word_size", "symbols", "lines", "repeats")
 FLOOR = {"length": 0.3, "word_size": 0.05, "symbols": 0.1, "lines": 0.1, "repeats": 0.1}
 
 
+def window_hash(words: str = "words", at: str = "i") -> str:
+    """SQL for the hash that brings equal 3-word windows together."""
+    return f"xxhash64({words}[{at}], {words}[{at} + 1], {words}[{at} + 2])"
+
+
 def statistics(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``key, *keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines`` of every text; null text has none."""
     rows = pick(df, key, *keep, text).withColumn(text, F.coalesce(F.col(text), F.lit("")))
@@ -34,11 +39,11 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tup
     long = f"size(words) > {1 << POSITION_BITS}"
     windows = F.expr(
         f"""if(size(words) < 3 or {long}, cast(array() as array<bigint>),
-            transform(sequence(0, size(words) - 3), i -> shiftleft(xxhash64(words[i], words[i + 1], words[i + 2]), {POSITION_BITS}) + i))"""
+            transform(sequence(0, size(words) - 3), i -> shiftleft({window_hash()}, {POSITION_BITS}) + i))"""
     )
     apart = F.expr(
         f"""if(size(words) < 3 or not {long}, cast(array() as array<struct<h: bigint, i: int>>),
-            transform(sequence(0, size(words) - 3), i -> named_struct('h', xxhash64(words[i], words[i + 1], words[i + 2]), 'i', i)))"""
+            transform(sequence(0, size(words) - 3), i -> named_struct('h', {window_hash()}, 'i', i)))"""
     )
     sorted_ = base.select("*", F.sort_array(windows).alias("s"), F.sort_array(apart).alias("a"))
     # Only windows that have a neighbour of the same hash go on.
@@ -51,9 +56,14 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tup
         and words[cast(a & {mask} as int) + 1] = words[cast(b & {mask} as int) + 1]
         and words[cast(a & {mask} as int) + 2] = words[cast(b & {mask} as int) + 2]"""
     near = twins.select("*", F.expr(f"zip_with(s, slice(s, 2, size(s)), {same})").alias("eq"))
-    hit = near.select("*", F.expr(f"sort_array(transform(filter(s, (x, i) -> eq[i] or coalesce(get(eq, i - 1), false)), x -> x & {mask}))").alias("p"))
-    alike = "x.h = get(a, k {0} 1).h and words[x.i] = words[get(a, k {0} 1).i] and words[x.i + 1] = words[get(a, k {0} 1).i + 1] and words[x.i + 2] = words[get(a, k {0} 1).i + 2]"
-    far = f"filter(a, (x, k) -> coalesce({alike.format('+')}, false) or coalesce({alike.format('-')}, false))"
+    # Equal windows may have others of the same hash between them: where no neighbour is equal, the whole list is looked through.
+    other = f"""exists(s, y -> y <> x and shiftright(x ^ y, {POSITION_BITS}) = 0 and words[cast(x & {mask} as int)] = words[cast(y & {mask} as int)]
+        and words[cast(x & {mask} as int) + 1] = words[cast(y & {mask} as int) + 1] and words[cast(x & {mask} as int) + 2] = words[cast(y & {mask} as int) + 2])"""
+    hit = near.select("*", F.expr(f"sort_array(transform(filter(s, (x, i) -> eq[i] or coalesce(get(eq, i - 1), false) or {other}), x -> x & {mask}))").alias("p"))
+    alike = "x.h = {0}.h and words[x.i] = words[{0}.i] and words[x.i + 1] = words[{0}.i + 1] and words[x.i + 2] = words[{0}.i + 2]"
+    after, ahead = "get(a, k + 1)", "get(a, k - 1)"
+    twin_far = f"(coalesce({after}.h = x.h, false) or coalesce({ahead}.h = x.h, false)) and exists(a, y -> y.i <> x.i and {alike.format('y')})"
+    far = f"filter(a, (x, k) -> coalesce({alike.format(after)}, false) or coalesce({alike.format(ahead)}, false) or ({twin_far}))"
     hit = hit.withColumn("p", F.expr(f"if({long}, sort_array(transform({far}, x -> cast(x.i as bigint))), p)"))
     covered = F.expr("coalesce(aggregate(zip_with(p, slice(p, 2, size(p)), (a, b) -> least(coalesce(b - a, 3), 3)), 0L, (t, x) -> t + x), 0L)")
     return hit.select(
@@ -166,7 +176,9 @@ def robust_outliers(
     stats = statistics(df, key, text, group)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed).withColumns(axes())
-    stats = checkpointed(stats.withColumns({lang: F.coalesce(F.col(lang).cast("string"), F.lit("")), source: F.coalesce(F.col(source).cast("string"), F.lit(""))}))
+    # A null is a group apart from the empty name.
+    named = lambda c: F.when(F.col(c).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
+    stats = checkpointed(stats.withColumns({lang: named(lang), source: named(source)}))
     clean = stats.where(~F.col("base_failed"))
     # Each group is estimated from its own rows, or from the next wider group that is large enough.
     sizes = clean.groupBy(lang, source).agg(F.count("*").alias("n"))

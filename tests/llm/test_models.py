@@ -57,6 +57,45 @@ def test_language_accuracy_and_awkward_rows(spark, frame, docs):
     assert nothing is None and language_id.identify(frame([(1, "text")]), nothing).first().lang_pred == "und"
 
 
+def slow_probabilities(net, raw):
+    """The network walked a byte at a time: mean probabilities over all positions."""
+    logistic = lambda x: 1 / (1 + np.exp(-x))
+    total = np.zeros(len(net.langs))
+    for lo in range(0, len(raw), net.span):
+        piece = raw[lo : lo + net.span].ljust(net.span, b" ")
+        states = []
+        for x, u, order in ((net.x[0], net.u[0], range(net.span)), (net.x[1], net.u[1], range(net.span - 1, -1, -1))):
+            h, s, out = net.hidden, np.zeros(net.hidden), {}
+            for t in order:
+                into = x[:, piece[t]].astype(float)
+                z, r = logistic(into[:h] + u[:h] @ s), logistic(into[h : 2 * h] + u[h : 2 * h] @ s)
+                cand = np.tanh(into[2 * h :] + r * (u[2 * h :] @ s))
+                s = z * s + (1 - z) * cand
+                out[t] = s
+            states.append(out)
+        for t in range(min(net.span, len(raw) - lo)):
+            e = net.v @ np.concatenate([states[0][t], states[1][t]]) + net.c[:, 0]
+            e = np.exp(e - e.max())
+            total += e / e.sum()
+    return total / max(1, len(raw))
+
+
+def test_number_signs_are_no_letters_and_every_label_is_learned(frame, spark):
+    net = language_id.fresh(["es", "en"], 2, 8)
+    net.usual = np.full(2, 0.5)
+    out = language_id.identify(frame([(1, "½ ² ①"), (2, "Ⅷ"), (3, "٣ 12 _"), (4, "½ a"), (5, "ⁿ")]), net).collect()
+    assert [r.lang_pred != "und" for r in out] == [False, False, False, True, True]
+    rows = [(i, f"word{i % 130} " * 20, f"l{i % 130:03}") for i in range(900)]
+    *_, langs = language_id.sample(frame(rows), 600, 2, 64, 260, "doc_id", "text", "lang")
+    assert langs == sorted({lang for _, _, lang in rows})
+
+
+def test_network_equals_a_slow_walk():
+    net = language_id.fresh(["a", "b", "c"], 4, 16)
+    texts = [b"", b"some bytes", bytes(range(100, 151))]
+    assert np.allclose(language_id.probabilities(net, texts), [slow_probabilities(net, t) for t in texts], atol=1e-4)
+
+
 def test_predictions_do_not_read_labels(frame, docs):
     net = language_id.fit(docs, steps=20)
     texts = [r.text for r in docs.limit(20).collect()]

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,46 @@ def test_statistics_of_texts_beyond_the_packed_positions(frame, monkeypatch):
     assert sorted(map(str, [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got])) == sorted(map(str, want))
 
 
+def test_equal_windows_with_others_of_the_same_hash_between_them(frame, monkeypatch):
+    monkeypatch.setattr(outliers, "window_hash", lambda words="words", at="i": f"pmod(xxhash64({words}[{at}], {words}[{at} + 1], {words}[{at} + 2]), 8L)")
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(12)], k=n))) for i, n in enumerate([3, 40, 200, 400])]
+    for bits in (24, 5):
+        monkeypatch.setattr(outliers, "POSITION_BITS", bits)
+        got = {r.doc_id: r.n_repeat_words for r in outliers.statistics(frame(rows)).collect()}
+        assert got == {d: brute_statistics(t)[4] for d, t in rows}
+
+
+def test_null_and_empty_names_are_groups_of_their_own(frame):
+    rng = random.Random(12)
+    vocabulary = [f"word{i}" for i in range(5000)]
+    plain = lambda n: " ".join(rng.sample(vocabulary, n))
+    rows = [(i, plain(100), None if i % 2 else "", "s") for i in range(200)]
+    rows = [(d, " ".join(w + "$$" for w in t.split()) if lang is None else t, lang, s) for d, t, lang, s in rows]
+    assert all(r.kept for r in outliers.robust_outliers(frame(rows)).collect())
+
+
+def test_minimum_covariance_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    n, k = 400, len(outliers.AXES)
+    mix = rng.normal(size=(k, k))
+    x = np.round(rng.normal(size=(n, k)) @ mix, 3)
+    x[:40] += 25
+    rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, " + ", ".join(f"{a} double" for a in outliers.AXES))
+    (got,) = outliers.minimum_covariance(rows, ["g"]).collect()
+    floor = np.array([outliers.FLOOR[a] for a in outliers.AXES])
+    centre = np.median(x, axis=0)
+    factor = np.diag(np.sqrt((1.4826 * np.median(np.abs(x - centre), axis=0)) ** 2 + floor**2))
+    for _ in range(3):
+        y = np.linalg.solve(factor, (x - centre).T)
+        bins = np.floor(np.log((y**2).sum(axis=0) + 1e-6) * 64)
+        near = x[bins <= np.percentile(bins, 75)]
+        centre = near.mean(axis=0)
+        factor = np.linalg.cholesky(np.cov(near.T, bias=True) + np.diag(floor**2))
+    assert np.allclose([got[f"m_{i}"] for i in range(k)], centre, atol=1e-6)
+    assert np.allclose([[got[f"l_{i}_{j}"] if j <= i else 0 for j in range(k)] for i in range(k)], factor, atol=1e-6)
+
+
 def test_an_outlier_on_each_axis_is_rejected(frame):
     rng = random.Random(10)
     vocabulary = [f"word{i:04}" for i in range(5000)]
