@@ -12,8 +12,6 @@ from galley.llm import decontaminate, fm_dedup, language_id, near_dup, packing
 from galley.llm.common import pick, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document whose best language has a lower mean probability than this is in none of the learned languages.
-LEAST_SCORE = 0.3
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -21,11 +19,13 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters and those of no learned language go; a missing language is filled in."""
+    """Documents without letters and those of no learned language go; a missing language is filled in.
+
+    Null and empty texts have no letters; repeated rows are judged alike and all stay.
+    """
     docs = _documents(docs)
     named = language_id.identify(docs, language_id.fit(docs), keep=("text", "lang", "source", "n_chars"))
-    sure = named.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return sure.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    return named.where("sure").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
