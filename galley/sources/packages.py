@@ -8,13 +8,15 @@ instead of failing the job.
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -158,18 +160,192 @@ def inventory(files: DataFrame, role: str = "source") -> DataFrame:
     return _unpacked(files, role, _directory).filter(F.col("fault").isNull()).drop("content", "fault")
 
 
+# --- reading ranges of files ----------------------------------------------------------
+#
+# The sources above take a file's bytes as one value. These open files where they lie: the directory at a file's end tells
+# what is inside, and members are then read by themselves, so no task holds more than one member.
+
+#: Compressed bytes that one task inflates of one file, unless a single member is larger.
+_SLOT_BYTES = 32 * R.MIB
+DIRECTORY = "pkg_id string, name string, ord int, file_size bigint, compress_size bigint, compress_type int, flag_bits int, is_dir boolean, crc bigint, at bigint, fault string, bytes_read bigint"
+
+
+class _Counted(io.RawIOBase):
+    """A file opened for reading ranges, with the number of bytes it was asked for."""
+
+    def __init__(self, path: str):
+        scheme, found, rest = path.partition(":")
+        local = not found or (scheme == "file")
+        source, name = (fs.LocalFileSystem(), (rest if found else path).removeprefix("//")) if local else fs.FileSystem.from_uri(path)
+        self.file, self.count = source.open_input_file(name), 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        to = offset + (0, self.file.tell(), self.file.size())[whence]
+        if to < 0:
+            raise OSError("seek before the start of the file")
+        return self.file.seek(to)
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def read(self, size: int = -1) -> bytes:
+        data = self.file.read(None if size is None or size < 0 else size)
+        self.count += len(data)
+        return data
+
+    def close(self) -> None:
+        self.file.close()
+        super().close()
+
+
+def listed(spark: SparkSession, folder: str, role: str = "source") -> DataFrame:
+    """``path, length`` of the files a role accepts; their bytes are not read."""
+    return read_files(spark, folder, role).select("path", "length")
+
+
+def directories(files: DataFrame, role: str = "source") -> DataFrame:
+    """ZIP directories of files by reading their ends: one row per member, and one per file with its fault, if any, and the
+    number of bytes read. Files over the byte cap are not opened; one that cannot be opened is ``unreadable``."""
+    schema = to_arrow_schema(StructType.fromDDL(DIRECTORY))
+    cap = _FILE_CAP[role]
+
+    def rows(path: str, length: int) -> Iterator[dict]:
+        if length > cap:
+            yield {"pkg_id": path, "fault": "file_too_large", "bytes_read": 0}
+            return
+        try:
+            file = _Counted(path)
+        except OSError:
+            yield {"pkg_id": path, "fault": "unreadable", "bytes_read": 0}
+            return
+        with file:
+            infos, fault = [], None
+            try:
+                if not zipfile.is_zipfile(file):
+                    fault = "not_a_zip"
+                else:
+                    infos = zipfile.ZipFile(file).infolist()
+                    if all(i.is_dir() for i in infos):
+                        fault = "empty_archive"
+                    elif _too_large(infos):
+                        fault = "over_limits"
+            except (zipfile.BadZipFile, NotImplementedError, ValueError):
+                fault = "corrupt"
+            yield {"pkg_id": path, "fault": fault, "bytes_read": file.count}
+        for ord_, info in enumerate(infos):
+            yield _entry(path, ord_, info) | {"crc": info.CRC, "at": info.header_offset}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending = []
+        for batch in batches:
+            for path, length in zip(batch["path"].to_pylist(), batch["length"].to_pylist()):
+                for row in rows(path, length):
+                    pending.append(row)
+                    if len(pending) >= _BATCH_ROWS:
+                        yield pa.RecordBatch.from_pylist(pending, schema=schema)
+                        pending = []
+        yield pa.RecordBatch.from_pylist(pending, schema=schema)
+
+    # A file is a row of a few bytes: they are dealt out so that opening them is spread.
+    return files.select("path", "length").repartition("path").mapInArrow(read, DIRECTORY)
+
+
+def _inflated(file: _Counted, row: dict) -> bytes:
+    """One member's bytes, read by its own range; never more than the directory declares."""
+    file.seek(row["at"])
+    head = file.read(30)
+    if len(head) < 30 or head[:4] != b"PK\x03\x04":
+        raise zipfile.BadZipFile("no local header")
+    name, extra = struct.unpack("<HH", head[26:30])
+    file.seek(name + extra, 1)
+    data = file.read(row["compress_size"])
+    if row["compress_type"] == R.DEFLATED:
+        reader = zlib.decompressobj(-15)
+        data = reader.decompress(data, row["file_size"] + 1)
+        if not reader.eof and len(data) == row["file_size"]:
+            data += reader.decompress(reader.unconsumed_tail, 1)
+    if len(data) != row["file_size"] or zlib.crc32(data) != row["crc"]:
+        raise zipfile.BadZipFile("other bytes than declared")
+    return data
+
+
+def inflate(directory: DataFrame) -> DataFrame:
+    """Members with their contents, as :func:`scan` gives them, of the files whose directories passed.
+
+    Members of one file go to as many tasks as their bytes ask for, each of which opens the file once.
+    """
+    schema = to_arrow_schema(StructType.fromDDL(MEMBERS))
+    faults = directory.filter("fault IS NOT NULL").select("pkg_id", "fault")
+    wanted = directory.filter("name IS NOT NULL").join(faults.select("pkg_id").distinct(), "pkg_id", "left_anti")
+    # At most 10,000 members per file have passed the limits.
+    before = Window.partitionBy("pkg_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    placed = wanted.withColumn("slot", F.floor(F.coalesce(F.sum("compress_size").over(before), F.lit(0)) / _SLOT_BYTES))
+
+    def content(file: _Counted, row: dict) -> Iterator[dict]:
+        kept = {k: row[k] for k in ("pkg_id", "name", "ord", "file_size", "compress_size", "compress_type", "flag_bits", "is_dir")}
+        if row["is_dir"]:
+            yield kept
+            return
+        try:
+            data = _inflated(file, row)
+        except (zipfile.BadZipFile, zlib.error, OSError, struct.error):
+            yield {"pkg_id": row["pkg_id"], "fault": "corrupt", "name": row["name"]}
+            return
+        if row["name"].lower().endswith((".xml", ".rels")) and not _readable_xml(data):
+            yield {"pkg_id": row["pkg_id"], "fault": "malformed_xml", "name": row["name"]}
+        yield kept | {"content": data}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending, held, file, opened = [], 0, None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if opened != row["pkg_id"]:
+                    if file is not None:
+                        file.close()
+                    file, opened = _Counted(row["pkg_id"]), row["pkg_id"]
+                for out in content(file, row):
+                    pending.append(out)
+                    held += len(out.get("content") or b"")
+                if held > _BATCH_BYTES or len(pending) >= _BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(pending, schema=schema)
+                    pending, held = [], 0
+        if file is not None:
+            file.close()
+        yield pa.RecordBatch.from_pylist(pending, schema=schema)
+
+    dealt = placed.repartition("pkg_id", "slot").sortWithinPartitions("pkg_id", "ord").drop("slot", "fault", "bytes_read")
+    return dealt.mapInArrow(read, MEMBERS).unionByName(faults, allowMissingColumns=True)
+
+
+def store_ranges(spark: SparkSession, folder: str, into: str, role: str = "source") -> DataFrame:
+    """:func:`store_scan` of a folder by ranges: directories first, and only members of files within the limits are inflated."""
+    directories(listed(spark, folder, role), role).write.mode("overwrite").parquet(f"{into}/directories")
+    directory = spark.read.schema(DIRECTORY).parquet(f"{into}/directories")
+    return _stored(inflate(directory), into)
+
+
 def store_scan(files: DataFrame, folder: str, role: str = "source") -> DataFrame:
     """Scan files once into a table that every reader starts from.
 
     The table is partitioned by what a member is for, so a reader of styles opens
     the style parts alone. A repeated run replaces it.
     """
+    return _stored(scan(files, role), folder)
+
+
+def _stored(scanned: DataFrame, folder: str) -> DataFrame:
     kind = F.when(F.col("fault").isNotNull(), F.lit("fault"))
     for name, pattern in R.MEMBER_KINDS:
         kind = kind.when(F.col("name").rlike(pattern), F.lit(name))
-    scanned = scan(files, role).withColumn("kind", kind.otherwise(F.lit("other")))
+    scanned = scanned.withColumn("kind", kind.otherwise(F.lit("other")))
     scanned.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/scan")
-    return files.sparkSession.read.schema(f"{MEMBERS}, kind string").parquet(f"{folder}/scan")
+    return scanned.sparkSession.read.schema(f"{MEMBERS}, kind string").parquet(f"{folder}/scan")
 
 
 def members(scanned: DataFrame) -> DataFrame:

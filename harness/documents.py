@@ -154,3 +154,21 @@ def archives(spark: SparkSession, d: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("name", "content"))).alias("parts")
     )
     return grouped.mapInArrow(pack, ddl)
+
+
+def files(spark: SparkSession, d: str, folder: str) -> str:
+    """The packages as files below a folder that all executors share; returns the folder."""
+    import os
+
+    target = folder.removeprefix("file:")
+    os.makedirs(target, exist_ok=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                with open(f"{target}/{path}", "wb") as out:
+                    out.write(data)
+            yield pa.RecordBatch.from_arrays([batch["path"]], names=["path"])
+
+    archives(spark, d).mapInArrow(write, "path string").count()
+    return folder

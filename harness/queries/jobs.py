@@ -69,6 +69,32 @@ def s2(spark, d):
     return inv.select("pkg_id", "name", "is_dir", F.col("compress_type").cast("bigint").alias("compress_type"))
 
 
+BASE_NAME = "substring_index(pkg_id, '/', -1)"
+
+
+@query(
+    "s1_by_ranges", ["doc"],
+    f"""SELECT pkg_id || '.docx' AS pkg_id, CASE WHEN {CUT} THEN 'not_a_zip' WHEN {EMPTY} THEN 'empty_archive' WHEN {BROKEN} THEN 'malformed_xml' WHEN pkg_id % 13 = 5 THEN 'missing_part' ELSE 'accepted' END AS rule,
+        CASE WHEN {CUT} OR {EMPTY} THEN 0 WHEN {BROKEN} OR pkg_id % 13 = 5 THEN 0 ELSE {len(FILES)} END AS members FROM doc""",
+)
+def s1_by_ranges(spark, d):
+    """Files on disk, read by ranges: directories first, then only the members of files that passed."""
+    scanned = packages.store_ranges(spark, D.files(spark, d, f"{scratch(spark)}/files"), scratch(spark))
+    good = packages.members(scanned).join(packages.accepted(scanned), "pkg_id", "left_semi").groupBy("pkg_id").agg(F.count(F.lit(1)).cast("int").alias("members"))
+    every = good.select("pkg_id", F.lit("accepted").alias("rule"), "members").unionByName(packages.rejects(scanned).select("pkg_id", "rule", F.lit(0).alias("members")))
+    return every.withColumn("pkg_id", F.expr(BASE_NAME))
+
+
+@query(
+    "s2_by_ranges", ["doc"],
+    f"""SELECT pkg_id, name, false AS is_dir, CAST(8 AS BIGINT) AS compress_type FROM ({FILE_SQL}) WHERE NOT (id % 13 = 5 AND name = 'word/styles.xml')""",
+)
+def s2_by_ranges(spark, d):
+    """Directories read from the ends of files on disk."""
+    found = packages.directories(packages.listed(spark, D.files(spark, d, f"{scratch(spark)}/files"))).filter("name IS NOT NULL")
+    return found.select(F.expr(BASE_NAME).alias("pkg_id"), "name", "is_dir", F.col("compress_type").cast("bigint").alias("compress_type"))
+
+
 PPR_TEXT = """concat_ws(' ', 'ind(' || CASE WHEN coalesce(ind_left, ind_chars) IS NOT NULL THEN concat_ws(';', 'firstLineChars=' || ind_chars, 'left=' || ind_left) END || ')', 'jc(val=' || jc || ')',
     'numPr(' || CASE WHEN coalesce(num_id, ilvl_raw) IS NOT NULL THEN concat_ws(';', 'ilvl=' || ilvl_raw, 'numId=' || num_id) END || ')', 'outlineLvl(val=' || direct_outline || ')',
     'pStyle(val=' || style_id || ')', 'spacing(before=' || sp_before || ')')"""
