@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from itertools import islice
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -75,73 +77,103 @@ def _bag(node: ET.Element | None) -> list[tuple[str, list[tuple[str, str]]]] | N
     return list(bag.items())
 
 
-def _is_plain(paragraph: ET.Element) -> bool:
-    for child in paragraph:
-        if _local(child) in _HARMLESS:
-            continue
-        if _local(child) != "r":
-            return False
-        if any(_local(x) not in ("rPr", "t", "tab") for x in child):
-            return False
-    return True
-
-
 def _text(run: ET.Element) -> str:
     return "".join(
         (x.text or "") if _local(x) == "t" else "\t" for x in run if _local(x) in ("t", "tab")
     )
 
 
-def _content_rows(root: ET.Element) -> Iterator[dict]:
-    """Nodes in document order; the order is counted per kind."""
+#: Containers of a row, with the child that holds their properties and the property that names their style.
+_OWNERS = {
+    "p": ("paragraph", "pPr", "pStyle"),
+    "r": ("run", "rPr", "rStyle"),
+    "tbl": ("table", "tblPr", "tblStyle"),
+}
+#: Property containers that are rows by themselves.
+_BARE = {"trPr": "row", "tcPr": "cell", "sectPr": "section"}
+_PROPERTIES = {"pPr", "rPr", "tblPr", *_BARE}
+_FEED = 1 << 16
+
+
+@dataclass
+class _Open:
+    """An element whose end has not been read: where it stands, and what its children have told so far."""
+
+    node: ET.Element
+    name: str
+    in_cell: bool
+    para: int | None
+    table: int | None
+    ord: int = -1
+    plain: bool = True
+    texts: list[str] = field(default_factory=list)
+
+
+def _content_rows(data: bytes) -> Iterator[dict]:
+    """Nodes of a content part; the order is counted per kind, from where elements begin.
+
+    The part is read piece by piece. An element is let go as soon as it ends, but for properties, which stay until their owner
+    ends, so memory follows the largest paragraph and not the part.
+    """
     counts = dict.fromkeys(("paragraph", "run", "table", "row", "cell", "section", "revision"), -1)
-    containers = {
-        "p": ("paragraph", "pPr", "pStyle"),
-        "r": ("run", "rPr", "rStyle"),
-        "tbl": ("table", "tblPr", "tblStyle"),
-    }
-    bare = {"trPr": "row", "tcPr": "cell", "sectPr": "section"}
-    stack = [(root, False, None, None)]
-    while stack:
-        node, in_cell, para, table = stack.pop()
-        name = _local(node)
-        if name in containers:
-            kind, holder, style = containers[name]
-            counts[kind] += 1
-            props = _child(node, holder)
-            row = {
-                "kind": kind,
-                "ord": counts[kind],
-                "parent_ord": {"paragraph": None, "run": para, "table": table}[kind],
-                "style_id": _get(_child(props, style)),
-                "has_bag": props is not None,
-                "bag": _bag(props),
-                "in_table": in_cell,
-            }
-            if kind == "paragraph":
-                para = counts[kind]
-                runs = [c for c in node if _local(c) == "r"]
-                row |= {"plain": _is_plain(node), "text": "".join(map(_text, runs))}
-            elif kind == "run":
-                row["text"] = _text(node)
-            else:
-                table = counts[kind]
-            yield row
-        elif name in bare:
-            kind = bare[name]
-            counts[kind] += 1
-            yield {
-                "kind": kind,
-                "ord": counts[kind],
-                "parent_ord": table,
-                "has_bag": True,
-                "bag": _bag(node),
-            }
-        elif name in _REVISIONS:
-            counts["revision"] += 1
-            yield {"kind": "revision", "ord": counts["revision"], "revised": True}
-        in_cell = in_cell or name == "tc"
-        stack.extend((c, in_cell, para, table) for c in reversed(node))
+    parser = ET.XMLPullParser(("start", "end"))
+    stack: list[_Open] = []
+    held = 0  # open property containers
+    for lo in range(0, len(data), _FEED):
+        parser.feed(data[lo : lo + _FEED])
+        for event, node in parser.read_events():
+            if event == "start":
+                name = _local(node)
+                up = stack[-1] if stack else _Open(node, "", False, None, None)
+                # What is inside a paragraph or a table belongs to it; the element itself to what is around it.
+                para = up.ord if up.name == "p" else up.para
+                table = up.ord if up.name == "tbl" else up.table
+                here = _Open(node, name, up.in_cell or up.name == "tc", para, table)
+                kind = _OWNERS[name][0] if name in _OWNERS else _BARE.get(name)
+                if kind:
+                    counts[kind] += 1
+                    here.ord = counts[kind]
+                elif name in _REVISIONS:
+                    counts["revision"] += 1
+                    yield {"kind": "revision", "ord": counts["revision"], "revised": True}
+                held += name in _PROPERTIES
+                stack.append(here)
+                continue
+            here = stack.pop()
+            name, up = here.name, stack[-1] if stack else None
+            held -= name in _PROPERTIES
+            if name in _OWNERS:
+                kind, holder, style = _OWNERS[name]
+                props = _child(node, holder)
+                row = {
+                    "kind": kind,
+                    "ord": here.ord,
+                    "parent_ord": {"paragraph": None, "run": here.para, "table": here.table}[kind],
+                    "style_id": _get(_child(props, style)),
+                    "has_bag": props is not None,
+                    "bag": _bag(props),
+                    "in_table": here.in_cell,
+                }
+                if kind == "paragraph":
+                    row |= {"plain": here.plain, "text": "".join(here.texts)}
+                elif kind == "run":
+                    row["text"] = _text(node)
+                yield row
+            elif name in _BARE:
+                yield {"kind": _BARE[name], "ord": here.ord, "parent_ord": here.table, "has_bag": True, "bag": _bag(node)}
+            if up is None:
+                continue
+            if up.name == "p":
+                if name == "r":
+                    up.texts.append(row["text"])
+                    up.plain = up.plain and here.plain
+                else:
+                    up.plain = up.plain and name in _HARMLESS
+            elif up.name == "r":
+                up.plain = up.plain and name in ("rPr", "t", "tab")
+            if not held and name not in _PROPERTIES and up.name != "r":
+                up.node.remove(node)
+    parser.close()
 
 
 def _style_rows(root: ET.Element) -> Iterator[dict]:
@@ -256,8 +288,17 @@ def _settings_rows(root: ET.Element) -> Iterator[dict]:
         yield {"ord": ord_, "tag": _local(node), "attrs": _attrs(node)}
 
 
-def _parse(parts: DataFrame, rows: Callable, ddl: str, extra: Callable | None = None) -> DataFrame:
-    """Run a row generator over member contents.
+def readable_xml(data: bytes) -> bool:
+    """Whether a part is well formed; nothing of it is kept."""
+    try:
+        expat.ParserCreate().Parse(data, True)
+    except expat.ExpatError:
+        return False
+    return True
+
+
+def _parse(parts: DataFrame, rows: Callable, ddl: str, extra: Callable | None = None, streamed: bool = False) -> DataFrame:
+    """Run a row generator over member contents, as a tree or, ``streamed``, as the bytes of a well-formed part.
 
     Files with unreadable XML are rejected by the scan; here such a part gives no rows.
     """
@@ -269,8 +310,9 @@ def _parse(parts: DataFrame, rows: Callable, ddl: str, extra: Callable | None =
         for pkg_id, name, data in zip(
             batch["pkg_id"].to_pylist(), batch["name"].to_pylist(), batch["content"]
         ):
+            raw = data.as_py()
             try:
-                root = ET.fromstring(data.as_py())
+                root = raw if streamed and readable_xml(raw) else ET.fromstring(raw)
             except ET.ParseError:
                 continue
             fixed = {"pkg_id": pkg_id} | (extra(name) if extra else {})
@@ -289,7 +331,7 @@ def _parse(parts: DataFrame, rows: Callable, ddl: str, extra: Callable | None =
 def content(parts: DataFrame) -> DataFrame:
     """Paragraphs, runs, tables, rows, cells and sections of content parts."""
     chosen = parts.filter(is_content_part(F.col("name")))
-    return _parse(chosen, _content_rows, S.NODES, lambda name: {"part": name})
+    return _parse(chosen, _content_rows, S.NODES, lambda name: {"part": name}, streamed=True)
 
 
 def relationships(parts: DataFrame) -> DataFrame:
