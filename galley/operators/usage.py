@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from galley.functions.props import (
+    BAG,
     alignment_profile,
     bag_attr,
     dropped,
@@ -22,7 +23,7 @@ from galley.functions.props import (
 from galley.functions.text import casefold, orientation
 from galley.functions.units import lenient_int, twips_to_cm
 from galley.operators.numbering import pick_rules
-from galley.registries import PARAGRAPH_KEEP, RUN_KEEP
+from galley.registries import BODY_PART, PARAGRAPH_KEEP, RUN_KEEP, SECTION_TAGS, WORD
 
 POSITION = ("part", "ord")
 
@@ -408,3 +409,36 @@ def distinct_fonts(used_formats: DataFrame) -> DataFrame:
 def ordered_distinct(values: Column) -> Column:
     """Distinct elements in order of first appearance."""
     return F.array_distinct(values)
+
+
+def _attribute(entry: Column) -> Column:
+    value = entry["value"]
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;")):
+        value = F.replace(value, F.lit(plain), F.lit(escaped))
+    return F.concat(F.lit(" w:"), entry["key"], F.lit('="'), value, F.lit('"'))
+
+
+def _element(tag: Column, attrs: Column, space: str = "") -> Column:
+    """Element text of a property: its attributes by name, dotted ones as attributes of a child."""
+    entries = F.array_sort(F.map_entries(attrs))
+    dotted = lambda e: F.contains(e["key"], F.lit("."))
+    own = F.array_join(F.transform(F.filter(entries, lambda e: ~dotted(e)), _attribute), "")
+    nested = F.filter(entries, dotted)
+    name = lambda e: F.substring_index(e["key"], ".", 1)
+    bare = lambda e: F.struct(F.substring_index(e["key"], ".", -1).alias("key"), e["value"].alias("value"))
+    child = lambda c: F.concat(F.lit("<w:"), c, F.array_join(F.transform(F.filter(nested, lambda e: name(e) == c), lambda e: _attribute(bare(e))), ""), F.lit("/>"))
+    children = F.array_join(F.transform(F.array_distinct(F.transform(nested, name)), child), "")
+    begin = F.concat(F.lit("<w:"), tag, F.lit(space), own)
+    return F.when(children == "", F.concat(begin, F.lit("/>"))).otherwise(F.concat(begin, F.lit(">"), children, F.lit("</w:"), tag, F.lit(">")))
+
+
+def stored_layouts(nodes: DataFrame) -> DataFrame:
+    """``pkg_id, section_layouts``: the allowed layout tags of the body's sections in order, each as base64 of its element.
+
+    A body is one part, and its sections are bounded like it.
+    """
+    allowed = F.filter(F.map_entries(F.coalesce("bag", F.create_map().cast(BAG))), lambda e: e["key"].isin(*SECTION_TAGS))
+    space = f' xmlns:w="{WORD}"'
+    encoded = F.transform(allowed, lambda e: F.regexp_replace(F.base64(_element(e["key"], e["value"], space).cast("binary")), r"\s", ""))
+    rows = nodes.filter((F.col("kind") == "section") & (F.col("part") == BODY_PART)).select("pkg_id", "ord", encoded.alias("layout"))
+    return rows.groupBy("pkg_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "layout"))), lambda x: x["layout"]).alias("section_layouts"))

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 from galley.functions.text import file_stem
 from galley.operators import library, numbering, quality
 from galley.plans.profile import Profile
-from galley.registries import PACK_SCHEMA_VERSION, REQUIRED_PACK_PARTS
+from galley.registries import PACK_PRIVACY, PACK_SCHEMA_VERSION, REQUIRED_PACK_PARTS
 from galley.schemas import MANIFEST
 
 
@@ -43,10 +43,11 @@ def manifests(p: Profile, names: DataFrame) -> DataFrame:
         pairs(F.col("style_id"), F.col("rule")).alias("heading_numbering")
     )
     profiles = p.profiles.groupBy("pkg_id").agg(
-        pairs(F.col("style_id"), F.struct("ind", "spacing", "jc")).alias("heading_paragraph_properties")
+        pairs(F.col("style_id"), F.struct("ind", "spacing", "jc")).alias("heading_paragraph_properties"),
     )
+    indents = p.profiles.filter("ind IS NOT NULL").groupBy("pkg_id").agg(pairs(F.col("style_id"), F.col("ind")).alias("heading_paragraph_indents"))
     joined = names
-    for part in (formats, authority, rules, profiles, p.counters, p.manual.drop("runs_any"), p.layouts):
+    for part in (formats, authority, rules, profiles, indents, p.sections, p.preferred, p.counters, p.manual.drop("runs_any"), p.layouts):
         clash = {c: f"manual_{c}" for c in ("paragraphs", "runs") if c in part.columns}
         joined = joined.join(part.withColumnsRenamed(clash), "pkg_id", "left")
     joined = joined.join(p.summary, "pkg_id", "left")
@@ -67,6 +68,11 @@ def manifests(p: Profile, names: DataFrame) -> DataFrame:
         "heading_authorities",
         "heading_numbering",
         "heading_paragraph_properties",
+        "heading_paragraph_indents",
+        "section_layouts",
+        "preferred_table_style",
+        F.lit(None).cast("map<string,map<string,string>>").alias("heading_numbering_user_edits"),
+        F.map_from_arrays(F.array(*[F.lit(k) for k in PACK_PRIVACY]), F.array(*[F.lit(v) for v in PACK_PRIVACY.values()])).alias("privacy"),
         F.struct(
             F.col("manual_paragraphs").alias("paragraph_count"), F.col("manual_runs").alias("run_count")
         ).alias("manual_formatting"),

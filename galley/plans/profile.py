@@ -46,6 +46,8 @@ class Profile:
     counters: DataFrame
     completed: DataFrame
     layouts: DataFrame
+    sections: DataFrame
+    preferred: DataFrame
 
 
 def profile(c: Corpus) -> Profile:
@@ -132,6 +134,8 @@ def profile(c: Corpus) -> Profile:
     ranked = formats.withColumn(
         "rank", ordering.format_rank(F.col("type"), F.col("outline_level"), F.col("name"))
     )
+    common = usage.preferred_tables(usage.used_tables(drawn, resolved)).select("pkg_id", "common_style")
+    usual = defaults.filter(F.col("style_type") == "table").select("pkg_id", F.col("style_id").alias("usual"))
     return Profile(
         formats=ranked,
         authority=authority,
@@ -144,4 +148,6 @@ def profile(c: Corpus) -> Profile:
         ),
         completed=generated.join(inferred, ["pkg_id", "level"]),
         layouts=usage.page_layouts(nodes),
+        sections=usage.stored_layouts(nodes),
+        preferred=common.join(usual, "pkg_id", "full").select("pkg_id", F.coalesce("common_style", "usual").alias("preferred_table_style")),
     )

@@ -232,6 +232,13 @@ IDENTITY_FIELDS = (
     "heading_paragraph_properties", "used_table_styles", "preferred_table_style",
 )
 
+# What a pack keeps of its source.
+PACK_PRIVACY = {
+    "source_path_stored": False, "source_file_name_stored": False, "source_text_stored": False,
+    "source_media_stored": False, "embedded_fonts_stored": False, "generic_samples_only": True,
+    "display_name_derived_from_source": True,
+}
+
 # What a member is for, by name; the first pattern that fits.
 MEMBER_KINDS = (
     ("rels", r"(^|/)_rels/[^/]+\.rels$"),

@@ -270,6 +270,9 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
     return cut.withColumn("bag", bag).withColumn("has_bag", F.size("bag") > 0)
 
 
+SECTION_WIDTH = "CASE WHEN idx % 2 = 0 THEN '11906' ELSE '16838' END"
+SECTION_HEIGHT = "CASE WHEN idx % 2 = 0 THEN '16838' ELSE '11906' END"
+SECTION_LEFT = "CAST(1800 - 10 * (pkg_id % 3) AS STRING)"
 SECTION_COUNT = "CAST(1 + floor(n / 10) AS BIGINT)"
 
 
@@ -294,7 +297,8 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
         "section": sections(spark, d).select(
             "pkg_id", F.lit("word/document.xml").alias("part"), F.col("idx").cast("bigint").alias("ord"),
             none("bigint").alias("parent_ord"), none("string").alias("style_id"), F.lit(True).alias("has_bag"),
-            none("map<string,map<string,string>>").alias("bag"), F.lit(False).alias("in_table"), none("string").alias("text"),
+            _bag({"pgSz": (F.lit(True), {"w": F.expr(SECTION_WIDTH), "h": F.expr(SECTION_HEIGHT)}), "pgMar": (F.lit(True), {"top": F.lit("1440"), "left": F.expr(SECTION_LEFT)}),
+                  "titlePg": (F.col("idx") == 0, {"val": none("string")}), "headerReference": (F.lit(True), {"id": F.lit("r1")})}).alias("bag"), F.lit(False).alias("in_table"), none("string").alias("text"),
         ),
     }
     out = None

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from galley.functions import props
+from galley.functions.fonts import alias_key
 from galley.operators import catalog, library, mapping, quality
 from galley.operators.graph import settled, shared_folder
 from galley.plans.corpus import corpus_of
@@ -14,7 +15,7 @@ from galley.plans import apply as apply_plan, derive as derive_plan, fonts as fo
 from galley.plans.sources import Packs
 from galley.sources import ooxml, packages, requests as edit_requests, sinks
 from galley.sources.edit_log import EditLog
-from galley.registries import PACK_SCHEMA_VERSION, SETTINGS_TAGS
+from galley.registries import PACK_SCHEMA_VERSION, SETTINGS_TAGS, WORD
 from galley.schemas import MANIFEST
 from galley.sources.packs import declared_parts, parse_manifests
 from galley.streaming import ingest
@@ -386,18 +387,26 @@ def corpus(spark, d):
         face("font", "major", "latin", F.lit("Major Face")), face("font", "minor", "latin", F.lit("Latin Face")),
         face("color", "", "accent1", F.when(c % 2 == 0, F.lit("AA0000")).otherwise(F.lit("zz"))),
     )))
-    settings = docs.limit(0).select("pkg_id", F.lit("x").alias("tag"), F.create_map(F.lit("val"), F.lit("x")).alias("attrs"))
+    named = F.expr(joins.NAMED_TABLE)
+    settings = docs.select("pkg_id", F.inline(F.array(
+        F.struct(F.lit("zoom").alias("tag"), F.create_map(F.lit("val"), c.cast("string")).alias("attrs")),
+        F.struct(F.lit("defaultTableStyle").alias("tag"), F.create_map(F.lit("val"), F.coalesce(named, F.lit(""))).alias("attrs")),
+    )))
     return profile_plan.Corpus(
         nodes=A.nodes(spark, d), styles=sheet, nums=n["nums"], abstracts=n["abstracts"], levels=n["levels"], overrides=n["overrides"],
         theme=theme, languages=docs.select("pkg_id", F.lit("en").alias("lang")), settings=settings,
     )
 
 
+# A table without a style counts as the one its settings name, if there is such a style, else as the usual one.
+TABLE_USUAL = "SELECT f.pkg_id, CASE WHEN d.n_chars % 3 = 0 THEN 'GridA' ELSE f.style_id END AS style_id FROM dflt f JOIN doc d ON d.pkg_id = f.pkg_id WHERE f.style_type = 'table'"
+
+
 @query(
     "g1_profile", STYLED_NEEDS + ["run", "tbl", "tpl", "lattr", "doc"],
     f"""WITH used AS (SELECT pkg_id, 'paragraph' AS type, sid AS style_id, count(*) AS n FROM ({STYLED}) WHERE sid IS NOT NULL GROUP BY ALL
           UNION ALL SELECT pkg_id, 'character', style_id, count(*) FROM run WHERE style_id IS NOT NULL GROUP BY ALL
-          UNION ALL SELECT t.pkg_id, 'table', coalesce(t.style_id, f.style_id), count(*) FROM tbl t LEFT JOIN dflt f ON f.pkg_id = t.pkg_id AND f.style_type = 'table' GROUP BY ALL)
+          UNION ALL SELECT t.pkg_id, 'table', coalesce(t.style_id, f.style_id), count(*) FROM tbl t LEFT JOIN ({TABLE_USUAL}) f ON f.pkg_id = t.pkg_id GROUP BY ALL)
         SELECT u.pkg_id, u.type, u.style_id, u.n AS usage_count, coalesce(t.name, u.style_id) AS name, CAST(sz.val AS BIGINT) * 50 AS size FROM used u JOIN doc d ON d.pkg_id = u.pkg_id
         LEFT JOIN tpl t ON t.lang = d.lang AND t.style_id = u.style_id LEFT JOIN lattr sz ON sz.lang = d.lang AND sz.style_id = u.style_id AND sz.prop = 'sz'""",
 )
@@ -424,10 +433,37 @@ def g2(spark, d):
     return packs.select("pack_id", "stem", "fingerprint", "part_count", F.to_json("manifest").alias("manifest"))
 
 
+WORD_SPACE = f' xmlns:w="{WORD}"'
+LAYOUT_SQL = f"""list_filter([
+      '<w:pgSz{WORD_SPACE} w:h="' || {A.SECTION_HEIGHT} || '" w:w="' || {A.SECTION_WIDTH} || '"/>', '<w:pgMar{WORD_SPACE} w:left="' || {A.SECTION_LEFT} || '" w:top="1440"/>',
+      CASE WHEN idx = 0 THEN '<w:titlePg{WORD_SPACE}/>' END], lambda x: x IS NOT NULL)"""
+
+
+@query(
+    "g2_applied_metadata", STYLED_NEEDS + ["tbl", "tpl", "doc", "sect"],
+    f"""WITH t AS (SELECT t.pkg_id, coalesce(t.style_id, f.style_id) AS style_id, count(*) AS n, min(part || lpad(CAST(t.ord AS VARCHAR), 12, '0')) AS seen FROM tbl t
+          LEFT JOIN ({TABLE_USUAL}) f ON f.pkg_id = t.pkg_id GROUP BY ALL),
+        known AS (SELECT t.* FROM t WHERE style_id IN (SELECT style_id FROM tpl WHERE style_type = 'table')),
+        best AS (SELECT pkg_id, style_id FROM known QUALIFY row_number() OVER (PARTITION BY pkg_id ORDER BY n DESC, seen) = 1),
+        s AS (SELECT pkg_id, string_agg(array_to_string(list_transform(l, lambda x: base64(encode(x))), ','), ';' ORDER BY idx) AS layouts FROM (SELECT pkg_id, idx, {LAYOUT_SQL} AS l FROM sect) GROUP BY ALL)
+        SELECT 'pack-' || d.pkg_id AS pack_id, coalesce((SELECT string_agg(style_id, ',' ORDER BY style_id) FROM t WHERE t.pkg_id = d.pkg_id), '') AS used_table_styles,
+          coalesce(b.style_id, f.style_id) AS preferred_table_style, s.layouts AS section_layouts
+        FROM doc d JOIN dflt f ON f.pkg_id = d.pkg_id AND f.style_type = 'table' LEFT JOIN best b ON b.pkg_id = d.pkg_id JOIN s ON s.pkg_id = d.pkg_id""",
+)
+def g2_applied_metadata(spark, d):
+    """What a pack applies beyond its parts: layouts of all sections and table styles."""
+    packs, _ = created_packs(spark, d)
+    m = F.col("manifest")
+    return packs.select(
+        "pack_id", F.array_join(m["used_table_styles"], ",").alias("used_table_styles"), m["preferred_table_style"].alias("preferred_table_style"),
+        F.array_join(F.transform(m["section_layouts"], lambda x: F.array_join(x, ",")), ";").alias("section_layouts"),
+    )
+
+
 @query(
     "g2_round_trip", STYLED_NEEDS + ["run", "tbl", "tpl", "lattr", "doc"],
     f"""WITH used AS (SELECT pkg_id, 'p' || sid AS style_id FROM ({STYLED}) WHERE sid IS NOT NULL UNION SELECT pkg_id, 'c' || style_id FROM run WHERE style_id IS NOT NULL
-          UNION SELECT t.pkg_id, 't' || coalesce(t.style_id, f.style_id) FROM tbl t LEFT JOIN dflt f ON f.pkg_id = t.pkg_id AND f.style_type = 'table')
+          UNION SELECT t.pkg_id, 't' || coalesce(t.style_id, f.style_id) FROM tbl t LEFT JOIN ({TABLE_USUAL}) f ON f.pkg_id = t.pkg_id)
         SELECT 'pack-' || d.pkg_id AS pack_id, count(DISTINCT u.style_id) AS used_formats, CAST(4 AS BIGINT) AS parts, CAST(4 AS BIGINT) AS declared, CAST(0 AS BIGINT) AS violations
         FROM doc d LEFT JOIN used u ON u.pkg_id = d.pkg_id GROUP BY ALL""",
 )
@@ -878,11 +914,15 @@ def g5_levels(spark, d):
     f"""WITH k AS (SELECT DISTINCT fam, unnest([fam, lower(p_type), fam || '-' || p_partkey]) AS s FROM (SELECT *, lower(p_brand) AS fam FROM part)),
         sk AS (SELECT s, min(fam) AS lo, max(fam) AS hi FROM k GROUP BY ALL), ck AS (SELECT {L.COMPACT.format('s')} AS c, min(fam) AS lo, max(fam) AS hi FROM k GROUP BY ALL),
         n AS (SELECT DISTINCT o_custkey AS pack_id, 'Brand#' || (11 + o_orderkey % 60) AS name FROM orders),
-        m AS (SELECT n.*, coalesce(s.lo, c.lo) AS lo, CASE WHEN s.lo IS NOT NULL THEN s.hi ELSE c.hi END AS hi FROM n LEFT JOIN sk s ON s.s = lower(n.name) LEFT JOIN ck c ON c.c = {L.COMPACT.format('n.name')})
+        x AS (SELECT *, CASE WHEN CAST(substr(name, 7) AS INT) % 10 IN (0, 6, 7, 8, 9) THEN 'brand ' || (CAST(substr(name, 7) AS INT) - 5) END AS alias FROM n),
+        m AS (SELECT n.pack_id, n.name, coalesce(s.lo, c.lo, a.lo) AS lo, CASE WHEN s.lo IS NOT NULL THEN s.hi WHEN c.lo IS NOT NULL THEN c.hi ELSE a.hi END AS hi FROM x n
+          LEFT JOIN sk s ON s.s = lower(n.name) LEFT JOIN ck c ON c.c = {L.COMPACT.format('n.name')} LEFT JOIN ck a ON a.c = {L.COMPACT.format('n.alias')})
         SELECT pack_id, CASE WHEN lo IS NULL THEN 'missing' WHEN lo <> hi THEN 'ambiguous' WHEN lo = lower(name) THEN 'installed' ELSE 'alias' END AS kind, count(*) AS fonts FROM m GROUP BY ALL""",
 )
 def g8(spark, d):
     name = F.concat(F.lit("Brand#"), (F.col("o_orderkey") % 60 + 11).cast("string"))
     formats = A.table(spark, d, "orders").select(F.col("o_custkey").alias("pack_id"), name.alias("font_latin"), F.lit(None).cast("string").alias("font_east_asia"))
-    aliases = formats.limit(0).select(F.col("font_latin").alias("key"), F.col("font_latin").alias("alias"))
+    # A name that ends in 6 to 9 or 0 is also known by the one five before it.
+    number = F.substring("font_latin", 7, 3).cast("int")
+    aliases = formats.select(alias_key(F.col("font_latin")).alias("key"), F.concat(F.lit("brand "), (number - 5).cast("string")).alias("alias")).filter((number % 10 == 0) | (number % 10 > 5)).distinct()
     return font_plan.coverage(formats, aliases, faces(spark, d))

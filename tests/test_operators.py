@@ -80,6 +80,25 @@ def test_import_of_a_long_chain(spark):
     assert [r.action for r in got] == want
 
 
+def test_packs_that_differ_in_one_applied_field_are_two_packs(spark):
+    from galley.registries import IDENTITY_FIELDS
+    from galley.schemas import MANIFEST
+
+    same = '"heading_authorities":{"1":"B","0":"A"},"used_table_styles":["T"],"preferred_table_style":"T","section_layouts":[["eA=="],[]]'
+    rows = [
+        ("a", "{%s}" % same), ("b", '{"section_layouts":[["eA=="],[]],"preferred_table_style":"T","used_table_styles":["T"],"heading_authorities":{"0":"A","1":"B"}}'),
+        ("c", "{%s}" % same.replace('["eA=="],[]', '[],["eA=="]')), ("d", "{%s}" % same.replace('"preferred_table_style":"T"', '"preferred_table_style":"U"')),
+        ("e", '{%s,"heading_numbering_user_edits":{"A":{"numbering_start":"2"}}}' % same), ("f", '{%s,"heading_paragraph_indents":{"A":{"left":"2"}}}' % same), ("g", '{%s,"name":"other"}' % same),
+    ]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq int, pack_id string, json string")
+    parsed = table.select("seq", "pack_id", F.from_json("json", MANIFEST).alias("manifest"), F.lit("same parts").alias("fingerprint"))
+    incoming = library.application_identity(parsed).select("seq", "pack_id", "fingerprint", "identity")
+    none = spark.createDataFrame([], "pack_id string, fingerprint string, identity string")
+    got = {r.pack_id: (r.action, r.library_id) for r in library.import_packs(incoming, none).collect()}
+    assert got == {"a": ("append", "a"), "b": ("reuse", "a"), "c": ("append", "c"), "d": ("append", "d"), "e": ("append", "e"), "f": ("append", "f"), "g": ("reuse", "a")}
+    assert len(IDENTITY_FIELDS) == 8
+
+
 def one_by_one(rows):
     ids, contents, out = {}, set(), []
     for _, pack, content, _ in rows:
