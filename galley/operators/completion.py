@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from galley.functions.numerals import next_pattern, repeatable, spells_own_path
 from galley.functions.props import bag_attr
 from galley.functions.units import lenient_int
+from galley.operators.graph import settled
 
 # Bounds of extrapolated sizes (half points), spacing and indents (twips).
 MAX_STEP = 12
@@ -270,3 +271,38 @@ def extend_numbering(rules: DataFrame, effective: DataFrame, missing: DataFrame)
         .filter(F.col("row.level") >= F.col("first"))
         .select("pkg_id", "row.*", "fonts")
     )
+
+
+def merge_numbering(rules: DataFrame, authority: DataFrame, made: DataFrame, effective: DataFrame, next_ids: DataFrame) -> DataFrame:
+    """Heading rules with one list for all levels, where levels were generated or the first three are split over several lists and
+    their numbers spell a hierarchy; other packages keep their rules.
+
+    ``rules`` has ``pkg_id, style_id, rule``; ``authority`` and ``made`` ``pkg_id, level, style_id`` of real and generated
+    headings; ``effective`` the levels of the lists; ``next_ids`` ``pkg_id, next_id``, the id that a new list takes. ``made``
+    marks the rules of generated headings in the result.
+    """
+    upper = authority.select("pkg_id", F.col("level").cast("int").alias("held"), "style_id")
+    ruled = upper.join(rules.select("pkg_id", "style_id", "rule"), ["pkg_id", "style_id"])
+    top = ruled.filter(F.col("held") < TOP_LEVELS).groupBy("pkg_id").agg(F.count_distinct("held").alias("n"), F.count_distinct("rule.num_id").alias("lists"))
+    levels = made.groupBy("pkg_id").agg(F.array_sort(F.collect_set(F.col("level").cast("int"))).alias("levels"))
+    todo = (
+        top.filter(F.col("n") == TOP_LEVELS)
+        .join(levels, "pkg_id", "left")
+        .filter((F.col("lists") > 1) | F.col("levels").isNotNull())
+        # Without new headings the next level only tells whether the first three can be one list.
+        .select("pkg_id", F.coalesce("levels", F.array(F.lit(TOP_LEVELS))).alias("levels"))
+    )
+    grown = settled(extend_numbering(ruled.select("pkg_id", F.col("held").alias("level"), "rule"), effective, todo))
+    fixed = grown.groupBy("pkg_id").agg(F.min("level").alias("first")).join(next_ids.select("pkg_id", F.col("next_id").cast("string").alias("one")), "pkg_id")
+    rule = F.col("rule")
+    named = F.struct(F.col("one").alias("num_id"), *[rule[f].alias(f) for f in ("level", "number_format", "level_text", "start")])
+    kept = rules.join(upper, ["pkg_id", "style_id"], "left").join(fixed, "pkg_id", "left").select(
+        "pkg_id", "style_id", F.when(F.col("held") < F.col("first"), named).otherwise(rule).alias("rule"), F.lit(False).alias("made")
+    )
+    new = grown.join(fixed.drop("first"), "pkg_id").join(made.select("pkg_id", F.col("level").cast("int").alias("level"), "style_id"), ["pkg_id", "level"])
+    new = new.select(
+        "pkg_id", "style_id",
+        F.struct(F.col("one").alias("num_id"), "level", F.col("num_fmt").alias("number_format"), F.col("lvl_text").alias("level_text"), F.lit(1).alias("start")).alias("rule"),
+        F.lit(True).alias("made"),
+    )
+    return kept.unionByName(new.withColumn("rule", F.col("rule").cast(dict(kept.dtypes)["rule"])))

@@ -130,6 +130,13 @@ def profile(c: Corpus) -> Profile:
         (F.col("pkg_id") == F.col("p")) & (F.col("rule.num_id") == F.col("n")) & (F.col("rule.level") == F.col("l")),
         "left",
     ).drop("p", "n", "l")
+    # Generated headings carry the numbering on, in one list with the levels above them.
+    number = F.col("num_id").try_cast("bigint")
+    next_ids = c.nums.groupBy("pkg_id").agg((F.coalesce(F.max(number), F.lit(0)) + 1).alias("next_id"))
+    merged = settled(completion.merge_numbering(voted.select("pkg_id", "style_id", "rule"), actual, inferred, effective, next_ids))
+    ruled = merged.join(ruled.select("pkg_id", "style_id", "restart"), ["pkg_id", "style_id"], "left").withColumn(
+        "restart", F.when(F.col("made"), F.lit(True)).otherwise(F.col("restart"))
+    )
     formats = previews(marks, resolved, fonts, theme_colors(c.theme), ruled, profiles)
     ranked = formats.withColumn(
         "rank", ordering.format_rank(F.col("type"), F.col("outline_level"), F.col("name"))
@@ -139,7 +146,7 @@ def profile(c: Corpus) -> Profile:
     return Profile(
         formats=ranked,
         authority=authority,
-        rules=voted,
+        rules=merged.drop("made"),
         profiles=profiles,
         summary=usage.summary(nodes),
         manual=usage.manual_formatting(nodes),

@@ -109,38 +109,13 @@ def _index(sources: DataFrame, index: DataFrame, made: DataFrame) -> DataFrame:
 
 
 def _rules(sources: DataFrame, packs: Packs, authority: DataFrame, made: DataFrame, tops: DataFrame) -> DataFrame:
-    """Rules of each source: those of its pack, or, where headings were made or the first three are split over several lists and
-    their numbers spell a hierarchy, one list for all levels."""
-    own = sources.select("source", "pack_id").join(packs.rules, "pack_id")
-    ruled = authority.join(own.select("source", "style_id", "rule"), ["source", "style_id"]).select(F.col("source").alias("pkg_id"), "level", "style_id", "rule")
-    top = ruled.filter(F.col("level") < completion.TOP_LEVELS).groupBy("pkg_id").agg(
-        F.count_distinct("level").alias("n"), F.count_distinct("rule.num_id").alias("lists")
-    )
-    levels = made.groupBy(F.col("source").alias("pkg_id")).agg(F.array_sort(F.collect_set(F.col("level").cast("int"))).alias("levels"))
-    todo = (
-        top.filter(F.col("n") == completion.TOP_LEVELS)
-        .join(levels, "pkg_id", "left")
-        .filter((F.col("lists") > 1) | F.col("levels").isNotNull())
-        # Without new headings the next level only tells whether the first three can be one list.
-        .select("pkg_id", F.coalesce("levels", F.array(F.lit(completion.TOP_LEVELS))).alias("levels"))
-    )
-    effective = packs.effective.withColumnRenamed("pkg_id", "pack_id").join(sources.select("source", "pack_id"), "pack_id")
-    grown = settled(completion.extend_numbering(ruled.drop("style_id"), effective.withColumnRenamed("source", "pkg_id").drop("pack_id"), todo))
-    fixed = grown.groupBy(F.col("pkg_id").alias("source")).agg(F.min("level").alias("first")).join(tops.select("source", "max_num"), "source")
-    one = F.col("max_num").cast("string")
-    named = F.struct(one.alias("num_id"), *[F.col("rule")[f].alias(f) for f in ("level", "number_format", "level_text", "start")])
-    upper = ruled.withColumnRenamed("pkg_id", "source").select("source", "level", "style_id")
-    merged = own.join(upper, ["source", "style_id"], "left").join(fixed, "source", "left").select(
-        "source", "style_id", "outline", F.when(F.col("level") < F.col("first"), named).otherwise(F.col("rule")).alias("rule")
-    )
-    new = grown.withColumnRenamed("pkg_id", "source").join(fixed.drop("first"), "source").join(made.select("source", "level", "style_id"), ["source", "level"])
-    new = new.select(
-        "source", "style_id", F.col("level").cast("int").alias("outline"),
-        F.struct(one.alias("num_id"), "level", F.col("num_fmt").alias("number_format"), F.col("lvl_text").alias("level_text"), F.lit(1).alias("start")).alias("rule"),
-    )
-    kinds = dict(merged.dtypes)["rule"]
-    every = merged.unionByName(new.withColumn("rule", F.col("rule").cast(kinds)))
-    return every.withColumnRenamed("source", "pack_id")
+    """Rules of each source: those of its pack, or one list for all levels where it has to be (see ``completion.merge_numbering``)."""
+    keyed = lambda df: df.withColumnRenamed("source", "pkg_id")
+    own = keyed(sources.select("source", "pack_id").join(packs.rules, "pack_id").drop("pack_id"))
+    effective = packs.effective.withColumnRenamed("pkg_id", "pack_id").join(sources.select("source", "pack_id"), "pack_id").drop("pack_id")
+    merged = completion.merge_numbering(own, keyed(authority), keyed(made), keyed(effective), keyed(tops).select("pkg_id", F.col("max_num").alias("next_id")))
+    outlines = own.select("pkg_id", "style_id", "outline").unionByName(keyed(made).select("pkg_id", "style_id", F.col("level").cast("int").alias("outline"))).distinct()
+    return merged.drop("made").join(outlines, ["pkg_id", "style_id"]).withColumnRenamed("pkg_id", "pack_id")
 
 
 def _list_ids(sources: DataFrame, packs: Packs) -> DataFrame:
