@@ -184,6 +184,27 @@ def p14(spark, d):
     return search_families(faces(spark, d), "D 1")
 
 
+# Searches that people type, from every part whose key is divisible by 50: pieces of names in several lengths and spellings.
+SEARCHES = """SELECT p_partkey AS query_id, CASE CAST(floor(p_partkey / 50) AS BIGINT) % 5 WHEN 0 THEN p_brand WHEN 1 THEN substr(p_type, 3, 6) WHEN 2 THEN substr(p_type, 2, 2)
+    WHEN 3 THEN concat('-', CAST(p_partkey AS STRING)) ELSE concat(substr(p_name, 1, 4), '!') END AS query FROM part WHERE p_partkey % 50 = 0"""
+
+
+@query(
+    "p14_font_index", [],
+    f"""WITH k AS (SELECT DISTINCT lower(p_brand) AS family_key, regexp_replace(lower(unnest([p_brand, p_type, p_brand || '-' || p_partkey])), '[^a-z0-9]', '', 'g') AS c FROM part),
+        q AS (SELECT query_id, regexp_replace(lower(query), '[^a-z0-9]', '', 'g') AS w FROM ({SEARCHES}))
+        SELECT DISTINCT q.query_id, k.family_key FROM q JOIN k ON contains(k.c, q.w) WHERE q.w <> ''""",
+)
+def p14_index(spark, d):
+    """Many searches at once over a stored table of grams."""
+    from galley.operators.fonts import name_postings, search_postings
+    from galley.operators.graph import settled
+    from harness.queries.aggregates import faces
+
+    A.table(spark, d, "part").createOrReplaceTempView("part")
+    return search_postings(settled(name_postings(faces(spark, d))), spark.sql(SEARCHES))
+
+
 # --- orders and set rules ------------------------------------------------------
 
 
