@@ -13,16 +13,18 @@ from galley.plans.sources import Packs, Sources, sources_of
 from galley.registries import BODY_PART, PARAGRAPH_KEEP, RUN_KEEP
 
 
-def _numbers(numbered: DataFrame, keys: list[str]) -> DataFrame:
+def _numbers(numbered: DataFrame, keys: list[str], demotes: bool = True) -> DataFrame:
     """Printed numbers and typed prefixes of numbered paragraphs.
 
     Printed numbers follow the rules' levels. A typed number is held against them, but that of a demoted heading against the
-    target's own levels: those are counted apart.
+    target's own levels: those are counted apart, where any pair ``demotes``.
     """
     moved = F.col("demoted")
     printed = counters.typed_numbers(numbered.withColumn("level", F.col("rule_level")))
     printed = printed.withColumns({c: F.when(~moved, F.col(c)) for c in ("prefix", "typed")})
     printed = counters.redundant_prefixes(counters.heading_counters(printed, keys))
+    if not demotes:
+        return printed.select(*keys, "ord", "demoted", "value", "path", "level", "matched", "typed", "prefix", "stripped")
     own = counters.typed_numbers(numbered.filter(moved).withColumn("level", F.col("target_outline")))
     own = counters.redundant_prefixes(counters.heading_counters(own, keys))
     mine = own.select(*keys, "ord", *[F.col(c).alias("own_" + c) for c in ("level", "matched", "typed", "prefix", "stripped")])
@@ -89,7 +91,7 @@ def plan_paragraphs(
         *keys, "ord", "plain", "text", (F.col("shifted") & F.col("target_outline").isNotNull()).alias("demoted"), "target_outline",
         F.col("rule.level").cast("int").alias("rule_level"), F.col("rule.start").alias("start"),
     )
-    counted = _numbers(numbered, keys)
+    counted = _numbers(numbered, keys, isinstance(shift, Column) or shift > 0)
 
     kept_table = F.col("in_table") & (F.coalesce("table_styles", F.lit(0)) == 0)
     pinned = F.coalesce(
